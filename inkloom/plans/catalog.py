@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from inkloom.functions import colour as C
 from inkloom.functions.colour import Rgb
+from inkloom.operators import labels as L
 from inkloom.operators import palette as P
+from inkloom.operators import quality as Q
 from inkloom.plans import derived
-from inkloom.plans.spread import attach_image_facts
+from inkloom.plans.spread import attach_image_facts, checkpoint
 
 def six(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
@@ -123,5 +125,89 @@ def palette_queries() -> dict:
     }
 
 
+# --- labels and quality -------------------------------------------------------------------
+
+LOW_IOU = 0.97  # the corpus is traced well, so the default of 0.5 would select nothing
+
+
+def _labels(spark: SparkSession, sf: str, rendered: bool = False, modulus: int = 11) -> DataFrame:
+    px = derived.pixels(spark, sf)
+    raster = derived.traced(px, modulus) if rendered else px
+    return L.assign_nearest(raster, derived.band_palettes(px))
+
+
+def _pairs(spark: SparkSession, sf: str, modulus: int = 11) -> DataFrame:
+    px = derived.pixels(spark, sf)
+    return Q.label_pairs(px, derived.traced(px, modulus), derived.band_palettes(px))
+
+
+def _table(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return Q.contingency(_pairs(spark, sf)), derived.band_palettes(derived.pixels(spark, sf))
+
+
+def _masks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    table, palettes = _table(spark, sf)
+    return table, Q.mask_iou(table, Q.pair_palettes(table, palettes))
+
+
+def _nearest(spark: SparkSession, sf: str) -> DataFrame:
+    edges = checkpoint(Q.edge_pair(_pairs(spark, sf)))
+    near = Q.nearest_edge(edges.filter("out_edge"), edges.filter("ref_edge"))
+    return near.select("image_id", "x", "y", "d2")
+
+
+def _chamfer(spark: SparkSession, sf: str) -> DataFrame:
+    edges = checkpoint(Q.edge_pair(_pairs(spark, sf)))
+    images = derived.pixels(spark, sf).select("image_id").distinct()
+    return Q.chamfer(edges, images)
+
+
+def _xor(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _pairs(spark, sf)
+    table = Q.contingency(pairs)
+    palettes = derived.band_palettes(derived.pixels(spark, sf))
+    masks = Q.mask_iou(table, Q.pair_palettes(table, palettes))
+    return Q.xor_mask(pairs, masks, LOW_IOU).select(*at(), "slot")
+
+
+def _remapped(spark: SparkSession, sf: str) -> DataFrame:
+    px = derived.pixels(spark, sf)
+    return L.remap_to_palette(px, derived.band_palettes(px), keep_alpha=True)
+
+
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return derived.pixels(spark, sf).groupBy("image_id").agg(
+        F.count_if(F.col("pk") % 7 == 0).alias("nodes"))
+
+
+def quality_queries() -> dict:
+    return {
+        "J1_assign_nearest": lambda s, d: _labels(s, d).select(*at(), "slot", "r", "g", "b"),
+        "J2_remap_to_palette": lambda s, d: _remapped(s, d).select(*at(), "slot", "r", "g", "b"),
+        "J2b_prepare_corpus": lambda s, d: L.prepare_corpus(derived.pixels(s, d), 4).select(
+            *at(), "slot", "r", "g", "b", "a"),
+        "P20_alpha_rule": lambda s, d: _remapped(s, d).select(*at(), "a"),
+        "J3_contingency": lambda s, d: Q.contingency(
+            Q.pair_labels(_labels(s, d), _labels(s, d, True))),
+        "J4_pair_palettes": lambda s, d: Q.pair_palettes(*_table(s, d)),
+        "J5_nearest_edge": _nearest,
+        "J6_neighbour_join": lambda s, d: Q.neighbour_join(_labels(s, d), ["slot"]).select(
+            *at(), "slot", "slot_left", "slot_right", "slot_up", "slot_down"),
+        "J8_present_colors": lambda s, d: Q.present_colors(
+            _labels(s, d), derived.band_palettes(derived.pixels(s, d))),
+        "A16_mask_iou": lambda s, d: _masks(s, d)[1].drop("iou_raw"),
+        "A17_sample_iou": lambda s, d: Q.sample_iou(*_masks(s, d)),
+        "A18_edge_map": lambda s, d: Q.edge_map(_labels(s, d)).select(*at()),
+        "A19_chamfer": _chamfer,
+        "A20_degenerate_flag": lambda s, d: Q.degenerate_flag(_table(s, d)[0], _nodes(s, d)),
+        "A21_ink_coverage": lambda s, d: L.ink_coverage(derived.pixels(s, d)).select(
+            "image_id", six("ink_coverage").alias("ink_coverage")),
+        "A24_self_test": lambda s, d: Q.self_test(_labels(s, d)).select(
+            "image_id", "n_edges", "iou_mean", "chamfer",
+            six("shift_chamfer").alias("shift_chamfer"), "passed"),
+        "W6_xor_mask": _xor,
+    }
+
+
 def all_queries() -> dict:
-    return {**palette_queries()}
+    return {**palette_queries(), **quality_queries()}

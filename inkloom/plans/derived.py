@@ -60,6 +60,18 @@ def _base_channel(plate: dict[int, int], ramp: Column, blues: Column, reds: list
     )
 
 
+def _channels() -> dict[str, Column]:
+    ink = F.col("ink")
+    return {
+        "r": _base_channel({0: 250, 1: 20, 2: 12}, 90 + ink * 62, 20 + ink * 6,
+                           [200, 214, 40], (53, 97, 40)),
+        "g": _base_channel({0: 250, 1: 80, 2: 12}, 90 + ink * 62, 40 + ink * 10,
+                           [40, 52, 50], (31, 61, 90)),
+        "b": _base_channel({0: 250, 1: 50, 2: 12}, 90 + ink * 62, 120 + ink * 20,
+                           [40, 50, 190], (17, 151, 10)),
+    }
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One image per supplier, 24 columns wide, six kinds of plate and bands."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", *ROW_ORDER)
@@ -68,6 +80,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ink = F.col("ink")
     q = F.col("l_quantity").cast("bigint")
     pk = F.col("l_partkey")
+    base = _channels()
     frame = (kind == 5) | (x < 2) | (x > 21) | (y < 2) | (y >= h - 2)
     return (
         _numbered(lines)
@@ -85,18 +98,35 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("ink", F.when(frame, F.lit(-1)).otherwise(int_div(x - 2, 7)).cast("bigint"))
         .select(
             "image_id", "kind", "x", "y", "w", "h",
-            (_base_channel({0: 250, 1: 20, 2: 12}, 90 + ink * 62, 20 + ink * 6,
-                           [200, 214, 40], (53, 97, 40)) + F.col("q") % 7 - 3).alias("r"),
-            (_base_channel({0: 250, 1: 80, 2: 12}, 90 + ink * 62, 40 + ink * 10,
-                           [40, 52, 50], (31, 61, 90)) + F.col("q") % 5 - 2).alias("g"),
-            (_base_channel({0: 250, 1: 50, 2: 12}, 90 + ink * 62, 120 + ink * 20,
-                           [40, 50, 190], (17, 151, 10)) + F.col("pk") % 5 - 2).alias("b"),
+            (base["r"] + F.col("q") % 7 - 3).alias("r"),
+            (base["g"] + F.col("q") % 5 - 2).alias("g"),
+            (base["b"] + F.col("pk") % 5 - 2).alias("b"),
             F.when((F.col("image_id") % 4 == 0) & (ink < 0), 0).otherwise(255).alias("a"),
             "ink", "pk",
         )
     )
 
 
+def band_palettes(px: DataFrame) -> DataFrame:
+    """The colours the images were drawn with: plate in slot 0, then up to three bands."""
+    size = px.groupBy("image_id", "kind").agg(F.max("w").alias("w"), F.max("h").alias("h"))
+    first, last = F.lit(-1).cast("bigint"), F.lit(2).cast("bigint")
+    inks = F.sequence(first, F.when(F.col("kind") == 5, first).otherwise(last))
+    base = _channels()
+    rows = size.withColumn("ink", F.explode(inks)).select(
+        "image_id", "w", "h",
+        F.struct((F.col("ink") + 1).alias("slot"),
+                 *(v.cast("bigint").alias(c) for c, v in base.items())).alias("p"),
+    )
+    palettes = rows.groupBy("image_id").agg(
+        F.max("w").alias("w"), F.max("h").alias("h"),
+        F.array_sort(F.collect_list("p")).alias("palette"),
+    )
+    plate = F.get("palette", F.lit(0))
+    return palettes.select(
+        "image_id", "w", "h", *(plate[c].alias(f"bg_{c}") for c in "rgb"), "palette")
+
+
 def traced(px: DataFrame, modulus: int = 11) -> DataFrame:
     """A perturbed copy: every ``pk % modulus = 0`` pixel takes its left neighbour's colour."""
     left = Window.partitionBy("image_id", "y").orderBy("x")
