@@ -10,6 +10,7 @@ from inkloom.functions.colour import Rgb
 from inkloom.operators import labels as L
 from inkloom.operators import palette as P
 from inkloom.operators import quality as Q
+from inkloom.operators import regions as R
 from inkloom.plans import derived
 from inkloom.plans.spread import attach_image_facts, checkpoint
 
@@ -209,5 +210,38 @@ def quality_queries() -> dict:
     }
 
 
+# --- regions ------------------------------------------------------------------------------
+
+# The images are 24 pixels wide, so the disk test runs with limits that fit them.
+SMALL_DISKS = dict(min_area_frac=0.06, max_aspect=4.0, min_radius=2, min_ring=10,
+                   max_radius_cv=0.5, min_disk_fill=0.5)
+
+
+def _mask(spark: SparkSession, sf: str) -> DataFrame:
+    return R.with_ink_code(_labels(spark, sf))
+
+
+def _regions(spark: SparkSession, sf: str) -> DataFrame:
+    return R.connected_components(R.binary_opening(_mask(spark, sf)))
+
+
+def _snapped(spark: SparkSession, sf: str) -> DataFrame:
+    stats = R.region_stats(_regions(spark, sf), **SMALL_DISKS)
+    return R.snap_disks(_labels(spark, sf), stats)
+
+
+def region_queries() -> dict:
+    return {
+        "R0_binary_opening": lambda s, d: R.binary_opening(_mask(s, d)).select(*at(), "c"),
+        "R1_connected_components": lambda s, d: R.region_pixels(
+            R.connected_components(_mask(s, d))).select(*at(), "c", "region"),
+        "A27_region_stats": lambda s, d: R.region_stats(_regions(s, d), **SMALL_DISKS).select(
+            "image_id", "c", "region", "area", "bx0", "bx1", "by0", "by1",
+            six("aspect").alias("aspect"), six("radius").alias("radius"), "ring_px",
+            six("ring_cv").alias("ring_cv"), six("fill").alias("fill"), "is_disk"),
+        "R2_snap_disks": lambda s, d: _snapped(s, d).select(*at(), "r", "g", "b"),
+    }
+
+
 def all_queries() -> dict:
-    return {**palette_queries(), **quality_queries()}
+    return {**palette_queries(), **quality_queries(), **region_queries()}

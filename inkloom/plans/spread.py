@@ -33,9 +33,9 @@ def strip_of(y: Column, w: Column, strip_pixels: int = STRIP_PIXELS) -> Column:
 
 
 def attach_image_facts(
-    pixels: DataFrame, facts: DataFrame, strip_pixels: int = STRIP_PIXELS
+    pixels: DataFrame, facts: DataFrame, strip_pixels: int = STRIP_PIXELS, how: str = "inner"
 ) -> DataFrame:
-    """Inner join of per-image ``facts`` (with ``w`` and ``h``) to pixel rows.
+    """Join of per-image ``facts`` (with ``w`` and ``h``) to pixel rows.
 
     Small fact tables are broadcast by Spark's own size threshold; beyond it the join key
     carries the strip, so one huge image never lands in one task.
@@ -43,7 +43,8 @@ def attach_image_facts(
     last = strip_of(F.col("h") - 1, F.col("w"), strip_pixels)
     per_strip = facts.withColumn("_strip", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     keyed = pixels.withColumn("_strip", strip_of(F.col("y"), F.col("w"), strip_pixels))
-    return keyed.join(per_strip.drop("w", "h"), ["image_id", "_strip"]).drop("_strip")
+    return keyed.join(per_strip.drop("w", "h"), ["image_id", "_strip"], how).drop(
+        "_strip")
 
 
 def with_halo(pixels: DataFrame, halo: int, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
