@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import colour as C
+from inkloom.functions import svg as S
+from inkloom.operators import geometry as G
 from inkloom.functions.colour import Rgb
 from inkloom.operators import labels as L
 from inkloom.operators import palette as P
@@ -243,5 +245,74 @@ def region_queries() -> dict:
     }
 
 
+# --- outlines and SVG text ----------------------------------------------------------------
+
+
+def _outlines(spark: SparkSession, sf: str) -> DataFrame:
+    return derived.vertices(spark, sf).select(
+        "path_id", F.lit(0).cast("bigint").alias("ring"), F.col("seq").cast("bigint").alias("seq"),
+        "x", "y")
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return derived.svg_docs(derived.vertices(spark, sf))
+
+
+def _mixed_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return derived.mixed_docs(derived.vertices(spark, sf))
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*(six(c).alias(c) if c in names else F.col(c) for c in df.columns))
+
+
+def _blemished(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with zero-length paths added to every third one, and none in every fifth."""
+    zero = ' <path d="M 0.00 0.00 L 0.00 0.00 Z"/>'
+    key = F.col("path_id")
+    return _docs(spark, sf).select("path_id", F.when(key % 5 == 0, "<svg></svg>").when(
+        key % 3 == 0, F.replace("svg", F.lit("</svg>"), F.repeat(F.lit(zero), 3))
+    ).otherwise(F.col("svg")).alias("svg"))
+
+
+def outline_queries() -> dict:
+    return {
+        "A25_ring_metrics": lambda s, d: _rounded(
+            G.ring_metrics(_outlines(s, d)), "area", "perimeter", "circularity").drop("ring"),
+        "A26_fit_circle": lambda s, d: _rounded(
+            G.fit_circle(G.ring_body(_outlines(s, d))), "cx", "cy", "r").drop("ring"),
+        "G1_path_vertices": lambda s, d: _rounded(
+            G.path_vertices(_docs(s, d)), "x", "y").select(
+            *long("path_id", "path_no", "ring", "seq"), "x", "y"),
+        "G1_path_vertices_mixed": lambda s, d: _rounded(
+            G.path_vertices(_mixed_docs(s, d)), "x", "y").select(
+            *long("path_id", "path_no", "ring", "seq"), "x", "y"),
+        "G2_collapse_collinear": lambda s, d: G.collapse_collinear(_outlines(s, d)).drop("ring"),
+        "G3_simplify_polyline": lambda s, d: G.simplify_polyline(
+            G.ring_body(_outlines(s, d))).drop("ring"),
+        "G4_simplify_ring": lambda s, d: G.simplify_ring(_outlines(s, d)).drop("ring"),
+        "G5_circle_candidates": lambda s, d: _rounded(
+            G.circle_candidates(_outlines(s, d), 200.0 * 200.0), "area", "circularity", "cx",
+            "cy", "r").drop("ring"),
+        "G6_normalize_basic": lambda s, d: G.normalize_paths(_outlines(s, d), "basic"),
+        "G6_normalize_strict": lambda s, d: G.normalize_paths(_outlines(s, d), "strict"),
+        "P15_svg_d_extract": lambda s, d: _docs(s, d).select(
+            "path_id", F.explode(S.svg_d_extract(F.col("svg"))).alias("d")),
+        "P16_svg_node_count": lambda s, d: _docs(s, d).select(
+            "path_id", S.svg_node_count(F.col("svg")).alias("nodes")),
+        "P17_degenerate_path_share": lambda s, d: _blemished(s, d).select(
+            "path_id", six(S.degenerate_path_share(F.col("svg"))).alias("share")),
+        "P18_svg_fill_colors": lambda s, d: _blemished(s, d).select(
+            "path_id", F.explode(S.svg_fill_colors(F.col("svg"))).alias("fill")),
+        "P19_svg_rescale": lambda s, d: _docs(s, d).select("path_id", S.svg_rescale(
+            F.col("svg"), (F.col("path_id") % 3 + 1) / F.lit(1.0), F.lit(100), F.lit(90)
+        ).alias("svg")),
+        "S8_read_svg_docs": lambda s, d: _blemished(s, d).unionByName(
+            derived.table(s, d, "pages").select(
+                (-F.col("page_id")).alias("path_id"), F.col("html").alias("svg"))
+        ).select("path_id", S.looks_like_svg(F.col("svg")).alias("is_svg")),
+    }
+
+
 def all_queries() -> dict:
-    return {**palette_queries(), **quality_queries(), **region_queries()}
+    return {**palette_queries(), **quality_queries(), **region_queries(), **outline_queries()}

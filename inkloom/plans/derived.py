@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkloom.plans.spread import int_div
+from inkloom.plans.spread import int_div, number_rows
 
 IMAGE_WIDTH = 24
 RANGES = 4096
@@ -29,20 +29,7 @@ def _numbered(lines: DataFrame) -> DataFrame:
     ranged = lines.crossJoin(F.broadcast(top)).withColumn(
         "rng", int_div(F.col("l_orderkey"), int_div(F.col("top"), RANGES) + 1)
     )
-    per_supplier = Window.partitionBy("l_suppkey")
-    starts = (
-        ranged.groupBy("l_suppkey", "rng")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("n", F.sum("c").over(per_supplier))
-        .withColumn("start", F.sum("c").over(per_supplier.orderBy("rng")) - F.col("c"))
-        .drop("c")
-    )
-    within = Window.partitionBy("l_suppkey", "rng").orderBy(*ROW_ORDER)
-    return (
-        ranged.withColumn("k", F.row_number().over(within) - 1)
-        .join(starts, ["l_suppkey", "rng"])
-        .withColumn("i", F.col("k") + F.col("start"))
-    )
+    return number_rows(ranged, ["l_suppkey"], "rng", list(ROW_ORDER), total="n")
 
 
 def _base_channel(plate: dict[int, int], ramp: Column, blues: Column, reds: list[int],
@@ -184,6 +171,36 @@ def svg_docs(vx: DataFrame) -> DataFrame:
     )
 
 
+def mixed_docs(vx: DataFrame) -> DataFrame:
+    """The outlines in other spellings: relative lines for odd paths, cubics for even ones.
+
+    The relative ones leave their last edge to the closing command. The cubics have both controls on the segment's ends, so their samples lie on it.
+    """
+    two = "decimal(9,2)"
+    w = Window.partitionBy("path_id").orderBy("seq")
+    x, y = F.col("x").cast(two), F.col("y").cast(two)
+    px, py = F.lag(x).over(w), F.lag(y).over(w)
+
+    def text(*values: Column) -> Column:
+        return F.concat_ws(" ", *(v.cast("string") for v in values))
+
+    odd = F.col("path_id") % 2 == 1
+    relative = F.when(F.col("seq") == 0, F.concat(F.lit("m "), text(x, y), F.lit(" l"))).otherwise(
+        text((x - px).cast(two), (y - py).cast(two)))
+    cubic = F.when(F.col("seq") == 0, F.concat(F.lit("M"), text(x, y))).otherwise(
+        F.concat(F.lit("C"), text(px, py, x, y, x, y)))
+    steps = F.array_sort(F.collect_list(F.struct("seq", "t")))
+    return (
+        vx.select("path_id", "seq", F.when(odd, relative).otherwise(cubic).alias("t"),
+                  F.lead("seq").over(w).isNull().alias("last"))
+        .filter(~(odd & F.col("last")))
+        .groupBy("path_id")
+        .agg(F.concat(F.lit('<svg width="200" height="200"><path d="'),
+                      F.array_join(F.transform(steps, lambda e: e["t"]), " "),
+                      F.lit('z"/></svg>')).alias("svg"))
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversion requests with good and bad fields, one per event."""
     e = F.col("event_id")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STRIP_PIXELS = 1 << 18
@@ -73,6 +73,31 @@ def with_halo(pixels: DataFrame, halo: int, strip_pixels: int = STRIP_PIXELS) ->
     )
 
 
+def number_rows(
+    df: DataFrame, keys: list[str], bucket: str, order: list[str], total: str | None = None
+) -> DataFrame:
+    """0-based position ``i`` of each row within ``keys``, ordered by ``order``.
+
+    ``bucket`` is a coarse, order-preserving column. Rows are numbered inside (keys, bucket) and
+    shifted by the counts of the earlier buckets, so a huge group is numbered by many tasks.
+    ``total`` names an extra column for the group's row count.
+    """
+    group = Window.partitionBy(*keys)
+    starts = (
+        df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_start", F.sum("_c").over(group.orderBy(bucket)) - F.col("_c"))
+    )
+    if total:
+        starts = starts.withColumn(total, F.sum("_c").over(group))
+    within = Window.partitionBy(*keys, bucket).orderBy(*order)
+    return (
+        df.withColumn("_k", F.row_number().over(within) - 1)
+        .join(starts.drop("_c"), [*keys, bucket])
+        .withColumn("i", F.col("_k") + F.col("_start"))
+        .drop("_k", "_start")
+    )
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
