@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import colour as C
+from inkloom.functions import requests as Rq
 from inkloom.functions import svg as S
 from inkloom.operators import geometry as G
+from inkloom.operators import intake as I
 from inkloom.functions.colour import Rgb
 from inkloom.operators import labels as L
 from inkloom.operators import palette as P
 from inkloom.operators import quality as Q
 from inkloom.operators import regions as R
+from inkloom.operators import reports as Rp
 from inkloom.plans import derived
 from inkloom.plans.spread import attach_image_facts, checkpoint
+from inkloom.sources import images as Im
+from inkloom.sources import sinks as Sk
 
 def six(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
@@ -314,5 +319,104 @@ def outline_queries() -> dict:
     }
 
 
+# --- requests, artifacts, run log, reports ------------------------------------------------
+
+
+def _scaled(spark: SparkSession, sf: str) -> DataFrame:
+    """Image sizes and upscale variants spread over the part table."""
+    k = F.col("p_partkey")
+    variants = F.array(*(F.lit(v) for v in ("off", "auto", "2x", "4x", "4x-smooth", "huge")))
+    return derived.table(spark, sf, "part").select(
+        k.alias("image_id"), (k % 4000 + 1).alias("w"), ((k * 37) % 5000 + 1).alias("h"),
+        F.get(variants, (k % 6).cast("int")).alias("variant"),
+    ).withColumn("scale", Rq.effective_scale(
+        F.col("w"), F.col("h"), Rq.requested_scale(F.col("variant"))))
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """File names and first bytes derived from events."""
+    e = F.col("event_id")
+    names = F.array(*(F.lit(v) for v in (
+        "a/sample_", "sample_", "x.sample_", "scan.", "up.load/logo", ".hidden")))
+    ends = F.array(*(F.lit(v) for v in (".jpg", ".png", ".JPEG", "", ".tar", ".webp", ".")))
+    heads = F.array(*(F.lit(v) for v in (
+        "FFD8FFE000104A464946000101", "89504E470D0A1A0A0000000D", "524946460000000057454250",
+        "474946383961", "474946383761", "00FF", "52494646000000005741564500")))
+    return derived.table(spark, sf, "events").select(
+        e.alias("file_id"),
+        F.concat(F.get(names, (e % 6).cast("int")), e.cast("string"),
+                 F.get(ends, (e % 7).cast("int"))).alias("path"),
+        F.unhex(F.get(heads, (F.floor(e / 3) % 7).cast("int"))).alias("content"))
+
+
+def _source_vs_output(spark: SparkSession, sf: str) -> DataFrame:
+    px = derived.pixels(spark, sf)
+    blank = px.withColumn("a", F.when(F.col("image_id") % 3 == 0, 0).otherwise(F.col("a")))
+    return _rounded(I.source_vs_output(L.ink_coverage(px), L.ink_coverage(blank)),
+                    "source_coverage", "output_coverage")
+
+
+def _metrics_table(spark: SparkSession, sf: str) -> DataFrame:
+    metrics = derived.sample_metrics(spark, sf).drop("palette")
+    return Sk.write_metrics(metrics, Sk.shared_table_path(spark, "metrics"))
+
+
+def _run_log(spark: SparkSession, sf: str) -> DataFrame:
+    records = I.run_records(derived.finished_runs(spark, sf))
+    return Sk.append_runs(records, Sk.shared_table_path(spark, "runlog"))
+
+
+def intake_queries() -> dict:
+    averages = ("iou_mean_avg", "iou_aw_avg", "iou_bg_avg", "chamfer_avg", "nodes_avg",
+                "svg_kb_avg", "time_avg", "time_total")
+    return {
+        "P10_effective_scale": lambda s, d: _rounded(_scaled(s, d), "scale"),
+        "P11_scaled_thresholds": lambda s, d: _scaled(s, d).select(
+            "image_id", Rq.scaled_speckle(F.col("scale")).alias("speckle"),
+            Rq.scaled_segment(F.col("scale")).alias("segment")),
+        "P12_palette_policy": lambda s, d: derived.requests(s, d).select(
+            "req_id", F.inline(F.array(Rq.palette_policy(F.col("palette"), F.col("colors_mode"))))
+        ).select("req_id", *long("n"), "mode", "error"),
+        "P13_validate_request": lambda s, d: I.validate_requests(derived.requests(s, d)).select(
+            *long("req_id", "reject_code", "n"), "reject_reason", "mode"),
+        "P14_safe_name": lambda s, d: derived.finished_runs(s, d).select(
+            "filename_hint", Rq.safe_name(F.col("filename_hint")).alias("safe")),
+        "P22_run_id": lambda s, d: derived.runs(s, d).select(
+            "run_id", Rq.run_id(F.col("ts")).alias("id")),
+        "S2_sample_filter": lambda s, d: I.sample_filter(_files(s, d)).select("path"),
+        "S3_explode_pixels": lambda s, d: Im.explode_pixels(
+            derived.raster_rows(derived.pixels(s, d))).select(
+            "image_id", F.col("line").alias("y"), "x", "r", "g", "b", *long("a")),
+        "S5_sniff_format": lambda s, d: _files(s, d).select(
+            "file_id", Rq.sniff_format(F.col("path"), F.col("content")).alias("ext")),
+        "S6_write_metrics": lambda s, d: _metrics_table(s, d).select(
+            "sample", "variant", "iou_mean", "nodes", "render_ok"),
+        "S6_sample_report": lambda s, d: Rp.sample_report(derived.sample_metrics(s, d)),
+        "S7_run_log_append": lambda s, d: _run_log(s, d).select(
+            "id", "source", "filename_hint", *long("colors"), "colors_mode", "geom", "fmt",
+            "input_bytes", "output_bytes", F.to_json("palette").alias("palette")),
+        "J7_source_vs_output": _source_vs_output,
+        "A22_artifact_qa": lambda s, d: I.artifact_qa(derived.artifacts(s, d)).select(
+            "path_id", "status", "reason"),
+        "A23_report_aggregates": lambda s, d: _rounded(
+            Rp.report_aggregates(derived.sample_metrics(s, d)), *averages),
+        "W2_worst_chamfer": lambda s, d: Rp.worst_chamfer(derived.sample_metrics(s, d)),
+        "W3_keep_newest_runs": lambda s, d: I.keep_newest_runs(
+            derived.run_files(s, d)).select("key", "keep"),
+        "W4_latest_run": lambda s, d: I.latest_run(
+            derived.runs(s, d), ["ts", "run_id"]).select("run_id", "source", "kind", "output_bytes"),
+        "W5_variant_matrix": lambda s, d: Rp.variant_matrix(
+            derived.sample_metrics(s, d), ["vA", "vN", "vR"]),
+        "W5_variant_means": lambda s, d: _rounded(
+            Rp.variant_means(derived.sample_metrics(s, d)), *Rp.MEAN_METRICS),
+        "W7_render_failures": lambda s, d: Rp.render_failures(derived.sample_metrics(s, d)),
+        "W8_union_samples": lambda s, d: Rp.union_samples(
+            derived.runs(s, d).select("run_id", "kind"),
+            derived.requests(s, d).select(F.col("req_id").alias("run_id"),
+                                          F.col("format").alias("kind"))),
+    }
+
+
 def all_queries() -> dict:
-    return {**palette_queries(), **quality_queries(), **region_queries(), **outline_queries()}
+    return {**palette_queries(), **quality_queries(), **region_queries(), **outline_queries(),
+            **intake_queries()}

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkloom.functions.requests import run_id
 from inkloom.plans.spread import int_div, number_rows
 
 IMAGE_WIDTH = 24
@@ -227,3 +228,87 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("run_id"), "ts", F.col("user_id").alias("source"),
         F.col("event_type").alias("kind"), F.col("value").alias("output_bytes"),
     )
+
+
+def sample_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric rows per supplier (sample) and return flag (variant), with failed renders."""
+    def units(c: str) -> Column:
+        return F.sum(F.round(F.col(c) * 100).cast("bigint"))
+
+    lines = table(spark, sf_dir, "lineitem")
+    sums = lines.groupBy("l_suppkey", "l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), units("l_discount").alias("d"), units("l_tax").alias("t"),
+        units("l_quantity").alias("q"))
+    key, n = F.col("l_suppkey"), F.col("n")
+    failed = (key + n) % 17 == 0
+
+    def part(value: Column, scale: int) -> Column:
+        return F.when(~failed, F.floor(value * float(scale) / n) / float(scale))
+
+    bg = F.struct(F.lit(0).cast("bigint").alias("slot"), *(
+        ((key * m) % 256).alias(c) for m, c in ((3, "r"), (5, "g"), (7, "b"))))
+    return sums.select(
+        F.format_string("sample_%05d", key).alias("sample"),
+        F.concat(F.lit("v"), "l_returnflag").alias("variant"),
+        part(n - F.col("d") / 100.0, 10000).alias("iou_mean"),
+        part(n - F.col("t") / 100.0, 10000).alias("iou_aw"),
+        F.when(n % 4 != 0, part(n - F.col("d") / 200.0, 10000)).alias("iou_bg"),
+        part(F.col("t") / 10.0, 100).alias("chamfer"),
+        F.when(~failed, n * 3).alias("nodes"), F.col("q").alias("svg_bytes"),
+        (F.floor(n % 60) / 10.0).alias("elapsed"), (~failed).alias("render_ok"),
+        (~failed & (n % 29 == 0)).alias("degenerate"),
+        F.when(failed & (key % 2 == 0), "trace failed").alias("error"),
+        F.array(bg).alias("palette"),
+    )
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output files in good and bad states, one per outline document."""
+    key = F.col("path_id")
+    zero = ' <path d="M 0.00 0.00 L 0.00 0.00 Z"/>'
+    docs = svg_docs(vertices(spark, sf_dir))
+    suffix = F.when(key % 4 == 0, ".pdf").when(key % 11 == 0, ".eps").otherwise(".svg")
+    content = (
+        F.when((key % 4 == 0) & (key % 3 != 0), F.concat(F.lit("%PDF-1.7 "), "svg"))
+        .when(key % 7 == 0, F.replace("svg", F.lit("</svg>"), F.repeat(F.lit(zero), 3)))
+        .when(key % 13 == 0, "plain text").otherwise(F.col("svg")))
+    return docs.select(
+        "path_id", (key % 10 != 0).alias("present"), suffix.alias("suffix"),
+        content.alias("content"), (F.length("svg") + key % 400).cast("bigint").alias("n_bytes"),
+        ((key % 50) / 1000.0).alias("ink_coverage"),
+        F.when(key % 3 != 0, (key % 90) / 100.0).alias("source_coverage"))
+
+
+def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files per event named after its run id, and some with short names."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", run_id(F.col("ts")).alias("id"))
+    named = e.select("ts", "event_id", F.explode(F.array(
+        F.concat("id", F.lit(".jpg")), F.concat("id", F.lit("_meta.json")))).alias("name"))
+    return named.select("ts", F.when(F.col("event_id") % 50 == 0, F.concat(
+        F.lit("ui_"), F.col("event_id").cast("string"))).otherwise(F.col("name")).alias("name"))
+
+
+def finished_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with hint names in several spellings and sizes that may be zero."""
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        "ts", F.lit("api").alias("source"),
+        F.concat_ws("", F.when(e % 3 == 0, "/tmp/up load/").otherwise("__.lo go"),
+                    F.col("event_type"), e.cast("string"),
+                    F.when(e % 4 == 0, "?.PNG/").otherwise(".jpg_")).alias("filename_hint"),
+        (e % 16 + 1).cast("int").alias("colors"), F.lit("exact").alias("colors_mode"),
+        F.lit("off").alias("geom"), F.when(e % 7 == 0, "svg").otherwise("pdf").alias("fmt"),
+        F.array(F.struct((e % 256).alias("r"), (e % 200).alias("g"), (e % 100).alias("b"))
+                ).alias("palette"),
+        F.when(e % 13 == 0, 0).otherwise(e * 10).cast("bigint").alias("input_bytes"),
+        F.round(F.col("value") * 100).cast("bigint").alias("output_bytes"))
+
+
+def raster_rows(px: DataFrame) -> DataFrame:
+    """Pixels packed back to image bytes: one four-channel image of height 1 per pixel row."""
+    at = F.format_string("%02X%02X%02X%02X", "b", "g", "r", "a")
+    cells = F.array_sort(F.collect_list(F.struct("x", at.alias("t"))))
+    return px.groupBy("image_id", "y", "w").agg(
+        F.unhex(F.array_join(F.transform(cells, lambda c: c["t"]), "")).alias("data")
+    ).select("image_id", F.col("y").alias("line"), "w", F.lit(1).alias("h"),
+             F.lit(4).alias("n_channels"), "data")
