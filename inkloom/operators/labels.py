@@ -124,7 +124,7 @@ def prepare_corpus(
     if colors_mode not in ("up_to", "exact"):
         raise ValueError(f"colors_mode must be up_to or exact, got {colors_mode!r}")
     build = P.palette_exact if colors_mode == "exact" else P.palette_auto
-    palettes = build(pixels, max_colors).join(has_alpha(pixels), "image_id")
+    palettes = build(pixels, max_colors)
     return remap_to_palette(pixels, palettes, keep_alpha=True, strip_pixels=strip_pixels)
 
 

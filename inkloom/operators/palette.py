@@ -16,7 +16,7 @@ from inkloom.functions.colour import (
     hsl_gap, hue_deg, hue_gap, is_goldish, is_greenish, is_near_white, let, lightness,
     rgb_dist2, saturation,
 )
-from inkloom.plans.spread import int_div
+from inkloom.plans.spread import checkpoint, int_div
 
 LIGHTNESS_BINS = 13
 
@@ -38,17 +38,26 @@ def _upper_median(channel: str, light_only: bool) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {channel} DESC){only}")
 
 
-def border_sample(pixels: DataFrame) -> DataFrame:
-    """The frame pixels of each image, thinned on large images; corners appear twice."""
+def border_hits() -> Column:
+    """How often a pixel is in its image's border sample: frame pixels, thinned on large
+    images; corners lie on a row and on a column and count twice."""
     x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
     step = F.greatest(F.lit(1), int_div(F.least(w, h), 200))
     along_x = F.when(x % step == 0, (y == 0).cast("int") + (y == h - 1).cast("int")).otherwise(0)
     along_y = F.when(y % step == 0, (x == 0).cast("int") + (x == w - 1).cast("int")).otherwise(0)
-    hits = along_x + along_y
+    return along_x + along_y
+
+
+def _is_light() -> Column:
+    return is_near_white(px()) | (px().r + px().g + px().b > 600)
+
+
+def border_sample(pixels: DataFrame) -> DataFrame:
+    x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
     return (
         pixels.filter((y == 0) | (y == h - 1) | (x == 0) | (x == w - 1))
-        .filter(hits > 0)
-        .select("image_id", "w", "h", "r", "g", "b", F.explode(F.sequence(F.lit(1), hits)))
+        .filter(border_hits() > 0)
+        .select("image_id", "w", "h", "r", "g", "b", F.explode(F.sequence(F.lit(1), border_hits())))
         .drop("col")
     )
 
@@ -58,7 +67,6 @@ def estimate_background(pixels: DataFrame) -> DataFrame:
 
     Medians come from per-value counts (at most 256 per channel), merged map-side.
     """
-    light = is_near_white(px()) | (px().r + px().g + px().b > 600)
     medians = [
         _upper_median(c, only).alias(f"{which}_{c}")
         for which, only in (("light", True), ("all", False))
@@ -67,7 +75,7 @@ def estimate_background(pixels: DataFrame) -> DataFrame:
     enough = F.col("n_light") >= F.greatest(F.lit(1), int_div(F.col("n"), 3))
     stats = (
         border_sample(pixels)
-        .withColumn("light", light)
+        .withColumn("light", _is_light())
         .groupBy("image_id")
         .agg(
             F.max("w").alias("w"), F.max("h").alias("h"),
@@ -125,9 +133,83 @@ def color_counts(pixels: DataFrame) -> DataFrame:
     )
 
 
+def working_counts(pixels: DataFrame, side: int = PALETTE_SIDE) -> DataFrame:
+    """All that a palette needs of an image, from one pass over its pixels.
+
+    Rows are colours of the working copy (box-reduced when the image is larger than ``side``)
+    with ``n, first_ord``, and with ``hits``, their count in the full-size border sample.
+    ``n`` is 0 for colours that occur only in a reduced image's border. At most ``side``
+    squared working rows per image, whatever its size, and all of it is summed map-side.
+    """
+    w, h = F.col("w"), F.col("h")
+    large = F.greatest(w, h) > side
+    w2, h2 = working_size(w, h, side)
+    cell = F.when(large & ~F.col("_border"), F.floor((F.col("y") + 0.5) * h2 / h) * w2
+                  + F.floor((F.col("x") + 0.5) * w2 / w))
+    hits = border_hits()
+    alpha = F.min("a") if "a" in pixels.columns else F.lit(255)
+    roles = F.when(large & (hits > 0), F.array(F.lit(False), F.lit(True))).otherwise(
+        F.array(F.lit(False)))
+    in_cell = F.col("_cell").isNotNull()
+    first = (
+        pixels.withColumn("_border", F.explode(roles))
+        .withColumn("_cell", cell)
+        .select(
+            "image_id", "w", "h", "_border", "_cell", *(c for c in ("a",) if c in pixels.columns),
+            *(F.when(in_cell, 0).otherwise(F.col(c)).alias(f"k{c}") for c in "rgb"),
+            *(F.col(c) for c in "rgb"),
+            F.when(in_cell, F.col("_cell")).otherwise(F.col("y") * w + F.col("x")).alias("at"),
+            F.when(in_cell, 0).otherwise(hits).alias("hits"),
+        )
+        .groupBy("image_id", "w", "h", "_border", "_cell", "kr", "kg", "kb")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), F.sum("hits").alias("hits"),
+             alpha.alias("min_a"), *(F.sum(c).alias(c) for c in "rgb"))
+    )
+    rows = first.select(
+        "image_id", "w", "h", "min_a", "hits",
+        *(F.when(in_cell, F.floor(F.col(c) / F.col("n") + 0.5)).otherwise(F.col(f"k{c}"))
+          .cast("bigint").alias(c) for c in "rgb"),
+        F.when(in_cell, 1).when(F.col("_border"), 0).otherwise(F.col("n")).alias("n"),
+        F.when(~F.col("_border"), F.col("at")).alias("at"),
+    )
+    return rows.groupBy("image_id", "w", "h", "r", "g", "b").agg(
+        F.sum("n").alias("n"), F.min("at").alias("first_ord"), F.sum("hits").alias("hits"),
+        F.min("min_a").alias("min_a"))
+
+
+def background_from_counts(working: DataFrame) -> DataFrame:
+    """The background of ``working_counts``, by upper medians over at most 256 values per channel."""
+    hits, light = F.col("hits"), _is_light()
+    channels = F.array(*(F.struct(F.lit(i).alias("ch"), F.col(c).alias("v"))
+                         for i, c in enumerate("rgb")))
+    values = (
+        working.filter(hits > 0)
+        .select("image_id", "w", "h", "hits", F.when(light, hits).otherwise(0).alias("light"),
+                F.inline(channels))
+        .groupBy("image_id", "w", "h", "ch", "v")
+        .agg(F.sum("hits").alias("n"), F.sum("light").alias("n_light"))
+    )
+    whole = Window.partitionBy("image_id", "ch")
+    up = whole.orderBy("v")
+    ranked = values.select(
+        "image_id", "w", "h", "ch", "v",
+        *(F.sum(c).over(up).alias(f"{c}_cum") for c in ("n", "n_light")),
+        *(F.sum(c).over(whole).alias(f"{c}_all") for c in ("n", "n_light")),
+    )
+    enough = F.col("n_light_all") >= F.greatest(F.lit(1), int_div(F.col("n_all"), 3))
+    at_median = F.when(enough, F.col("n_light_cum") > int_div(F.col("n_light_all"), 2)).otherwise(
+        F.col("n_cum") > int_div(F.col("n_all"), 2))
+    return ranked.groupBy("image_id", "w", "h").agg(*(
+        F.min(F.when((F.col("ch") == i) & at_median, F.col("v"))).alias(f"bg_{c}")
+        for i, c in enumerate("rgb")))
+
+
 def ink_counts(counts: DataFrame, background: DataFrame) -> DataFrame:
     """Colour counts outside the background's snapping distance."""
     facts = background.select("image_id", "bg_r", "bg_g", "bg_b")
+    if "hits" in counts.columns:
+        counts = counts.filter(F.col("n") > 0).select(
+            "image_id", "r", "g", "b", "n", "first_ord")
     return counts.join(facts, "image_id").filter(rgb_dist2(px(), bg()) > BG_DIST2)
 
 
@@ -441,12 +523,18 @@ def _with_background(inks: Column, cap: Column | int) -> Column:
 
 
 def _palette_inputs(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    background = estimate_background(pixels)
-    return background, ink_counts(color_counts(box_downsample(pixels)), background)
+    """Background facts (with ``has_alpha``) and ink counts of a corpus.
+
+    The working counts feed both, so they are stored once instead of reading the pixels again.
+    """
+    working = checkpoint(working_counts(pixels))
+    alpha = working.groupBy("image_id").agg((F.min("min_a") < 255).alias("has_alpha"))
+    background = background_from_counts(working).join(alpha, "image_id")
+    return background, ink_counts(working, background)
 
 
 def palette_auto(pixels: DataFrame, max_colors: int = 4) -> DataFrame:
-    """Automatic palette: ``image_id, w, h, bg_*, palette array<slot,r,g,b>``.
+    """Automatic palette: ``image_id, w, h, has_alpha, bg_*, palette array<slot,r,g,b>``.
 
     An image whose inks collapse to one although its lightness has two far peaks falls back to
     the mass-aware choice.
@@ -469,7 +557,7 @@ def palette_auto(pixels: DataFrame, max_colors: int = 4) -> DataFrame:
     )
     cap = F.greatest(F.lit(max_colors), F.coalesce(F.size("inks"), F.lit(0)))
     return background.join(inks, "image_id", "left").select(
-        "image_id", "w", "h", *bg(), _with_background(F.col("inks"), cap).alias("palette")
+        "image_id", "w", "h", "has_alpha", *bg(), _with_background(F.col("inks"), cap).alias("palette")
     )
 
 
@@ -480,7 +568,7 @@ def palette_exact(pixels: DataFrame, max_colors: int) -> DataFrame:
         "image_id", select_exact(F.col("swatches"), max_colors).alias("inks")
     )
     return background.join(inks, "image_id", "left").select(
-        "image_id", "w", "h", *bg(), _with_background(F.col("inks"), max_colors).alias("palette")
+        "image_id", "w", "h", "has_alpha", *bg(), _with_background(F.col("inks"), max_colors).alias("palette")
     )
 
 

@@ -43,18 +43,29 @@ def _per_pixel(name: str, value):
     return run
 
 
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The pixel table, stored once for queries that read it several times."""
+    return checkpoint(derived.pixels(spark, sf))
+
+
 def _with_bg(spark: SparkSession, sf: str) -> DataFrame:
-    px = derived.pixels(spark, sf)
+    px = _stored(spark, sf)
     return attach_image_facts(px, P.estimate_background(px))
 
 
 def _counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    px = derived.pixels(spark, sf)
+    """Exact colour counts of the full-size images and their backgrounds."""
+    px = _stored(spark, sf)
     return P.color_counts(px), P.estimate_background(px)
 
 
+def _ink(spark: SparkSession, sf: str) -> DataFrame:
+    working = checkpoint(P.working_counts(derived.pixels(spark, sf)))
+    return P.ink_counts(working, P.background_from_counts(working))
+
+
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return P.color_clusters(P.ink_counts(*_counts(spark, sf)))
+    return P.color_clusters(_ink(spark, sf))
 
 
 def _swatches(column: Column, *fields: str) -> list[Column]:
@@ -114,12 +125,14 @@ def palette_queries() -> dict:
             *_swatches(P.gradient_crush(F.col("swatches")), "r", "g", "b", "mass")),
         "A9_collapse_gradient_ramps": lambda s, d: _top16(s, d).select(
             *_swatches(P.collapse_gradient_ramps(F.col("swatches"), 2), "r", "g", "b", "mass")),
-        "A10_bimodal_guard": lambda s, d: P.lightness_peaks(P.ink_counts(*_counts(s, d))),
+        "A10_bimodal_guard": lambda s, d: P.lightness_peaks(_ink(s, d)),
         "A11_palette_auto": lambda s, d: P.palette_rows(P.palette_auto(derived.pixels(s, d))),
         "A12_palette_exact": lambda s, d: P.palette_rows(P.palette_exact(derived.pixels(s, d), 2)),
         "A29_extract_colors": lambda s, d: P.extract_colors(derived.pixels(s, d)),
-        "A13_unique_color_count": lambda s, d: P.unique_color_count(_counts(s, d)[0]),
-        "A14_raw_color_histogram": lambda s, d: P.raw_color_histogram(_counts(s, d)[0]).select(
+        "A13_unique_color_count": lambda s, d: P.unique_color_count(
+            P.color_counts(derived.pixels(s, d))),
+        "A14_raw_color_histogram": lambda s, d: P.raw_color_histogram(
+            P.color_counts(derived.pixels(s, d))).select(
             "image_id", "rank", "r", "g", "b", "n", six("share").alias("share"),
             six("lightness").alias("lightness"), six("saturation").alias("saturation")),
         "A15_white_fraction": lambda s, d: P.white_fraction(derived.pixels(s, d)).select(
@@ -139,18 +152,21 @@ LOW_IOU = 0.97  # the corpus is traced well, so the default of 0.5 would select
 
 
 def _labels(spark: SparkSession, sf: str, rendered: bool = False, modulus: int = 11) -> DataFrame:
-    px = derived.pixels(spark, sf)
+    px = _stored(spark, sf)
     raster = derived.traced(px, modulus) if rendered else px
     return L.assign_nearest(raster, derived.band_palettes(px))
 
 
-def _pairs(spark: SparkSession, sf: str, modulus: int = 11) -> DataFrame:
-    px = derived.pixels(spark, sf)
-    return Q.label_pairs(px, derived.traced(px, modulus), derived.band_palettes(px))
+def _pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Paired labels of the source and the traced images, and the palettes used."""
+    px = _stored(spark, sf)
+    palettes = checkpoint(derived.band_palettes(px))
+    return Q.label_pairs(px, derived.traced(px), palettes), palettes
 
 
 def _table(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return Q.contingency(_pairs(spark, sf)), derived.band_palettes(derived.pixels(spark, sf))
+    pairs, palettes = _pairs(spark, sf)
+    return checkpoint(Q.contingency(pairs)), palettes
 
 
 def _masks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -159,30 +175,35 @@ def _masks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _nearest(spark: SparkSession, sf: str) -> DataFrame:
-    edges = checkpoint(Q.edge_pair(_pairs(spark, sf)))
+    edges = checkpoint(Q.edge_pair(_pairs(spark, sf)[0]))
     near = Q.nearest_edge(edges.filter("out_edge"), edges.filter("ref_edge"))
     return near.select("image_id", "x", "y", "d2")
 
 
 def _chamfer(spark: SparkSession, sf: str) -> DataFrame:
-    edges = checkpoint(Q.edge_pair(_pairs(spark, sf)))
-    images = derived.pixels(spark, sf).select("image_id").distinct()
-    return Q.chamfer(edges, images)
+    pairs, palettes = _pairs(spark, sf)
+    return Q.chamfer(checkpoint(Q.edge_pair(pairs)), palettes)
 
 
 def _xor(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _pairs(spark, sf)
-    table = Q.contingency(pairs)
-    palettes = derived.band_palettes(derived.pixels(spark, sf))
+    pairs, palettes = _pairs(spark, sf)
+    pairs = checkpoint(pairs)
+    table = checkpoint(Q.contingency(pairs))
     masks = Q.mask_iou(table, Q.pair_palettes(table, palettes))
     return Q.xor_mask(pairs, masks, LOW_IOU).select(*at(), "slot")
 
 
 def _remapped(spark: SparkSession, sf: str) -> DataFrame:
-    px = derived.pixels(spark, sf)
+    px = _stored(spark, sf)
     return L.remap_to_palette(px, derived.band_palettes(px), keep_alpha=True)
 
 
+def _present(spark: SparkSession, sf: str) -> DataFrame:
+    px = _stored(spark, sf)
+    palettes = checkpoint(derived.band_palettes(px))
+    return Q.present_colors(L.assign_nearest(px, palettes), palettes)
+
+
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     return derived.pixels(spark, sf).groupBy("image_id").agg(
         F.count_if(F.col("pk") % 7 == 0).alias("nodes"))
@@ -192,7 +213,7 @@ def quality_queries() -> dict:
     return {
         "J1_assign_nearest": lambda s, d: _labels(s, d).select(*at(), "slot", "r", "g", "b"),
         "J2_remap_to_palette": lambda s, d: _remapped(s, d).select(*at(), "slot", "r", "g", "b"),
-        "J2b_prepare_corpus": lambda s, d: L.prepare_corpus(derived.pixels(s, d), 4).select(
+        "J2b_prepare_corpus": lambda s, d: L.prepare_corpus(_stored(s, d), 4).select(
             *at(), "slot", "r", "g", "b", "a"),
         "P20_alpha_rule": lambda s, d: _remapped(s, d).select(*at(), "a"),
         "J3_contingency": lambda s, d: Q.contingency(
@@ -201,13 +222,13 @@ def quality_queries() -> dict:
         "J5_nearest_edge": _nearest,
         "J6_neighbour_join": lambda s, d: Q.neighbour_join(_labels(s, d), ["slot"]).select(
             *at(), "slot", "slot_left", "slot_right", "slot_up", "slot_down"),
-        "J8_present_colors": lambda s, d: Q.present_colors(
-            _labels(s, d), derived.band_palettes(derived.pixels(s, d))),
+        "J8_present_colors": _present,
         "A16_mask_iou": lambda s, d: _masks(s, d)[1].drop("iou_raw"),
         "A17_sample_iou": lambda s, d: Q.sample_iou(*_masks(s, d)),
         "A18_edge_map": lambda s, d: Q.edge_map(_labels(s, d)).select(*at()),
         "A19_chamfer": _chamfer,
-        "A20_degenerate_flag": lambda s, d: Q.degenerate_flag(_table(s, d)[0], _nodes(s, d)),
+        "A20_degenerate_flag": lambda s, d: Q.degenerate_flag(
+            _table(s, d)[0], _nodes(s, d)),
         "A21_ink_coverage": lambda s, d: L.ink_coverage(derived.pixels(s, d)).select(
             "image_id", six("ink_coverage").alias("ink_coverage")),
         "A24_self_test": lambda s, d: Q.self_test(_labels(s, d)).select(
@@ -233,8 +254,9 @@ def _regions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _snapped(spark: SparkSession, sf: str) -> DataFrame:
-    stats = R.region_stats(_regions(spark, sf), **SMALL_DISKS)
-    return R.snap_disks(_labels(spark, sf), stats)
+    labels = checkpoint(_labels(spark, sf))
+    regions = R.connected_components(R.binary_opening(R.with_ink_code(labels)))
+    return R.snap_disks(labels, R.region_stats(regions, **SMALL_DISKS))
 
 
 def region_queries() -> dict:
@@ -350,7 +372,7 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _source_vs_output(spark: SparkSession, sf: str) -> DataFrame:
-    px = derived.pixels(spark, sf)
+    px = _stored(spark, sf)
     blank = px.withColumn("a", F.when(F.col("image_id") % 3 == 0, 0).otherwise(F.col("a")))
     return _rounded(I.source_vs_output(L.ink_coverage(px), L.ink_coverage(blank)),
                     "source_coverage", "output_coverage")

@@ -14,7 +14,8 @@ from inkloom.functions.requests import run_id
 from inkloom.plans.spread import int_div, number_rows
 
 IMAGE_WIDTH = 24
-RANGES = 4096
+RANGE_ROWS = 1 << 20
+MAX_RANGES = 1 << 16
 ROW_ORDER = (
     "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate",
 )
@@ -26,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _numbered(lines: DataFrame) -> DataFrame:
     """``i`` = 0-based position of each row in its supplier's order, ``n`` = the supplier's rows."""
-    top = lines.agg(F.max("l_orderkey").alias("top"))
-    ranged = lines.crossJoin(F.broadcast(top)).withColumn(
-        "rng", int_div(F.col("l_orderkey"), int_div(F.col("top"), RANGES) + 1)
-    )
+    # Ranges of the order key, about RANGE_ROWS rows each over all suppliers.
+    span = lines.agg(F.max("l_orderkey").alias("top"), F.count(F.lit(1)).alias("rows"))
+    ranges = F.least(F.lit(MAX_RANGES), int_div(F.col("rows"), RANGE_ROWS) + 1)
+    ranged = lines.crossJoin(F.broadcast(span)).withColumn(
+        "rng", int_div(F.col("l_orderkey"), int_div(F.col("top"), ranges) + 1)
+    ).drop("top", "rows")
     return number_rows(ranged, ["l_suppkey"], "rng", list(ROW_ORDER), total="n")
 
 

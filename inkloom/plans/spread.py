@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STRIP_PIXELS = 1 << 18
+# A fact row holds at most a palette of 17 colours with its coefficients, about 1.5 kB.
+BROADCAST_ROWS = 20_000
 MIN_STRIP_ROWS = 8
 
 
@@ -37,14 +39,17 @@ def attach_image_facts(
 ) -> DataFrame:
     """Join of per-image ``facts`` (with ``w`` and ``h``) to pixel rows.
 
-    Small fact tables are broadcast by Spark's own size threshold; beyond it the join key
-    carries the strip, so one huge image never lands in one task.
+    The facts are stored first, which makes their number known: up to ``BROADCAST_ROWS`` they
+    are broadcast and the pixels are not shuffled at all. Beyond it the join key carries the
+    strip, so one huge image never lands in one task.
     """
+    stored = checkpoint(facts)
+    if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return pixels.join(F.broadcast(stored.drop("w", "h")), "image_id", how)
     last = strip_of(F.col("h") - 1, F.col("w"), strip_pixels)
-    per_strip = facts.withColumn("_strip", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    per_strip = stored.withColumn("_strip", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     keyed = pixels.withColumn("_strip", strip_of(F.col("y"), F.col("w"), strip_pixels))
-    return keyed.join(per_strip.drop("w", "h"), ["image_id", "_strip"], how).drop(
-        "_strip")
+    return keyed.join(per_strip.drop("w", "h"), ["image_id", "_strip"], how).drop("_strip")
 
 
 def with_halo(pixels: DataFrame, halo: int, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
