@@ -7,11 +7,14 @@ need to know about their ring reaches them through a join on that pair.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.functions.colour import let
 from inkloom.functions.svg import svg_d_extract
-from inkloom.plans.spread import checkpoint, int_div, number_rows
+from inkloom.plans.spread import checkpoint, int_div, number_rows, whole_groups
 
 # Fixed values.
 RDP_EPSILON = 1.25
@@ -24,6 +27,8 @@ SAME_POINT = 1e-6
 KEYS = ["path_id", "ring"]
 BLOCK = 4096
 CHUNK = 1024
+FOLD_RUN = 512
+SMALL_SEGMENT = 1 << 17
 
 
 def _norm(dx: Column, dy: Column) -> Column:
@@ -177,17 +182,47 @@ def circle_candidates(
 # --- simplification -----------------------------------------------------------------------
 
 
-def _split_rounds(active: DataFrame, epsilon: float) -> DataFrame:
+def _split_small(active: pd.DataFrame, epsilon: float) -> pd.DataFrame:
+    """Kept vertices of whole segments: every round splits all open segments at once."""
+    x, y, ax, ay, bx, by = (active[c].to_numpy(float) for c in ("x", "y", "ax", "ay", "bx", "by"))
+    segment = np.r_[0, np.cumsum((active[[*KEYS, "s"]].to_numpy()[1:]
+                                  != active[[*KEYS, "s"]].to_numpy()[:-1]).any(axis=1))]
+    row, keep = np.arange(len(active)), np.zeros(len(active), bool)
+    while len(row):
+        dx, dy = bx - ax, by - ay
+        span = np.sqrt(dx * dx + dy * dy)
+        off = np.abs(dy * x[row] - dx * y[row] + bx * ay - by * ax) / np.where(span == 0, 1.0, span)
+        first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        which = np.cumsum(np.r_[True, segment[1:] != segment[:-1]]) - 1
+        top = np.maximum.reduceat(off, first)
+        at = np.flatnonzero(off == top[which])
+        at = at[np.r_[True, which[at][1:] != which[at][:-1]]]
+        keep[row[at[top > epsilon]]] = True
+        m = at[which]
+        here = np.arange(len(row))
+        stay = (top[which] > epsilon) & (here != m)
+        left = here < m
+        ax, ay = np.where(left, ax, x[row[m]])[stay], np.where(left, ay, y[row[m]])[stay]
+        bx, by = np.where(left, x[row[m]], bx)[stay], np.where(left, y[row[m]], by)[stay]
+        segment, row = (2 * which + ~left)[stay], row[stay]
+    return active.loc[keep, [*KEYS, "seq", "x", "y"]]
+
+
+def _split_rounds(active: DataFrame, largest: int, epsilon: float) -> DataFrame:
     """Vertices kept by recursive farthest-point splitting of independent segments.
 
     ``active`` has one row per interior vertex with its open segment: start ``s``, end ``e``
-    and their coordinates ``ax, ay, bx, by``. All open segments of the corpus are split in the
-    same round, so the number of rounds is the depth of the recursion, not its size.
+    and their coordinates ``ax, ay, bx, by``. Segments longer than SMALL_SEGMENT are split by
+    distributed rounds, all of them in the same round; the pieces that fit are finished
+    where they are, many per batch. ``largest`` bounds the longest segment at the start.
     """
-    kept: DataFrame | None = None
     columns = [*KEYS, "seq", "x", "y", "s", "e", "ax", "ay", "bx", "by"]
     active = active.select(*columns)
-    while True:
+    fits = F.col("e") - F.col("s") <= SMALL_SEGMENT
+    kept: list[DataFrame] = []
+    small = [active if largest <= SMALL_SEGMENT else active.filter(fits)]
+    active = active.filter(~fits)
+    while largest > SMALL_SEGMENT:
         dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
         span = _norm(dx, dy)
         off = F.abs(dy * F.col("x") - dx * F.col("y") + F.col("bx") * F.col("ay")
@@ -210,19 +245,34 @@ def _split_rounds(active: DataFrame, epsilon: float) -> DataFrame:
             *(F.when(left, F.col(f"a{c}")).otherwise(m[c]).alias(f"a{c}") for c in "xy"),
             *(F.when(left, m[c]).otherwise(F.col(f"b{c}")).alias(f"b{c}") for c in "xy"),
         ))
-        found = state.filter("split").select(*KEYS, "seq", "x", "y")
-        kept = found if kept is None else kept.unionByName(found)
-        active = state.filter(~F.col("split")).select(*columns)
+        kept.append(state.filter("split").select(*KEYS, "seq", "x", "y"))
+        rest = state.filter(~F.col("split")).select(*columns)
+        small.append(rest.filter(fits))
+        active = rest.filter(~fits)
         if active.isEmpty():
-            return kept
+            break
+    pieces = small[0]
+    for p in small[1:]:
+        pieces = pieces.unionByName(p)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(
+        *KEYS, "seq", "x", "y").schema)
+    done = whole_groups(pieces, [*KEYS, "s"], ["seq"],
+                        lambda pdf: _split_small(pdf, epsilon), schema)
+    for k in kept:
+        done = done.unionByName(k)
+    return done
+
+
+def _largest(facts: DataFrame, column: str) -> int:
+    return facts.agg(F.max(column)).first()[0] or 0
 
 
 def simplify_polyline(points: DataFrame, epsilon: float = RDP_EPSILON) -> DataFrame:
     """Farthest-point simplification of each ring between its first and last vertex."""
     p = F.struct("x", "y")
-    ends = points.groupBy(*KEYS).agg(
+    ends = checkpoint(points.groupBy(*KEYS).agg(
         (F.count(F.lit(1)) - 1).alias("e"), F.min_by(p, "seq").alias("a"),
-        F.max_by(p, "seq").alias("b"))
+        F.max_by(p, "seq").alias("b")))
     placed = attach_ring_facts(points, ends, last="e")
     border = (F.col("seq") == 0) | (F.col("seq") == F.col("e"))
     inner = placed.filter(~border).select(
@@ -230,7 +280,7 @@ def simplify_polyline(points: DataFrame, epsilon: float = RDP_EPSILON) -> DataFr
         F.col("a.x").alias("ax"), F.col("a.y").alias("ay"),
         F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
     fixed = placed.filter(border).select(*KEYS, "seq", "x", "y")
-    return fixed.unionByName(_split_rounds(inner, epsilon))
+    return fixed.unionByName(_split_rounds(inner, _largest(ends, "e"), epsilon))
 
 
 def _renumber(points: DataFrame) -> DataFrame:
@@ -318,8 +368,8 @@ def simplify_ring(
     The repeated end of a closed ring is put back afterwards; collinear vertices are dropped
     last. Open lines take the same split, their second half ending at the first vertex.
     """
-    ends = ring_ends(points, tolerance).withColumn(
-        "m", F.when(F.col("n") < 3, F.col("n")).otherwise(F.col("n") - F.col("closed").cast("int")))
+    ends = checkpoint(ring_ends(points, tolerance).withColumn(
+        "m", F.when(F.col("n") < 3, F.col("n")).otherwise(F.col("n") - F.col("closed").cast("int"))))
     placed = checkpoint(
         attach_ring_facts(points, ends).filter(F.col("seq") < F.col("m"))
         .select(*KEYS, F.col("seq").cast("bigint").alias("seq"), "x", "y", "n", "m", "closed", "p0"))
@@ -342,7 +392,7 @@ def simplify_ring(
         *(F.when(left, F.col(f"far.{c}")).otherwise(F.col(f"p0.{c}")).alias(f"b{c}") for c in "xy"),
     )
     kept = halves.filter(fixed).select(*KEYS, "seq", "x", "y").unionByName(
-        _split_rounds(inner, epsilon))
+        _split_rounds(inner, _largest(ends, "m"), epsilon))
     again = placed.filter((seq == 0) & F.col("closed") & (F.col("n") >= 3)).select(
         *KEYS, F.col("m").alias("seq"), "x", "y", "m")
     merged = kept.unionByName(again.filter(~tiny).drop("m"))
@@ -446,57 +496,56 @@ def _path_steps(paths: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _positions(steps: DataFrame, key: list[str]) -> DataFrame:
-    """Current point after each step.
+    """Start ``px, py`` and end ``x, y`` of each step, and the ring it draws.
 
-    Within a subpath (and between two closings of it) a coordinate is the last absolute value
-    plus the relative moves since, or the subpath start plus those moves. The starts follow
-    the same rule one level up, so all of it is running sums.
+    A running fold over the steps of one path, which all come from one document cell. The
+    steps are folded in runs of FOLD_RUN, so that growing the result stays cheap.
     """
-    sub_rows = Window.partitionBy(*key).orderBy("pos")
-    steps = steps.withColumn("sub", F.count_if(F.col("cmd") == "m").over(sub_rows))
-    in_sub = Window.partitionBy(*key, "sub").orderBy("pos")
-    closes = F.count_if(F.col("cmd") == "z")
-    steps = steps.withColumn(
-        "epoch", closes.over(in_sub) - (F.col("cmd") == "z").cast("int"))
-    steps = steps.withColumn("era", closes.over(in_sub))
-    value = {
-        "x": _by_letter(F.col("cmd"), {"m": F.col("a0"), "l": F.col("a0"), "h": F.col("a0"),
-                                       "c": F.col("a4"), "s": F.col("a2"), "q": F.col("a2"),
-                                       "a": F.col("a5")}, None),
-        "y": _by_letter(F.col("cmd"), {"m": F.col("a1"), "l": F.col("a1"), "v": F.col("a0"),
-                                       "c": F.col("a5"), "s": F.col("a3"), "q": F.col("a3"),
-                                       "a": F.col("a6")}, None),
-    }
-    for c in "xy":
-        fixed = value[c].isNotNull() & ~F.col("rel") & (F.col("cmd") != "m")
-        moves = value[c].isNotNull() & (F.col("cmd") != "m")
-        era = Window.partitionBy(*key, "sub", "era")
-        steps = steps.withColumn(f"{c}_set", F.count_if(fixed).over(era.orderBy("pos")))
-        group = Window.partitionBy(*key, "sub", "era", f"{c}_set").orderBy("pos")
-        steps = steps.withColumn(f"{c}_off", F.sum(F.when(moves, value[c]).otherwise(0.0)).over(group))
-        steps = steps.withColumn(f"{c}_m", F.when(F.col("cmd") == "m", value[c]))
-    subs = steps.groupBy(*key, "sub").agg(
-        *(F.max_by(F.struct((F.col(f"{c}_set") > 0).alias("fixed"), F.col(f"{c}_off").alias("off")),
-                   "pos").alias(f"{c}_end") for c in "xy"),
-        *(F.max(f"{c}_m").alias(f"{c}_m") for c in "xy"),
-        F.bool_or((F.col("cmd") == "m") & F.col("rel")).alias("m_rel"),
+    axis = {"x": ({"m": "a0", "l": "a0", "h": "a0", "c": "a4", "s": "a2", "q": "a2", "a": "a5"}),
+            "y": ({"m": "a1", "l": "a1", "v": "a0", "c": "a5", "s": "a3", "q": "a3", "a": "a6"})}
+    args = [f"a{j}" for j in range(7)]
+    step = F.struct("pos", "cmd", "rel", *args, *(
+        _by_letter(F.col("cmd"), {k: F.col(v) for k, v in axis[c].items()}, None).alias(f"e{c}")
+        for c in "xy"))
+    listed = steps.groupBy(*key).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    placed = "array<struct<pos:int,px:double,py:double,x:double,y:double,ring:int>>"
+    zero, none = F.lit(0.0), F.array().cast(placed)
+
+    def state(x, y, sx, sy, ring, out) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"), sx.alias("sx"), sy.alias("sy"),
+                        ring.alias("ring"), out.alias("out"))
+
+    def move(acc: Column, e: Column, c: str) -> Column:
+        to = e[f"e{c}"]
+        return F.when(e["cmd"] == "z", acc[f"s{c}"]).when(to.isNull(), acc[c]).when(
+            e["rel"], acc[c] + to).otherwise(to)
+
+    def advance(acc: Column, e: Column) -> Column:
+        x, y = move(acc, e, "x"), move(acc, e, "y")
+        start, close = e["cmd"] == "m", e["cmd"] == "z"
+        ring = acc["ring"] + start.cast("int")
+        here = F.struct(e["pos"].alias("pos"), acc["x"].alias("px"), acc["y"].alias("py"),
+                        x.alias("x"), y.alias("y"), ring.alias("ring"))
+        return state(x, y, F.when(start, x).otherwise(acc["sx"]),
+                     F.when(start, y).otherwise(acc["sy"]), ring + close.cast("int"),
+                     F.concat(acc["out"], F.array(here)))
+
+    def run(acc: Column, part: Column) -> Column:
+        begin = state(acc["x"], acc["y"], acc["sx"], acc["sy"], acc["ring"], none)
+        return let(F.aggregate(part, begin, advance), lambda end: state(
+            end["x"], end["y"], end["sx"], end["sy"], end["ring"],
+            F.concat(acc["out"], F.array(end["out"]))))
+
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size("steps"), F.lit(FOLD_RUN)),
+        lambda i: F.slice("steps", i, F.lit(FOLD_RUN)))
+    begin = state(zero, zero, zero, zero, F.lit(0), F.array().cast(f"array<{placed}>"))
+    return (
+        listed.withColumn("at", F.flatten(F.aggregate(runs, begin, run)["out"]))
+        .select(*key, F.explode(F.arrays_zip("steps", "at")).alias("z"))
+        .select(*key, *(F.col(f"z.steps.{c}").alias(c) for c in ("pos", "cmd", "rel", *args)),
+                *(F.col(f"z.at.{c}").alias(c) for c in ("px", "py", "x", "y", "ring")))
     )
-    by_sub = Window.partitionBy(*key).orderBy("sub")
-    for c in "xy":
-        end = F.lag(f"{c}_end").over(by_sub)
-        subs = subs.withColumn(f"{c}_prev", end)
-        anchored = ~F.col("m_rel") | F.coalesce(F.col(f"{c}_prev.fixed"), F.lit(True))
-        gain = F.coalesce(F.col(f"{c}_m"), F.lit(0.0)) + F.when(
-            F.col("m_rel"), F.coalesce(F.col(f"{c}_prev.off"), F.lit(0.0))).otherwise(0.0)
-        subs = subs.withColumn(f"{c}_run", F.count_if(anchored).over(by_sub))
-        run = Window.partitionBy(*key, f"{c}_run").orderBy("sub")
-        subs = subs.withColumn(f"{c}_start", F.sum(gain).over(run))
-    placed = steps.join(subs.select(*key, "sub", "x_start", "y_start"), [*key, "sub"])
-    for c in "xy":
-        placed = placed.withColumn(c, F.when(F.col(f"{c}_set") > 0, F.col(f"{c}_off")).otherwise(
-            F.col(f"{c}_start") + F.col(f"{c}_off")))
-    return placed.withColumn("px", F.lag("x", 1, 0.0).over(sub_rows)).withColumn(
-        "py", F.lag("y", 1, 0.0).over(sub_rows))
 
 
 def path_vertices(docs: DataFrame, doc_id: str = "path_id", column: str = "svg") -> DataFrame:
@@ -529,23 +578,21 @@ def path_vertices(docs: DataFrame, doc_id: str = "path_id", column: str = "svg")
             toward(p3, control(i, axis)))
         curve = u * u * u * p0 + 3 * u * u * t * c1 + 3 * u * t * t * c2 + t * t * t * p3
         points[axis] = F.when(cmd == "z", None).when(F.col("n") == 1, p3).otherwise(curve)
-    ring = Window.partitionBy(*key, "sub", "epoch")
-    drawn = sampled.select(*key, "sub", "epoch", "pos", "k", cmd,
-                           points["x"].alias("x"), points["y"].alias("y"))
+    ring = Window.partitionBy(*key, "ring")
     along = ring.orderBy("pos", "k")
-    first = {c: F.first(c, ignorenulls=True).over(along) for c in "xy"}
-    prev = {c: F.lag(c).over(along) for c in "xy"}
+    drawn = sampled.select(*key, "ring", "pos", "k", cmd,
+                           points["x"].alias("x"), points["y"].alias("y"))
     drawn = drawn.select(
-        *key, "sub", "epoch", "pos", "k", "cmd", "x", "y",
-        *(first[c].alias(f"f{c}") for c in "xy"), *(prev[c].alias(f"l{c}") for c in "xy"))
+        *key, "ring", "pos", "k", "cmd", "x", "y",
+        *(F.first(c, ignorenulls=True).over(along).alias(f"f{c}") for c in "xy"),
+        *(F.lag(c).over(along).alias(f"l{c}") for c in "xy"))
     reopened = F.coalesce((F.col("fx") != F.col("lx")) | (F.col("fy") != F.col("ly")), F.lit(False))
     drawn = drawn.filter((cmd != "z") | reopened).select(
-        *key, "sub", "epoch", "pos", "k",
+        *key, "ring", "pos", "k",
         *(F.when(cmd == "z", F.col(f"f{c}")).otherwise(F.col(c)).alias(c) for c in "xy"))
-    rings = Window.partitionBy(*key).orderBy("sub", "epoch")
     return (
-        drawn.withColumn("len", F.count(F.lit(1)).over(ring)).filter(F.col("len") >= 2)
-        .withColumn("ring", F.dense_rank().over(rings) - 1)
-        .withColumn("seq", F.row_number().over(along) - 1)
+        drawn.withColumn("seq", F.row_number().over(along) - 1)
+        .withColumn("len", F.count(F.lit(1)).over(ring)).filter(F.col("len") >= 2)
+        .withColumn("ring", F.dense_rank().over(Window.partitionBy(*key).orderBy("ring")) - 1)
         .select(*key, "ring", "seq", "x", "y")
     )

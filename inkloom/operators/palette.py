@@ -165,16 +165,25 @@ def working_counts(pixels: DataFrame, side: int = PALETTE_SIDE) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), F.sum("hits").alias("hits"),
              alpha.alias("min_a"), *(F.sum(c).alias(c) for c in "rgb"))
     )
-    rows = first.select(
-        "image_id", "w", "h", "min_a", "hits",
-        *(F.when(in_cell, F.floor(F.col(c) / F.col("n") + 0.5)).otherwise(F.col(f"k{c}"))
-          .cast("bigint").alias(c) for c in "rgb"),
-        F.when(in_cell, 1).when(F.col("_border"), 0).otherwise(F.col("n")).alias("n"),
-        F.when(~F.col("_border"), F.col("at")).alias("at"),
+    # Small images are finished here; cells and borders of large ones become colours once more.
+    stored = checkpoint(first)
+    done = stored.filter(~in_cell & ~F.col("_border")).select(
+        "image_id", "w", "h", *(F.col(f"k{c}").cast("bigint").alias(c) for c in "rgb"), "n",
+        F.col("at").cast("bigint").alias("first_ord"), "hits", "min_a")
+    reduced = (
+        stored.filter(in_cell | F.col("_border"))
+        .select(
+            "image_id", "w", "h", "min_a", "hits",
+            *(F.when(in_cell, F.floor(F.col(c) / F.col("n") + 0.5)).otherwise(F.col(f"k{c}"))
+              .cast("bigint").alias(c) for c in "rgb"),
+            in_cell.cast("bigint").alias("n"),
+            F.when(in_cell, F.col("at").cast("bigint")).alias("at"),
+        )
+        .groupBy("image_id", "w", "h", "r", "g", "b")
+        .agg(F.sum("n").alias("n"), F.min("at").alias("first_ord"), F.sum("hits").alias("hits"),
+             F.min("min_a").alias("min_a"))
     )
-    return rows.groupBy("image_id", "w", "h", "r", "g", "b").agg(
-        F.sum("n").alias("n"), F.min("at").alias("first_ord"), F.sum("hits").alias("hits"),
-        F.min("min_a").alias("min_a"))
+    return done.unionByName(reduced)
 
 
 def background_from_counts(working: DataFrame) -> DataFrame:
@@ -525,9 +534,9 @@ def _with_background(inks: Column, cap: Column | int) -> Column:
 def _palette_inputs(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Background facts (with ``has_alpha``) and ink counts of a corpus.
 
-    The working counts feed both, so they are stored once instead of reading the pixels again.
+    The stored working counts feed both.
     """
-    working = checkpoint(working_counts(pixels))
+    working = working_counts(pixels)
     alpha = working.groupBy("image_id").agg((F.min("min_a") < 255).alias("has_alpha"))
     background = background_from_counts(working).join(alpha, "image_id")
     return background, ink_counts(working, background)

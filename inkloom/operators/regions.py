@@ -6,8 +6,6 @@ statistics need; ``region_pixels`` expands them again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +14,7 @@ from pyspark.sql import functions as F
 from inkloom.functions.colour import Rgb
 from inkloom.operators import palette as P
 from inkloom.plans.spread import (
-    STRIP_PIXELS, attach_image_facts, checkpoint, strip_of, with_halo,
+    STRIP_PIXELS, attach_image_facts, checkpoint, strip_of, whole_groups, with_halo,
 )
 
 WHITE_MIN = 250
@@ -141,23 +139,6 @@ def _label_runs(runs: pd.DataFrame) -> pd.DataFrame:
     return runs.assign(local=y[label] * w[label] + x0[label])
 
 
-def _label_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Label whole strips; the last strip of a batch waits for its remaining rows."""
-    waiting: list[pd.DataFrame] = []
-    key = ["image_id", "strip"]
-    for batch in batches:
-        tail = (batch[key] == batch[key].iloc[-1]).all(axis=1)
-        if waiting and (waiting[0][key].iloc[0] == batch[key].iloc[-1]).all():
-            waiting.append(batch)
-            continue
-        ready = pd.concat([*waiting, batch[~tail]]) if waiting else batch[~tail]
-        waiting = [batch[tail]]
-        if len(ready):
-            yield _label_runs(ready)
-    if waiting:
-        yield _label_runs(pd.concat(waiting))
-
-
 def _merge_strips(labelled: DataFrame) -> DataFrame | None:
     """``image_id, strip, local, region`` for components that cross strips, None if none do.
 
@@ -196,11 +177,8 @@ def connected_components(mask: DataFrame, strip_pixels: int = STRIP_PIXELS) -> D
     ``region`` is the row-major position of the region's first pixel. ``mask`` has a colour
     code ``c`` per pixel; pixels that are absent or null belong to no region.
     """
-    runs = _runs(mask, strip_pixels).repartition("image_id", "strip").sortWithinPartitions(
-        "image_id", "strip", "y", "x0")
-    labelled = checkpoint(
-        runs.select("image_id", "strip", "own", "y", "x0", "x1", "w", "h", "c")
-        .mapInPandas(_label_batches, RUN_SCHEMA))
+    labelled = checkpoint(whole_groups(
+        _runs(mask, strip_pixels), ["image_id", "strip"], ["y", "x0"], _label_runs, RUN_SCHEMA))
     crossing = _merge_strips(labelled)
     own = labelled.filter("own")
     if crossing is None:

@@ -60,7 +60,7 @@ def _counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _ink(spark: SparkSession, sf: str) -> DataFrame:
-    working = checkpoint(P.working_counts(derived.pixels(spark, sf)))
+    working = P.working_counts(derived.pixels(spark, sf))
     return P.ink_counts(working, P.background_from_counts(working))
 
 

@@ -10,7 +10,9 @@ inside a strip after the rows next to its border have been copied into it.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,32 @@ def number_rows(
     )
 
 
+def whole_groups(df: DataFrame, keys: list[str], order: list[str], work, schema: str) -> DataFrame:
+    """Run ``work`` on pandas frames holding many whole groups of ``keys``, rows in ``order``.
+
+    For groups of bounded size. One shuffle and one sort; a group cut by a batch border waits
+    for its remaining rows, so ``work`` can treat all groups of a frame at once.
+    """
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        for frame in frames:
+            if frame.empty:
+                continue
+            last = frame[keys].iloc[-1]
+            tail = (frame[keys] == last).all(axis=1)
+            if waiting and tail.all() and (waiting[0][keys].iloc[0] == last).all():
+                waiting.append(frame)
+                continue
+            ready = pd.concat([*waiting, frame[~tail]], ignore_index=True)
+            waiting = [frame[tail]]
+            if len(ready):
+                yield work(ready)
+        if waiting:
+            yield work(pd.concat(waiting, ignore_index=True))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(batches, schema)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
