@@ -395,7 +395,7 @@ def simplify_ring(
         _split_rounds(inner, _largest(ends, "m"), epsilon))
     again = placed.filter((seq == 0) & F.col("closed") & (F.col("n") >= 3)).select(
         *KEYS, F.col("m").alias("seq"), "x", "y", "m")
-    merged = kept.unionByName(again.filter(~tiny).drop("m"))
+    merged = checkpoint(kept.unionByName(again.filter(~tiny).drop("m")))
     short = placed.filter(tiny).select(*KEYS, "seq", "x", "y").unionByName(
         again.filter(tiny).drop("m"))
     return collapse_collinear(_renumber(merged)).unionByName(
@@ -411,9 +411,10 @@ def normalize_paths(points: DataFrame, level: str = "basic") -> DataFrame:
     if level not in ("basic", "strict"):
         raise ValueError("level must be basic or strict")
     ends = ring_ends(points).filter(F.col("n") >= 2).select(*KEYS, "closed")
-    simple = _renumber(simplify_ring(points, tolerance=CLOSE_TOLERANCE)).drop("n")
+    simple = _renumber(checkpoint(simplify_ring(points, tolerance=CLOSE_TOLERANCE))).drop("n")
     step = F.format_string("%s %.2f %.2f", F.when(F.col("seq") == 0, "M").otherwise("L"), "x", "y")
     listed = F.array_sort(F.collect_list(F.struct("seq", step.alias("t"))))
+    simple = checkpoint(simple) if level == "strict" else simple
     rings = (
         simple.groupBy(*KEYS).agg(
             F.count(F.lit(1)).alias("n_simple"),

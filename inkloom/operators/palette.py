@@ -538,7 +538,7 @@ def _palette_inputs(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     working = working_counts(pixels)
     alpha = working.groupBy("image_id").agg((F.min("min_a") < 255).alias("has_alpha"))
-    background = background_from_counts(working).join(alpha, "image_id")
+    background = checkpoint(background_from_counts(working).join(alpha, "image_id"))
     return background, ink_counts(working, background)
 
 

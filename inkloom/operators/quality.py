@@ -229,13 +229,13 @@ def _row_gap(probes: DataFrame, targets: DataFrame, keys: list[str]) -> DataFram
 
 def nearest_edge(
     queries: DataFrame, targets: DataFrame, keys: list[str] | None = None,
-    first_radius: int = 2, growth: int = 4, strip_pixels: int = STRIP_PIXELS,
+    growth: int = 4, strip_pixels: int = STRIP_PIXELS,
 ) -> DataFrame:
     """Exact squared distance ``d2`` from each query pixel to its group's nearest target.
 
     A query asks single pixel rows for their nearest target to the left and right (a running
-    maximum and minimum over the sorted row), starting with the rows within ``first_radius``.
-    It is settled once no row further out can be nearer; the others ask further rows. No pair
+    maximum and minimum over the sorted row), starting with its own row, which settles all
+    edges that coincide and bounds the search of the others. It is settled once no row further out can be nearer; the others ask further rows. No pair
     of edges is ever enumerated. Queries of a group without targets are dropped.
     """
     keys = keys or ["image_id"]
@@ -262,7 +262,7 @@ def nearest_edge(
         open_ = attach_image_facts(asked, extent, strip_pixels).select(*keys, "x", "y", "t0", "t1")
     open_ = open_.withColumn("d2", F.lit(None).cast("bigint"))
     settled: DataFrame | None = None
-    done, radius = -1, first_radius
+    done, radius = -1, 0
     while True:
         # Rows at distance done+1 .. radius, cut to the target rows and to the best so far.
         reach = F.least(F.lit(radius), F.coalesce(
@@ -293,7 +293,7 @@ def nearest_edge(
         open_ = state.filter(~F.col("_final")).drop("_final")
         if open_.isEmpty():
             return settled
-        done, radius = radius, radius * growth
+        done, radius = radius, max(2, radius * growth)
 
 
 def chamfer(edges: DataFrame, images: DataFrame, strip_pixels: int = STRIP_PIXELS) -> DataFrame:

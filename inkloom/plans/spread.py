@@ -9,10 +9,12 @@ inside a strip after the rows next to its border have been copied into it.
 
 from __future__ import annotations
 
+import sys
 import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +113,10 @@ def whole_groups(df: DataFrame, keys: list[str], order: list[str], work, schema:
     For groups of bounded size. One shuffle and one sort; a group cut by a batch border waits
     for its remaining rows, so ``work`` can treat all groups of a frame at once.
     """
+    # Executors need not have this package installed.
+    for name in {work.__module__, __name__} - {"__main__"}:
+        cloudpickle.register_pickle_by_value(sys.modules[name])
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []
         for frame in frames:
