@@ -17,7 +17,8 @@ def shared_table_path(spark: SparkSession, name: str) -> str:
 def write_metrics(metrics: DataFrame, path: str, by: str = "variant") -> DataFrame:
     """Store metrics partitioned by variant and return the stored table."""
     metrics.write.mode("overwrite").partitionBy(by).parquet(path)
-    return metrics.sparkSession.read.schema(metrics.schema).parquet(path)
+    stored = metrics.sparkSession.read.schema(metrics.schema).parquet(path)
+    return stored.select(*metrics.columns)
 
 
 def write_report(lines: DataFrame, path: str) -> None:
