@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from inkloom.plans.fixture_sql import PIXELS
 
-__all__ = ["PIXELS", "BACKGROUND", "CLUSTERS", "d2", "light", "sat", "hue", "hsl", "with_", "white"]
-
-
 def with_(*ctes: str, select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(c.strip() for c in ctes if c) + "\n" + select
 
 
-def d2(a: str, b: str, p: str = "{t}.{c}") -> str:
+def d2(a: str, b: str) -> str:
     """Squared distance of rows/structs ``a`` and ``b`` with fields r, g, b."""
     return "(" + " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in "rgb") + ")"
 
@@ -71,8 +68,20 @@ bgx AS (SELECT image_id,
   CASE WHEN nl >= greatest(1, n // 3) THEN lb[nl // 2 + 1] ELSE ab[n // 2 + 1] END AS bg_b
  FROM bstat)"""
 
-CLUSTERS = """
-inkp AS (SELECT p.*, bg_r, bg_g, bg_b FROM pixels p JOIN bgx USING (image_id)
+# The working copy: images with a side beyond 320 are box-reduced, the others stay.
+WORK = """
+big AS (SELECT *, greatest(1, CAST(floor(w / (greatest(w, h) / 320.0e0)) AS BIGINT)) AS w2,
+  greatest(1, CAST(floor(h / (greatest(w, h) / 320.0e0)) AS BIGINT)) AS h2 FROM pixels WHERE greatest(w, h) > 320),
+work AS (SELECT image_id, x, y, w, h, r, g, b FROM pixels WHERE greatest(w, h) <= 320
+ UNION ALL SELECT image_id, CAST(floor((x + 0.5e0) * w2 / w) AS BIGINT) AS x2, CAST(floor((y + 0.5e0) * h2 / h) AS BIGINT) AS y2,
+  w2, h2, CAST(floor(sum(r) / count(*) + 0.5e0) AS BIGINT), CAST(floor(sum(g) / count(*) + 0.5e0) AS BIGINT),
+  CAST(floor(sum(b) / count(*) + 0.5e0) AS BIGINT) FROM big GROUP BY image_id, x2, y2, w2, h2)"""
+
+
+def clusters(source: str) -> str:
+    """Ink pixels and ranked clusters of ``source``."""
+    return f"""
+inkp AS (SELECT p.*, bg_r, bg_g, bg_b FROM {source} p JOIN bgx USING (image_id)
  WHERE (r - bg_r) * (r - bg_r) + (g - bg_g) * (g - bg_g) + (b - bg_b) * (b - bg_b) > 2025),
 clus0 AS (SELECT image_id, r >> 4 AS br, g >> 4 AS bg, b >> 4 AS bb, count(*) AS mass,
   CAST(sum(r) // count(*) AS BIGINT) AS r, CAST(sum(g) // count(*) AS BIGINT) AS g,
@@ -81,5 +90,6 @@ clus0 AS (SELECT image_id, r >> 4 AS br, g >> 4 AS bg, b >> 4 AS bb, count(*) AS
 clus AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY mass DESC, first_ord) AS rk,
   max(mass) OVER (PARTITION BY image_id) AS top FROM clus0)"""
 
+
 KEPT = """
 kept AS (SELECT * FROM clus WHERE mass >= greatest(top * 0.03e0, 8) OR (rk = 1 AND top < greatest(top * 0.03e0, 8)))"""

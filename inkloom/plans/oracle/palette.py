@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from inkloom.plans.oracle.common import (
-    BACKGROUND, CLUSTERS, KEPT, PIXELS, d2, hsl, hue, hue_gap, light, sat, white, with_,
+    BACKGROUND, KEPT, PIXELS, WORK, clusters, d2, hsl, hue, hue_gap, light, sat, white, with_,
 )
 
 SWATCH = f"r, g, b, mass, mass AS mass0, {light()} AS light, {sat()} AS sat, {hue()} AS hue"
-PACK = "{t}.r AS r"
 
 
 def pack(t: str, mass: str | None = None) -> str:
@@ -130,7 +129,8 @@ guard AS (SELECT s.image_id, (s.span > 60 AND count(p.k) >= 2 AND coalesce(max(p
 SWATCHES = f"sw AS (SELECT image_id, rk, first_ord, {SWATCH} FROM clus)"
 KEPT_SW = f"ksw AS (SELECT image_id, rk, first_ord, {SWATCH} FROM kept)"
 TOP16 = f"t16 AS (SELECT image_id, rk, first_ord, {SWATCH} FROM clus WHERE rk <= 16)"
-BASE = (PIXELS, BACKGROUND, CLUSTERS)
+BASE = (PIXELS, BACKGROUND, WORK, clusters("work"))
+FULL = (PIXELS, BACKGROUND, clusters("pixels"))
 
 
 def final_palette(inks: str, name: str, cap: str) -> str:
@@ -184,7 +184,7 @@ def sql() -> dict[str, str]:
         "P7_bucket4": with_(px, select="""
             SELECT image_id, r >> 4 AS br, g >> 4 AS bg, b >> 4 AS bb, count(*) AS n FROM pixels
             GROUP BY image_id, r >> 4, g >> 4, b >> 4"""),
-        "P8_ink_mask": with_(*BASE, select="SELECT image_id, x, y, r, g, b FROM inkp"),
+        "P8_ink_mask": with_(*FULL, select="SELECT image_id, x, y, r, g, b FROM inkp"),
         "P9_hex_color": with_(px, BACKGROUND, select="""
             SELECT image_id, printf('#%02x%02x%02x', bg_r, bg_g, bg_b) AS bg_hex FROM bgx"""),
         "P21_colour_families": with_(px, BACKGROUND, select="""
@@ -231,7 +231,7 @@ def sql() -> dict[str, str]:
               row_number() OVER (PARTITION BY image_id ORDER BY n DESC, first_ord) AS rank FROM hist) WHERE rank <= 20"""),
         "A15_white_fraction": with_(px, select=f"""
             SELECT image_id, round(count(*) FILTER (WHERE {white()}) / count(*), 6) AS white_fraction FROM pixels GROUP BY image_id"""),
-        "A28_palette_trace": with_(*BASE, """
+        "A28_palette_trace": with_(*FULL, """
             tot AS (SELECT image_id, count(*) AS total FROM pixels GROUP BY image_id)""", """
             it AS (SELECT image_id, count(*) AS ink_n FROM inkp GROUP BY image_id)""", select=f"""
             SELECT image_id, rk AS rank, r, g, b, mass, round(mass / ink_n, 6) AS share,
