@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions.colour import let
 from inkloom.functions.svg import svg_d_extract
-from inkloom.plans.spread import checkpoint, int_div, number_rows, whole_groups
+from inkloom.plans.spread import checkpoint, int_div, number_rows, store, whole_groups
 
 # Fixed values.
 RDP_EPSILON = 1.25
@@ -370,7 +370,7 @@ def simplify_ring(
     """
     ends = checkpoint(ring_ends(points, tolerance).withColumn(
         "m", F.when(F.col("n") < 3, F.col("n")).otherwise(F.col("n") - F.col("closed").cast("int"))))
-    placed = checkpoint(
+    placed = store(
         attach_ring_facts(points, ends).filter(F.col("seq") < F.col("m"))
         .select(*KEYS, F.col("seq").cast("bigint").alias("seq"), "x", "y", "n", "m", "closed", "p0"))
     tiny = F.col("m") < 3
@@ -395,7 +395,7 @@ def simplify_ring(
         _split_rounds(inner, _largest(ends, "m"), epsilon))
     again = placed.filter((seq == 0) & F.col("closed") & (F.col("n") >= 3)).select(
         *KEYS, F.col("m").alias("seq"), "x", "y", "m")
-    merged = checkpoint(kept.unionByName(again.filter(~tiny).drop("m")))
+    merged = store(kept.unionByName(again.filter(~tiny).drop("m")))
     short = placed.filter(tiny).select(*KEYS, "seq", "x", "y").unionByName(
         again.filter(tiny).drop("m"))
     return collapse_collinear(_renumber(merged)).unionByName(

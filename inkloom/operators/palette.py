@@ -16,7 +16,7 @@ from inkloom.functions.colour import (
     hsl_gap, hue_deg, hue_gap, is_goldish, is_greenish, is_near_white, let, lightness,
     rgb_dist2, saturation,
 )
-from inkloom.plans.spread import checkpoint, int_div
+from inkloom.plans.spread import checkpoint, int_div, store
 
 LIGHTNESS_BINS = 13
 
@@ -166,7 +166,7 @@ def working_counts(pixels: DataFrame, side: int = PALETTE_SIDE) -> DataFrame:
              alpha.alias("min_a"), *(F.sum(c).alias(c) for c in "rgb"))
     )
     # Small images are finished here; cells and borders of large ones become colours once more.
-    stored = checkpoint(first)
+    stored = store(first)
     done = stored.filter(~in_cell & ~F.col("_border")).select(
         "image_id", "w", "h", *(F.col(f"k{c}").cast("bigint").alias(c) for c in "rgb"), "n",
         F.col("at").cast("bigint").alias("first_ord"), "hits", "min_a")

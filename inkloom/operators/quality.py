@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkloom.functions.colour import Rgb, let, rgb_dist2
 from inkloom.operators import palette as P
 from inkloom.operators.labels import attach_palettes, label_with
-from inkloom.plans.spread import STRIP_PIXELS, attach_image_facts, checkpoint, with_halo
+from inkloom.plans.spread import STRIP_PIXELS, attach_image_facts, checkpoint, store, with_halo
 
 
 # --- paired label rasters and their contingency table -------------------------------------
@@ -323,13 +323,13 @@ def evaluate(
     source: DataFrame, rendered: DataFrame, palettes: DataFrame, strip_pixels: int = STRIP_PIXELS
 ) -> DataFrame:
     """Sample metrics of a corpus: IoU columns, Chamfer and whether the masks are identical."""
-    pairs = checkpoint(label_pairs(source, rendered, palettes, strip_pixels))
+    pairs = store(label_pairs(source, rendered, palettes, strip_pixels))
     table = checkpoint(contingency(pairs))
     masks = mask_iou(table, pair_palettes(table, palettes))
     images = table.select("image_id").distinct()
     return (
         sample_iou(table, masks)
-        .join(chamfer(edge_pair(pairs, strip_pixels), images, strip_pixels), "image_id")
+        .join(chamfer(store(edge_pair(pairs, strip_pixels)), images, strip_pixels), "image_id")
         .join(identical_masks(table), "image_id")
     )
 
@@ -340,7 +340,7 @@ def self_test(labels: DataFrame, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
     row = Window.partitionBy("image_id", "y").orderBy("x")
     shifted = here.withColumn("moved", F.coalesce(F.lead("slot").over(row), F.col("slot")))
     near = neighbour_join(shifted, ["slot", "moved"], strip_pixels)
-    edges = checkpoint(near.select(
+    edges = store(near.select(
         "image_id", "x", "y", "w", "h",
         _differs("slot").alias("ref_edge"), _differs("moved").alias("out_edge"),
     ))

@@ -17,7 +17,7 @@ from inkloom.operators import quality as Q
 from inkloom.operators import regions as R
 from inkloom.operators import reports as Rp
 from inkloom.plans import derived
-from inkloom.plans.spread import attach_image_facts, checkpoint
+from inkloom.plans.spread import attach_image_facts, checkpoint, shared_table_path, store
 from inkloom.sources import images as Im
 from inkloom.sources import sinks as Sk
 
@@ -45,7 +45,7 @@ def _per_pixel(name: str, value):
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
     """The pixel table, stored once for queries that read it several times."""
-    return checkpoint(derived.pixels(spark, sf))
+    return store(derived.pixels(spark, sf))
 
 
 def _with_bg(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,19 +175,19 @@ def _masks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _nearest(spark: SparkSession, sf: str) -> DataFrame:
-    edges = checkpoint(Q.edge_pair(_pairs(spark, sf)[0]))
+    edges = store(Q.edge_pair(_pairs(spark, sf)[0]))
     near = Q.nearest_edge(edges.filter("out_edge"), edges.filter("ref_edge"))
     return near.select("image_id", "x", "y", "d2")
 
 
 def _chamfer(spark: SparkSession, sf: str) -> DataFrame:
     pairs, palettes = _pairs(spark, sf)
-    return Q.chamfer(checkpoint(Q.edge_pair(pairs)), palettes)
+    return Q.chamfer(store(Q.edge_pair(pairs)), palettes)
 
 
 def _xor(spark: SparkSession, sf: str) -> DataFrame:
     pairs, palettes = _pairs(spark, sf)
-    pairs = checkpoint(pairs)
+    pairs = store(pairs)
     table = checkpoint(Q.contingency(pairs))
     masks = Q.mask_iou(table, Q.pair_palettes(table, palettes))
     return Q.xor_mask(pairs, masks, LOW_IOU).select(*at(), "slot")
@@ -254,7 +254,7 @@ def _regions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _snapped(spark: SparkSession, sf: str) -> DataFrame:
-    labels = checkpoint(_labels(spark, sf))
+    labels = store(_labels(spark, sf))
     regions = R.connected_components(R.binary_opening(R.with_ink_code(labels)))
     return R.snap_disks(labels, R.region_stats(regions, **SMALL_DISKS))
 
@@ -380,12 +380,12 @@ def _source_vs_output(spark: SparkSession, sf: str) -> DataFrame:
 
 def _metrics_table(spark: SparkSession, sf: str) -> DataFrame:
     metrics = derived.sample_metrics(spark, sf).drop("palette")
-    return Sk.write_metrics(metrics, Sk.shared_table_path(spark, "metrics"))
+    return Sk.write_metrics(metrics, shared_table_path(spark, "metrics"))
 
 
 def _run_log(spark: SparkSession, sf: str) -> DataFrame:
     records = I.run_records(derived.finished_runs(spark, sf))
-    return Sk.append_runs(records, Sk.shared_table_path(spark, "runlog"))
+    return Sk.append_runs(records, shared_table_path(spark, "runlog"))
 
 
 def intake_queries() -> dict:

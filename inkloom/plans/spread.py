@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -144,11 +145,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     to a scratch folder of its own.
     """
     spark = df.sparkSession
+    folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write a pixel-sized intermediate as a Parquet table in the shared folder and read it.
+
+    Unlike a checkpoint it is columnar and compressed, later reads take only the columns they
+    need, and the planner knows its size.
+    """
+    spark = df.sparkSession
+    path = shared_table_path(spark, "stored")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_table_path(spark: SparkSession, name: str) -> str:
+    """A new table location in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -159,4 +178,5 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="inkloom-ckpt-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkloom-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
