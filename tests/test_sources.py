@@ -164,3 +164,24 @@ def test_streamed_intake(spark, tmp_path):
     assert sinks.append_runs(I.run_records(runs), str(tmp_path / "log2")).count() == 1
     assert sinks.append_runs(I.run_records(runs), str(tmp_path / "log2")).count() == 2
     assert I.latest_run(log).first().id == log.first().id
+
+
+@pytest.mark.parametrize("kind,tolerance", [("jpg", 3), ("gif", 0)])
+def test_other_image_formats(spark, tmp_path, kind, tolerance):
+    """Files written by the JVM's own encoder read back with their colours.
+
+    The colour border lies on a 16-pixel coding block, so JPEG keeps both sides flat.
+    """
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(32, 16, 1)
+    for x in range(32):
+        for y in range(16):
+            image.setRGB(x, y, 0xC82814 if x < 16 else 0x1428C8)
+    assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(tmp_path / f"sample_1.{kind}")))
+    good, bad = Im.read_images(spark, str(tmp_path))
+    assert bad.count() == 0
+    got = {(r.x, r.y): (r.r, r.g, r.b) for r in Im.explode_pixels(good).collect()}
+    assert len(got) == 512
+    for (x, y), colour in got.items():
+        want = (200, 40, 20) if x < 16 else (20, 40, 200)
+        assert all(abs(a - b) <= tolerance for a, b in zip(colour, want)), (x, y, colour)
