@@ -170,7 +170,8 @@ def test_streamed_intake(spark, tmp_path):
 def test_other_image_formats(spark, tmp_path, kind, tolerance):
     """Files written by the JVM's own encoder read back with their colours.
 
-    The colour border lies on a 16-pixel coding block, so JPEG keeps both sides flat.
+    JPEG stores colour at half resolution and blends it at borders, so for it only the flat
+    parts, two pixels away from the border, are compared.
     """
     jvm = spark.sparkContext._jvm
     image = jvm.java.awt.image.BufferedImage(32, 16, 1)
@@ -183,5 +184,7 @@ def test_other_image_formats(spark, tmp_path, kind, tolerance):
     got = {(r.x, r.y): (r.r, r.g, r.b) for r in Im.explode_pixels(good).collect()}
     assert len(got) == 512
     for (x, y), colour in got.items():
+        if kind == "jpg" and 13 < x < 18:
+            continue
         want = (200, 40, 20) if x < 16 else (20, 40, 200)
         assert all(abs(a - b) <= tolerance for a, b in zip(colour, want)), (x, y, colour)
