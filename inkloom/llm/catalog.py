@@ -6,20 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.llm import quality_rules
+from inkloom.llm import (
+    chat_format, license_scan, quality_rules, sharding,
+)
 from inkloom.llm.common import table
 
 
-def _over_documents(query: Callable[[DataFrame], DataFrame]):
+def _over(name: str, query: Callable[[DataFrame], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query(table(spark, sf_dir, "documents"))
+        return query(table(spark, sf_dir, name))
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op10_quality_rules": _over_documents(quality_rules.query),
+        "op2_chat_format": _over("conversations", chat_format.query),
+        "op6_sharding": _over("documents", sharding.query),
+        "op9_license_scan": _over("documents", license_scan.query),
+        "op10_quality_rules": _over("documents", quality_rules.query),
     }
 
 
