@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkloom.llm import (
-    chat_format, license_scan, quality_rules, sharding,
+    chat_format, license_scan, packing, quality_rules, sharding, toxicity,
 )
 from inkloom.llm.common import table
 
@@ -21,8 +21,11 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": lambda spark, sf_dir: toxicity.query(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op2_chat_format": _over("conversations", chat_format.query),
         "op6_sharding": _over("documents", sharding.query),
+        "op7_packing": _over("documents", packing.query),
         "op9_license_scan": _over("documents", license_scan.query),
         "op10_quality_rules": _over("documents", quality_rules.query),
     }
