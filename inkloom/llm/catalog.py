@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkloom.llm import (
-    chat_format, license_scan, packing, quality_rules, sharding, toxicity,
+    ann, chat_format, license_scan, packing, piece_nbest, quality_rules, sharding, simhash, toxicity,
 )
 from inkloom.llm.common import table
 
@@ -24,6 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": lambda spark, sf_dir: toxicity.query(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op2_chat_format": _over("conversations", chat_format.query),
+        "op3_ann": _over("embeddings", ann.query),
+        "op4_piece_nbest": _over("documents", piece_nbest.query),
+        "op5_simhash": _over("documents", simhash.query),
         "op6_sharding": _over("documents", sharding.query),
         "op7_packing": _over("documents", packing.query),
         "op9_license_scan": _over("documents", license_scan.query),
