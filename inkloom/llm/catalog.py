@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkloom.llm import (
-    ann, chat_format, license_scan, packing, piece_nbest, quality_rules, sharding, simhash, toxicity,
+    ann, chat_format, license_scan, packing, piece_nbest, quality_rules, sharding, simhash,
+    suffix_dedup, toxicity,
 )
 from inkloom.llm.common import table
 
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": _over("documents", simhash.query),
         "op6_sharding": _over("documents", sharding.query),
         "op7_packing": _over("documents", packing.query),
+        "op8_suffix_dedup": _over("documents", suffix_dedup.query),
         "op9_license_scan": _over("documents", license_scan.query),
         "op10_quality_rules": _over("documents", quality_rules.query),
     }
