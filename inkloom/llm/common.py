@@ -23,6 +23,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def id_or_least() -> Column:
+    """doc_id, with the least bigint for null."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def file_bytes(path: str) -> bytes:
     """A vocabulary file, read on the driver; tasks get its few MB with their closure."""
     with open(path, "rb") as f:

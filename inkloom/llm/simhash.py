@@ -1,12 +1,17 @@
 """SimHash near-duplicates through a segment-popcount embedding.
 
-A fingerprint is cut into segments of two bits and becomes the vector of their bit counts. Flipping a bit moves one
-count by one, so the Manhattan distance of two vectors is at most the number of differing bits:
-pairs that link at ``distance`` bits lie that close in the grid of counts. The 32 counts form
-``distance // 2 + 1`` blocks; among them is one in which the pair is at most one apart. So
-each block is a grid range join of radius one: a fingerprint is a member of its own cell and asks the
-cells one step up along each axis (steps down are asked from the other side). What meets in a cell
-is compared bit by bit, exactly.
+A fingerprint is cut into segments of a few bits and becomes the vector of their bit counts. Flipping a
+bit moves one count by one, so the Manhattan distance of two vectors is at most the number of
+differing bits. The counts form blocks; each block is a grid range join: a fingerprint is a member
+of its own cell and, for ``reach`` 1, asks the cells one step up along each axis (steps down are asked from
+the other side). What meets in a cell is compared bit by bit, exactly.
+
+``Grid`` says how. With more than ``distance / (reach + 1)`` blocks no link can be missed, for among so
+many blocks there is one in which a pair within ``distance`` bits is at most ``reach`` apart: that
+holds for ``EXACT`` (64 bits, 4 may differ, 32 two-bit segments in 3 blocks). ``WIDE`` serves
+similarity: 384 bits tell the share of common shingles, 64 differing bits being a Jaccard similarity of
+0.76 to 0.8, and 30 blocks of single bits find a pair of similarity 0.8 with probability 0.98, one of
+0.9 always but for chances of 1e-5.
 
 Scale: equal fingerprints are grouped first, so copies are one row. A cell never becomes pairs of
 rows: its fingerprints are compared inside a task, and only a spanning forest of the
@@ -24,84 +29,113 @@ Very long texts are hashed in slices of ``HASHES`` shingles. Other columns are i
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import map_rows, slices
+from inkloom.llm.common import id_or_least, map_rows, slices, text_hash
 from inkloom.llm.graph import components
 from inkloom.plans.spread import store
 
-SHINGLE, DISTANCE = 4, 4
 SEED = 42
 HASHES = 1 << 15
 SLICE = 4 << 20
 CELL_ROWS = 4096
-PAIRS = 1 << 21
+PAIRS = 1 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _ODD = 0x5555555555555555
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash, unsigned."""
+@dataclass(frozen=True)
+class Grid:
+    """Shingle length, 64-bit words of a fingerprint, differing bits that still link, bits of a
+    segment (1 or 2), blocks per word, and steps between cells that meet (0 or 1)."""
+
+    shingle: int
+    words: int
+    distance: int
+    segment: int
+    blocks: int
+    reach: int
+
+    @property
+    def codes(self) -> list[str]:
+        return [f"c{i}" for i in range(self.words)]
+
+    @property
+    def node(self) -> Column:
+        """A 64-bit name of a fingerprint: itself, or the hash of a longer one."""
+        return F.col("c0") if self.words == 1 else F.xxhash64(*self.codes)
+
+
+EXACT = Grid(shingle=4, words=1, distance=4, segment=2, blocks=3, reach=1)
+WIDE = Grid(shingle=5, words=6, distance=64, segment=1, blocks=5, reach=0)
+
+
+def fingerprint(text: bytes, grid: Grid = EXACT) -> np.ndarray:
+    """The 64-bit words of a SimHash. The first comes from the shingles' XXH64, further ones
+    from mixing it anew."""
     import xxhash
 
     words = _WORD.findall(text.lower())  # bytes.lower() changes A-Z only
     if not words:
-        return 0
+        return np.zeros(grid.words, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
-    k = min(shingle, len(words))
+    k = min(grid.shingle, len(words))
     first, last = begins[: len(words) - k + 1].tolist(), ends[k - 1:].tolist()
-    count = np.zeros(64, np.int64)
+    count = np.zeros((grid.words, 64), np.int64)
     for at in range(0, len(first), HASHES):
         h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(
-            first[at:at + HASHES], last[at:at + HASHES], strict=True)], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        count += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * count > len(first), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and ``fp`` (the fingerprint as a signed bigint) of every row."""
+            first[at:at + HASHES], last[at:at + HASHES], strict=True)], np.uint64)
+        for w in range(grid.words):
+            if w:
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(29)
+            bits = np.unpackbits(
+                h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            count[w] += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * count > len(first), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprints(docs: DataFrame, grid: Grid = EXACT, *keep: str) -> DataFrame:
+    """``c0``, ``c1``, ..: the fingerprint of every row as signed bigints, after the columns
+    ``keep``."""
     def start():
         def work(batch: pa.RecordBatch):
             for part in slices(batch, "text", SLICE):
-                fps = np.array([fingerprint((t or "").encode(), shingle)
-                                for t in part.column("text").to_pylist()], np.uint64)
+                fps = np.stack([fingerprint((t or "").encode(), grid)
+                                for t in part.column("text").to_pylist()]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                    [*(part.column(c) for c in keep),
+                     *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(grid.words))],
+                    names=[*keep, *grid.codes])
 
         return work
 
-    return map_rows(docs.select(F.col("doc_id").cast("bigint"), "text"),
-                    "doc_id bigint, fp bigint", start)
+    rows = docs.select(*keep, "text")
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
+    return map_rows(rows, ", ".join([*kept, *(f"{c} bigint" for c in grid.codes)]), start)
 
 
-def embed(fp: np.ndarray) -> np.ndarray:
-    """Bit counts of the two-bit segments, packed in two bits each."""
+def embed(code: np.ndarray, segment: int) -> np.ndarray:
+    """Bit counts of the segments, packed in as many bits each."""
     odd = np.uint64(_ODD)
-    return (fp & odd) + ((fp >> np.uint64(1)) & odd)
-
-
-def _blocks(distance: int) -> list[tuple[int, int]]:
-    """First segment and number of segments of each block."""
-    n = distance // 2 + 1
-    cuts = [32 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return code if segment == 1 else (code & odd) + ((code >> np.uint64(1)) & odd)
 
 
-def cells(fps: DataFrame, distance: int = DISTANCE, asked: bool = True) -> DataFrame:
-    """block, cell, asks (false for members), fp: the grid entries of each fingerprint."""
-    blocks = _blocks(distance)
+def cells(fps: DataFrame, grid: Grid = EXACT) -> DataFrame:
+    """block, cell, asks (false for members) and the fingerprint: its grid entries."""
+    per_word = 64 // grid.segment
+    cuts = [per_word * i // grid.blocks for i in range(grid.blocks + 1)]
+    bits, most = grid.segment, grid.segment  # a count takes as many bits; it is at most this
 
     def start():
         def work(batch: pa.RecordBatch):
-            fp = batch.column("fp").to_numpy()
-            vector = embed(fp.view(np.uint64))
             block, cell, asks, of = [], [], [], []
 
             def add(b, value, ask, rows):
@@ -110,21 +144,27 @@ def cells(fps: DataFrame, distance: int = DISTANCE, asked: bool = True) -> DataF
                 asks.append(np.full(len(rows), ask))
                 of.append(rows)
 
-            for b, (first, size) in enumerate(blocks):
-                mask = np.uint64((1 << 2 * (first + size)) - (1 << 2 * first))
-                own = vector & mask
-                add(b, own, False, fp)
-                for s in range(first, first + size) if asked else ():
-                    step = np.uint64(1 << 2 * s)
-                    up = np.flatnonzero((own >> np.uint64(2 * s)) & np.uint64(3) < 2)
-                    add(b, own[up] + step, True, fp[up])
+            for w, name in enumerate(grid.codes):
+                vector = embed(batch.column(name).to_numpy().view(np.uint64), bits)
+                every = np.arange(len(vector))
+                for i, (first, stop) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    own = vector & np.uint64((1 << bits * stop) - (1 << bits * first))
+                    b = w * grid.blocks + i
+                    add(b, own, False, every)
+                    for s in range(first, stop) if grid.reach else ():
+                        field = (own >> np.uint64(bits * s)) & np.uint64((1 << bits) - 1)
+                        up = np.flatnonzero(field < most)
+                        add(b, own[up] + np.uint64(1 << bits * s), True, up)
+            rows = pa.array(np.concatenate(of))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x)) for x in (block, cell, asks, of)],
-                names=["block", "cell", "asks", "fp"])
+                [*(pa.array(np.concatenate(x)) for x in (block, cell, asks)),
+                 *(batch.column(c).take(rows) for c in grid.codes)],
+                names=["block", "cell", "asks", *grid.codes])
 
         return work
 
-    return map_rows(fps.select("fp"), "block int, cell bigint, asks boolean, fp bigint", start)
+    schema = ["block int", "cell bigint", "asks boolean", *(f"{c} bigint" for c in grid.codes)]
+    return map_rows(fps.select(*grid.codes), ", ".join(schema), start)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,37 +195,47 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[kept], b[kept]
 
 
-def _unit_links(fp, asks, side, begin, count, distance):
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """0 .. c-1 for each count, in one array."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def _unit_links(codes, node, asks, side, begin, count, distance):
     """Forest edges of many units: unit g is rows begin[g] .. begin[g] + count[g], members first.
     ``side`` is 0 or 1 in a unit of two blocks, else -1; pairs are member-member or member-asking, and of
     different sides in a unit of two."""
-    u, w = np.zeros(0, fp.dtype), np.zeros(0, fp.dtype)
+    u, w = np.zeros(0, node.dtype), np.zeros(0, node.dtype)
     members = np.add.reduceat(~asks, begin).astype(np.int64)
     left = np.repeat(begin, members) + _ranks(members)
     todo = np.repeat(begin + count, members) - left - 1  # every later row of the unit
+    upto = np.cumsum(todo)
     at = 0
     while at < len(left):
-        n = max(1, int(np.searchsorted(np.cumsum(todo[at:at + PAIRS]), PAIRS, side="right")))
+        done = upto[at - 1] if at else 0
+        n = max(1, int(np.searchsorted(upto, done + PAIRS, side="right")) - at)
         i = np.repeat(left[at:at + n], todo[at:at + n])
         j = i + 1 + _ranks(todo[at:at + n])
-        near = np.bitwise_count(fp[i] ^ fp[j]) <= distance
-        near &= (side[i] != side[j]) | (side[i] < 0)
-        u, w = np.concatenate((u, fp[i[near]])), np.concatenate((w, fp[j[near]]))
+        fit = (side[i] != side[j]) | (side[i] < 0)
+        i, j = i[fit], j[fit]
+        differ = np.zeros(len(i), np.int64)
+        for k, code in enumerate(codes):
+            differ += np.bitwise_count(code[i] ^ code[j])
+            near = differ <= distance
+            # Most pairs are far apart after a word or two.
+            if k + 1 < len(codes):
+                i, j, differ = i[near], j[near], differ[near]
+        u, w = np.concatenate((u, node[i[near]])), np.concatenate((w, node[j[near]]))
         if len(u) > PAIRS:
             u, w = forest(u, w)
         at += n
     return forest(u, w)
 
 
-def _ranks(counts: np.ndarray) -> np.ndarray:
-    """0 .. c-1 for each count, in one array."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
-
-
-def links(fps: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``u, v``: links between distinct fingerprints that keep all connected ones connected."""
-    entries = cells(fps, distance)
+def links(fps: DataFrame, grid: Grid = EXACT, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``u, v``: links between distinct fingerprints (by their node names) that keep all
+    connected ones connected."""
+    entries = cells(fps, grid)
     crowded = (
         entries.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > cell_rows)
@@ -193,12 +243,13 @@ def links(fps: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL_ROWS)
     dealt = (
         entries.join(crowded, ["block", "cell"], "left")
         .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        .withColumn("node", grid.node)
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
         .withColumn("side", F.when(F.col("i") == F.col("j"), -1)
                     .when(F.col("own") == F.col("i"), 0).otherwise(1))
-        .select("block", "cell", "i", "j", "asks", "side", "fp"))
+        .select("block", "cell", "i", "j", "asks", "side", "node", *grid.codes))
     unit = ["block", "cell", "i", "j"]
 
     def run(batches):
@@ -211,10 +262,10 @@ def links(fps: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL_ROWS)
             begin = np.flatnonzero(new)
             count = np.diff(np.append(begin, t.num_rows))
             u, w = _unit_links(
-                t.column("fp").to_numpy().view(np.uint64), t.column("asks").to_numpy(),
-                t.column("side").to_numpy(), begin, count, distance)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(u.view(np.int64)), pa.array(w.view(np.int64))], names=["u", "v"])
+                [t.column(c).to_numpy().view(np.uint64) for c in grid.codes],
+                t.column("node").to_numpy(), t.column("asks").to_numpy(),
+                t.column("side").to_numpy(), begin, count, grid.distance)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(w)], names=["u", "v"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -239,19 +290,44 @@ def links(fps: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL_ROWS)
     )
 
 
+def _grouped(
+    docs: DataFrame, grid: Grid, cell_rows: int = CELL_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, fingerprint, node), and node, root, component_id of each node."""
+    ids = docs.select(
+        F.col("doc_id").cast("bigint"), text_hash().alias("th"), "text")
+    rows = store(fingerprints(ids, grid, "doc_id", "th").withColumn("node", grid.node))
+    fps = store(rows.groupBy("node", *grid.codes).agg(F.min("doc_id").alias("least")))
+    roots = store(components(links(fps, grid, cell_rows))).withColumnRenamed("node", "_node")
+    of = fps.join(roots, F.col("node") == F.col("_node"), "left").select(
+        "node", "least", F.coalesce("root", "node").alias("root"))
+    names = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows, of.join(names, "root").select("node", "root", "component_id")
+
+
 def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, cell_rows: int = CELL_ROWS
+    docs: DataFrame, grid: Grid = EXACT, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs``."""
-    rows = store(fingerprints(docs, shingle))
-    fps = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = store(components(links(fps, distance, cell_rows)))
-    of = fps.join(roots, fps["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(of.join(names, "root").select("fp", "component_id"), "fp")
+    """doc_id, c0 .., component_id of every row of ``docs``."""
+    rows, groups = _grouped(docs, grid, cell_rows)
+    return rows.join(groups.drop("root"), "node").drop("node", "th")
+
+
+def one_per_group(docs: DataFrame, grid: Grid = WIDE, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The row of ``docs`` with the smallest (doc_id, text hash) of every group of near copies;
+    null doc_ids come first, one of equal rows stays."""
+    rows, groups = _grouped(docs, grid, cell_rows)
+    kept = rows.join(groups, "node").groupBy("root").agg(
+        F.min(F.struct(id_or_least().alias("_d"), F.col("th").alias("_th"))).alias("k")
+    ).select("k._d", "k._th")
+    keyed = docs.withColumn("_d", id_or_least()).withColumn("_th", text_hash())
+    equal = Window.partitionBy("_d", "_th").orderBy("_d")
+    return (
+        keyed.join(kept, ["_d", "_th"])
+        .withColumn("_n", F.row_number().over(equal)).filter(F.col("_n") == 1)
+        .select(docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("c0"), 16, "0")).alias("fingerprint"), "component_id")

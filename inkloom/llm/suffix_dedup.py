@@ -33,10 +33,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import map_rows, slices
+from inkloom.llm.common import id_or_least, map_rows, slices, text_hash
 from inkloom.plans.spread import store
 
 LENGTH = 400
@@ -92,15 +92,8 @@ def anchor_runs(b: np.ndarray, ends: np.ndarray, length: int):
     return text[first], first, np.diff(np.append(at, len(fits))), h[owner[first]]
 
 
-def _key() -> tuple[Column, Column]:
-    """A row's address: doc_id (null first) and text hash."""
-    return (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))),
-            F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    d, th = _key()
-    return docs.select(d.alias("d"), th.alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(id_or_least().alias("d"), text_hash().alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -363,7 +356,7 @@ def cut_text(raw: bytes, gone: list[tuple[int, int]], whole_chars: bool = False)
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    keyed = docs.withColumns(dict(zip(("_d", "_th"), _key(), strict=True)))
+    keyed = docs.withColumn("_d", id_or_least()).withColumn("_th", text_hash())
     renamed = spans.select(F.col("d").alias("_d"), F.col("th").alias("_th"),
                            F.col("spans").alias("_spans"))
     return keyed.join(renamed, ["_d", "_th"], "left").drop("_d", "_th")
@@ -371,7 +364,7 @@ def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, on whole characters."""
-    fields = [f for f in docs.schema]
+    fields = docs.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def start():

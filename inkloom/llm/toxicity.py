@@ -157,6 +157,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, *keep: str) -> DataFrame:
     if weights is None:
         return docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     sent = docs.sparkSession.sparkContext.broadcast(weights)
+    text = "text" if "text" in keep else "_text"
 
     def start():
         words, w = (_Words(), _Words(STEM)), sent.value
@@ -167,16 +168,16 @@ def score(docs: DataFrame, weights: np.ndarray | None, *keep: str) -> DataFrame:
             return 1.0 / (1.0 + np.exp(-np.clip(s, -35, 35)))
 
         def work(batch: pa.RecordBatch):
-            for part in slices(batch, "_text", SLICE):
-                s = np.array([one(t) for t in part.column("_text").to_pylist()])
+            for part in slices(batch, text, SLICE):
+                s = np.array([one(t) for t in part.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(s),
                      pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
         return work
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(text))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep]
     return map_rows(rows, ", ".join([*kept, "score double", "predicted int"]), start)
 
 
