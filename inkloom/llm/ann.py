@@ -64,8 +64,8 @@ def _top(score: np.ndarray, k: int) -> np.ndarray:
 def _near(x: np.ndarray, k: int) -> np.ndarray:
     """Each row's ``k`` others of largest inner product, in slices of rows."""
     out = []
-    for a in range(0, len(x), 1024):
-        s = x[a:a + 1024] @ x.T
+    for a in range(0, len(x), 256):
+        s = x[a:a + 256] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
         out.append(_top(s, k))
     return np.concatenate(out)
@@ -208,13 +208,15 @@ def search(
     """query_id, rank, vec_id, score: neighbours of the vectors whose id ``every`` divides."""
     rows = store(valid(vectors))
     spark = rows.sparkSession
-    some = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(sample).select("v").toPandas()
+    chosen = rows.select("vec_id").orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(sample)
+    some = rows.join(F.broadcast(chosen), "vec_id", "left_semi").select("vec_id", "v").toArrow()
+    some = some.sort_by("vec_id")["v"].combine_chunks()
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if some.empty:
+    if not len(some):
         return empty
-    sizes = some["v"].map(len)
-    dim = int(sizes.mode().iloc[0])
-    x = np.stack(some["v"][sizes == dim].to_list())
+    sizes = some.value_lengths()
+    dim = pa.compute.mode(sizes)[0]["mode"].as_py()
+    x = _matrix(some.filter(pa.compute.equal(sizes, dim)))
     whole = len(some) <= block and len(some) < sample  # so few that nothing is gained by routing
     router = None if whole or len(x) < 4 * parts else fit(x, parts, k, target)
     sent = spark.sparkContext.broadcast(router)
