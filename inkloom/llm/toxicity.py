@@ -144,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.nd
 
     found = map_rows(texts, "_o bigint, _y int, found array<int>", featurize)
     ordered = found.repartition(1).sortWithinPartitions("_o", "_y")
-    kept = ordered.mapInArrow(train, "at bigint, w double").toPandas()  # at most 2^20 + 1 rows
-    if kept.empty:
+    kept = ordered.mapInArrow(train, "at bigint, w double").toArrow()  # at most 2^20 + 1 rows
+    if not kept.num_rows:
         return None
     dense = np.zeros(BIAS + 1, np.float32)
     dense[kept["at"].to_numpy()] = kept["w"].to_numpy()
