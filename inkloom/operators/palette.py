@@ -461,9 +461,26 @@ def _total_mass(swatches: Column) -> Column:
 
 
 def select_exact(swatches: Column, max_colors: int) -> Column:
-    """The ``max_colors`` heaviest candidates (fewer when fewer exist)."""
-    return let(_total_mass(swatches), lambda total: F.slice(
-        _mass_candidates(swatches, total), 1, max_colors))
+    """The ``max_colors`` heaviest candidates (fewer when fewer exist). Each other candidate's
+    mass goes to the nearest of them, the heavier on ties."""
+
+    def cut(candidates: Column) -> Column:
+        kept = F.slice(candidates, 1, max_colors)
+        rest = F.filter(candidates, lambda s, i: i >= max_colors)
+
+        def fold(kept: Column) -> Column:
+            homes = F.transform(rest, lambda s: F.struct(
+                s["mass"].alias("mass"),
+                F.array_min(F.transform(kept, lambda k, i: F.struct(
+                    _d2(s, k).alias("d2"), i.alias("i"))))["i"].alias("home")))
+            return let(homes, lambda hs: F.transform(kept, lambda k, i: k.withField(
+                "mass", k["mass"] + F.aggregate(
+                    F.filter(hs, lambda h: h["home"] == i), F.lit(0).cast("bigint"),
+                    lambda acc, h: acc + h["mass"]))))
+
+        return F.when(F.size(candidates) <= max_colors, candidates).otherwise(let(kept, fold))
+
+    return let(_total_mass(swatches), lambda total: let(_mass_candidates(swatches, total), cut))
 
 
 def select_up_to(swatches: Column, max_colors: int) -> Column:

@@ -15,7 +15,8 @@ from inkloom.plans.spread import int_div, number_rows
 
 IMAGE_WIDTH = 24
 RANGE_ROWS = 1 << 20
-MAX_RANGES = 1 << 16
+# Quantity and part of the pixels that fill a last raster row: they add nothing to the plate colour.
+FILL_QUANTITY, FILL_PART = 17, 2
 ROW_ORDER = (
     "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate",
 )
@@ -29,7 +30,7 @@ def _numbered(lines: DataFrame) -> DataFrame:
     """``i`` = 0-based position of each row in its supplier's order, ``n`` = the supplier's rows."""
     # Ranges of the order key, about RANGE_ROWS rows each over all suppliers.
     span = lines.agg(F.max("l_orderkey").alias("top"), F.count(F.lit(1)).alias("rows"))
-    ranges = F.least(F.lit(MAX_RANGES), int_div(F.col("rows"), RANGE_ROWS) + 1)
+    ranges = int_div(F.col("rows"), RANGE_ROWS) + 1
     ranged = lines.crossJoin(F.broadcast(span)).withColumn(
         "rng", int_div(F.col("l_orderkey"), int_div(F.col("top"), ranges) + 1)
     ).drop("top", "rows")
@@ -63,28 +64,40 @@ def _channels() -> dict[str, Column]:
     }
 
 
+def _filling(lines: DataFrame) -> DataFrame:
+    """``i, n`` of the places behind each supplier's last row, up to the end of the raster row."""
+    n = F.col("n")
+    return (
+        lines.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+        .filter(n % IMAGE_WIDTH != 0)
+        .withColumn("i", F.explode(F.sequence(n, n - n % IMAGE_WIDTH + IMAGE_WIDTH - 1)))
+        .select("l_suppkey", "i", "n", F.lit(FILL_QUANTITY).cast("bigint").alias("q"),
+                F.lit(FILL_PART).cast("bigint").alias("pk"))
+    )
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One image per supplier, 24 columns wide, six kinds of plate and bands."""
+    """One image per supplier, 24 columns wide, six kinds of plate and bands. Every line item is
+    a pixel; plate pixels fill the last row."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", *ROW_ORDER)
     i, n = F.col("i"), F.col("n")
     x, y, h, kind = F.col("x"), F.col("y"), F.col("h"), F.col("kind")
     ink = F.col("ink")
-    q = F.col("l_quantity").cast("bigint")
-    pk = F.col("l_partkey")
     base = _channels()
     frame = (kind == 5) | (x < 2) | (x > 21) | (y < 2) | (y >= h - 2)
     return (
         _numbered(lines)
-        .filter(i < n - n % IMAGE_WIDTH)
+        .select("l_suppkey", "i", "n", F.col("l_quantity").cast("bigint").alias("q"),
+                F.col("l_partkey").alias("pk"))
+        .unionByName(_filling(lines))
         .select(
             F.col("l_suppkey").alias("image_id"),
             (F.col("l_suppkey") % 6).alias("kind"),
             (i % IMAGE_WIDTH).cast("int").alias("x"),
             int_div(i, IMAGE_WIDTH).alias("y"),
             F.lit(IMAGE_WIDTH).alias("w"),
-            int_div(n, IMAGE_WIDTH).alias("h"),
-            q.alias("q"),
-            pk.alias("pk"),
+            int_div(n + IMAGE_WIDTH - 1, IMAGE_WIDTH).alias("h"),
+            "q", "pk",
         )
         .withColumn("ink", F.when(frame, F.lit(-1)).otherwise(int_div(x - 2, 7)).cast("bigint"))
         .select(

@@ -3,7 +3,9 @@
 PIXELS = """
 r AS (SELECT l_suppkey AS image_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS i,
   count(*) OVER (PARTITION BY l_suppkey) AS n, CAST(l_quantity AS BIGINT) AS q, l_partkey AS pk FROM lineitem),
-geo AS (SELECT image_id, image_id % 6 AS kind, i % 24 AS x, CAST((i - i % 24) / 24 AS BIGINT) AS y, 24 AS w, CAST((n - n % 24) / 24 AS BIGINT) AS h, q, pk FROM r WHERE i < n - n % 24),
+whole AS (SELECT image_id, i, n, q, pk FROM r UNION ALL SELECT image_id, n + k, n, 17, 2 FROM (SELECT image_id, max(n) AS n FROM r GROUP BY image_id) z
+  JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22)) o(k) ON n + k < n + 23 - (n + 23) % 24),
+geo AS (SELECT image_id, image_id % 6 AS kind, i % 24 AS x, CAST((i - i % 24) / 24 AS BIGINT) AS y, 24 AS w, CAST((n + 23 - (n + 23) % 24) / 24 AS BIGINT) AS h, q, pk FROM whole),
 reg AS (SELECT *, CASE WHEN kind = 5 OR x < 2 OR x > 21 OR y < 2 OR y >= h - 2 THEN -1 ELSE CAST((x - 2 - (x - 2) % 7) / 7 AS BIGINT) END AS ink FROM geo),
 base AS (SELECT *,
  CASE WHEN ink < 0 THEN CASE kind WHEN 1 THEN 20 WHEN 2 THEN 12 ELSE 250 END

@@ -128,7 +128,6 @@ guard AS (SELECT s.image_id, (s.span > 60 AND count(p.k) >= 2 AND coalesce(max(p
 
 SWATCHES = f"sw AS (SELECT image_id, rk, first_ord, {SWATCH} FROM clus)"
 KEPT_SW = f"ksw AS (SELECT image_id, rk, first_ord, {SWATCH} FROM kept)"
-TOP16 = f"t16 AS (SELECT image_id, rk, first_ord, {SWATCH} FROM clus WHERE rk <= 16)"
 BASE = (PIXELS, BACKGROUND, WORK, clusters("work"))
 FULL = (PIXELS, BACKGROUND, clusters("pixels"))
 
@@ -208,14 +207,18 @@ def sql() -> dict[str, str]:
         "A4_mass_filter": with_(*BASE, KEPT, select="SELECT image_id, r, g, b, mass, first_ord FROM kept"),
         "A5_merge_by_hsl": with_(*BASE, KEPT, KEPT_SW, merge_cte("ksw"), select="""
             SELECT image_id, s.r, s.g, s.b, s.mass, CAST(pos AS BIGINT) AS pos FROM merged_u"""),
-        "A6_mass_aware_exact": with_(*BASE, SWATCHES, mass_cte("sw", "cand"), select="""
-            SELECT image_id, CAST(rk AS BIGINT) AS pos, r, g, b, mass FROM cand WHERE rk <= 2"""),
+        "A6_mass_aware_exact": with_(*BASE, SWATCHES, mass_cte("sw", "cand"), f"""
+            home AS (SELECT z.image_id, z.rk, z.mass, k.rk AS k, row_number() OVER (PARTITION BY z.image_id, z.rk ORDER BY {d2('z', 'k')}, k.rk) AS o
+              FROM cand z JOIN cand k ON k.image_id = z.image_id AND k.rk <= 2 WHERE z.rk > 2)""", """
+            more AS (SELECT image_id, k, sum(mass) AS mass FROM home WHERE o = 1 GROUP BY image_id, k)""", select="""
+            SELECT c.image_id, CAST(c.rk AS BIGINT) AS pos, c.r, c.g, c.b, CAST(c.mass + coalesce(m.mass, 0) AS BIGINT) AS mass
+            FROM cand c LEFT JOIN more m ON m.image_id = c.image_id AND m.k = c.rk WHERE c.rk <= 2"""),
         "A7_mass_aware_up_to": with_(*BASE, SWATCHES, mass_cte("sw", "cand"), up_to_cte("cand", "upto", 4), select="""
             SELECT image_id, CAST(rk AS BIGINT) AS pos, r, g, b FROM upto"""),
-        "A8_gradient_crush": with_(*BASE, TOP16, crush_cte("t16", "crushed", AUTO_SAME), select="""
+        "A8_gradient_crush": with_(*BASE, SWATCHES, crush_cte("sw", "crushed", AUTO_SAME), select="""
             SELECT image_id, CAST(rk AS BIGINT) AS pos, r, g, b, mass FROM crushed"""),
         "A9_collapse_gradient_ramps": with_(
-            *BASE, TOP16, crush_cte("t16", "ramp", ramp_same(28.0)), select="""
+            *BASE, SWATCHES, crush_cte("sw", "ramp", ramp_same(28.0)), select="""
             SELECT image_id, CAST(p AS BIGINT) AS pos, r, g, b, mass FROM (SELECT *, CASE WHEN n > 2
                THEN row_number() OVER (PARTITION BY image_id ORDER BY (CASE WHEN sat > 0.14e0 THEN 0 ELSE 1 END), sat DESC, light, rk)
                ELSE rk END AS p FROM (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM ramp)) WHERE p <= 2"""),

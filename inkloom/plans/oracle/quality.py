@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from inkloom.plans.oracle.common import PIXELS, with_
 from inkloom.plans.oracle.labels import BAND, LABEL_CTES, labelled
 
@@ -52,6 +54,19 @@ def nearest(queries: str, targets: str, name: str) -> str:
   FROM {queries} q JOIN {targets} t ON q.image_id = t.image_id GROUP BY ALL)"""
 
 
+def own_iou(other: str, name: str) -> str:
+    """Mean IoU of an image's masks with those of ``other``, through the pairing of both."""
+    pairs = f"""
+pairs_ AS (SELECT a.image_id, a.x, a.y, a.slot AS ref_slot, b.slot AS out_slot FROM ref a JOIN {other} b
+  ON a.image_id = b.image_id AND a.x = b.x AND a.y = b.y)"""
+    ctes = ",".join((pairs, TABLE.replace("FROM pairs", "FROM pairs_"), GREEDY, MASKS))
+    mean = """,
+mean_ AS (SELECT image_id, round_even(sum(CAST(round(round_even(raw, 4) * 10000) AS BIGINT)) / count(*), 0) / 10000 AS v
+  FROM masks GROUP BY image_id)"""
+    return re.sub(r"\b(pairs_|tab|refs|outs|cost|costs|greedy|pairing|masks|mean_)\b", rf"{name}_\1",
+                  ctes + mean)
+
+
 EDGES = (edges("ref", "re"), edges("ren", "oe"))
 SHIFT = """
 mv AS (SELECT image_id, x, y, coalesce(lead(slot) OVER (PARTITION BY image_id, y ORDER BY x), slot) AS slot FROM ref)"""
@@ -64,7 +79,7 @@ def sql() -> dict[str, str]:
         "J3_contingency": with_(*base, select="SELECT * FROM tab"),
         "J4_pair_palettes": with_(*base, GREEDY, select="SELECT image_id, ref_slot, out_slot FROM pairing"),
         "J5_nearest_edge": with_(*LABEL_CTES, *EDGES, nearest("oe", "re", "nn"), select="SELECT image_id, x, y, CAST(d2 AS BIGINT) AS d2 FROM nn"),
-        "J6_neighbour_join": with_(*ref, select="""
+        "J6_neighbour_join": with_(*ref[:2], ref[2].replace("ref AS (", "ref AS MATERIALIZED (", 1), select="""
             SELECT c.image_id, c.x, c.y, c.slot, l.slot AS slot_left, r.slot AS slot_right, u.slot AS slot_up, d.slot AS slot_down
             FROM ref c LEFT JOIN ref l ON l.image_id = c.image_id AND l.y = c.y AND l.x = c.x - 1
             LEFT JOIN ref r ON r.image_id = c.image_id AND r.y = c.y AND r.x = c.x + 1
@@ -92,11 +107,16 @@ def sql() -> dict[str, str]:
             SELECT image_id, bool_and(ref_slot = out_slot) AND any_value(nodes) > 0 AS degenerate FROM tab
             JOIN (SELECT image_id, count(*) FILTER (WHERE pk % 7 = 0) AS nodes FROM pixels GROUP BY image_id) USING (image_id)
             GROUP BY image_id"""),
-        "A24_self_test": with_(*ref, edges("ref", "re"), SHIFT, edges("mv", "me"), nearest("re", "me", "n2"), select="""
-            SELECT i.image_id, i.n_edges, 1.0e0 AS iou_mean, 0.0e0 AS chamfer, round(coalesce(s.m, 0), 6) AS shift_chamfer,
-              i.n_edges = 0 OR coalesce(s.m, 0) > 0.01 AS passed
+        "A24_self_test": with_(
+            *ref, edges("ref", "re"), SHIFT, edges("mv", "me"), nearest("re", "re", "n1"), nearest("re", "me", "n2"),
+            own_iou("ref", "same"), own_iou("mv", "moved"), select="""
+            SELECT i.image_id, i.n_edges, e.v AS iou_mean, round_even(coalesce(q.m, 0), 2) AS chamfer, f.v AS shift_iou,
+              round(coalesce(s.m, 0), 6) AS shift_chamfer,
+              e.v > 0.999 AND coalesce(q.m, 0) < 0.01 AND (i.n_edges = 0 OR coalesce(s.m, 0) > 0.01) AS passed
             FROM (SELECT p.image_id, count(re.x) AS n_edges FROM (SELECT DISTINCT image_id FROM pixels) p
               LEFT JOIN re USING (image_id) GROUP BY p.image_id) i
+            JOIN same_mean_ e USING (image_id) JOIN moved_mean_ f USING (image_id)
+            LEFT JOIN (SELECT image_id, avg(sqrt(d2)) AS m FROM n1 GROUP BY image_id) q USING (image_id)
             LEFT JOIN (SELECT image_id, avg(sqrt(d2)) AS m FROM n2 GROUP BY image_id) s USING (image_id)"""),
         "W6_xor_mask": with_(*base, GREEDY, MASKS, select="""
             SELECT DISTINCT p.image_id, p.x, p.y, m.ref_slot AS slot FROM pairs p JOIN masks m ON m.image_id = p.image_id

@@ -176,3 +176,21 @@ def test_policy_table(spark):
     df = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "i int, c string, m string")
     got = {r.i: tuple(r.p) for r in df.select("i", palette_policy(F.col("c"), F.col("m")).alias("p")).collect()}
     assert got == {i: c[2:] for i, c in enumerate(cases)}
+
+
+def test_exact_gives_the_rest_to_the_nearest_kept(raster):
+    """Four inks, two kept: all ink pixels are counted in the two."""
+    inks = [((200, 30, 30), 20), ((20, 20, 20), 14), ((30, 160, 60), 6), ((40, 40, 190), 4)]
+    rows = [c for c, n in inks for _ in range(n)]
+
+    def paint(x, y):
+        return rows[x - 8] if 8 <= x < 52 and 8 <= y < 32 else (255, 255, 255)
+
+    px = raster({1: (60, 40, paint)})
+    working = P.working_counts(px)
+    clusters = P.color_clusters(P.ink_counts(working, P.background_from_counts(working)))
+    arrays = P.cluster_arrays(clusters)
+    kept = arrays.select(P.select_exact(arrays["swatches"], 2).alias("k")).first().k
+    assert [(s["r"], s["g"], s["b"]) for s in kept] == [inks[0][0], inks[1][0]]
+    # Green and blue are nearer to the dark ink than to the red one.
+    assert [s["mass"] for s in kept] == [20 * 24, 24 * 24]

@@ -112,6 +112,22 @@ def test_nearest_edge_random(spark):
     assert cells(got, "x", "y", "d2") == brute_nearest(a, b)
 
 
+@pytest.mark.parametrize("band", [range(192, 256), [255]])
+def test_far_targets_make_no_more_rows_than_pixels(spark, band):
+    """Targets far from all queries: no row per pair, and no task gets more than a strip."""
+    side, strip_pixels = 256, 256 * 32
+    a = [(x, y) for x in range(side) for y in range(64)]
+    b = [(x, y) for x in range(side) for y in band]
+    queries, targets = dots(spark, a, side, side), dots(spark, b, side, side)
+    table = Q._strip_table(queries, targets, ["image_id"], strip_pixels)
+    per_strip = table.groupBy("image_id", "strip").count().collect()
+    assert sum(r["count"] for r in per_strip) <= len(a) + len(b) + side * side // 32
+    assert max(r["count"] for r in per_strip) <= 2 * strip_pixels + side
+    got = Q.nearest_edge(queries, targets, strip_pixels=strip_pixels).collect()
+    assert len(got) == len(a)
+    assert all(r.d2 == (min(band) - r.y) ** 2 for r in got)
+
+
 def test_chamfer_shift_and_empty(spark):
     line = [(x, 20) for x in range(10, 30)]
     moved = [(x, 25) for x in range(10, 30)]
@@ -237,5 +253,6 @@ def test_evaluate_perfect_copy(raster):
     px = raster({1: (30, 30, lambda x, y: (200, 30, 30) if 5 < x < 20 and 5 < y < 20 else (255, 255, 255))})
     row = Q.evaluate(px, px, P.palette_auto(px)).first()
     assert (row.iou_mean, row.iou_aw, row.iou_worst, row.chamfer, row.identical) == (1, 1, 1, 0, True)
-    test = Q.self_test(L.assign_nearest(px, P.palette_auto(px))).first()
+    palettes = P.palette_auto(px)
+    test = Q.self_test(L.assign_nearest(px, palettes), palettes).first()
     assert test.passed and test.shift_chamfer > 0.01
