@@ -290,13 +290,12 @@ def _renumber(points: DataFrame) -> DataFrame:
 
 
 def _fold_chunk(own: Column, carry: Column, n: Column) -> Column:
-    """Kept positions of one chunk given the last kept vertex before it.
+    """Kept vertices of one chunk given the last kept vertex before it.
 
     ``own`` lists the chunk's vertices with their successors; the result also names the last
     kept vertex.
     """
-    none = F.array().cast("array<bigint>")
-    start = F.struct(carry.alias("at"), none.alias("kept"))
+    start = F.struct(carry.alias("at"), F.slice(F.array(carry), 1, 0).alias("kept"))
 
     def step(acc: Column, v: Column) -> Column:
         at = acc["at"]
@@ -308,18 +307,48 @@ def _fold_chunk(own: Column, carry: Column, n: Column) -> Column:
         end = (v["seq"] == 0) | (v["seq"] == n - 1)
         here = F.struct(v["seq"].alias("seq"), v["x"].alias("x"), v["y"].alias("y"))
         return F.when(end | F.coalesce(bend, F.lit(False)), F.struct(
-            here.alias("at"), F.concat(acc["kept"], F.array(v["seq"])).alias("kept"),
+            here.alias("at"), F.concat(acc["kept"], F.array(here)).alias("kept"),
         )).otherwise(acc)
 
     return F.aggregate(own, start, step)
 
 
+def _fold_rings(points: DataFrame) -> DataFrame:
+    """The same rule along whole rings: one pass over the sorted rows, which keeps the last kept
+    vertex and nothing else, so a ring's length costs time but no memory."""
+    columns = ["seq", "x", "y", "nx", "ny", "n"]
+
+    def run(frames):
+        ring, at = None, None
+        for frame in frames:
+            keep = np.zeros(len(frame), bool)
+            rows = zip(zip(*(frame[k] for k in KEYS), strict=True),
+                       zip(*(frame[c].tolist() for c in columns), strict=True), strict=True)
+            for i, (key, (seq, x, y, nx, ny, n)) in enumerate(rows):
+                if key != ring or seq == 0 or seq == n - 1:
+                    ring, at, keep[i] = key, (x, y), True
+                    continue
+                ux, uy, wx, wy = x - at[0], y - at[1], nx - x, ny - y
+                n1, n2 = (ux * ux + uy * uy) ** 0.5, (wx * wx + wy * wy) ** 0.5
+                if n1 >= 1e-9 and n2 >= 1e-9 and (ux * wx + uy * wy) / (n1 * n2) < COLLINEAR_COS:
+                    at, keep[i] = (x, y), True
+            yield frame.loc[keep, [*KEYS, "seq", "x", "y"]]
+
+    kinds = dict(points.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*KEYS, "seq", "x", "y"])
+    return (
+        points.select(*KEYS, *columns).repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
+        .mapInPandas(run, schema))
+
+
 def collapse_collinear(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Drop vertices that continue the direction from the last kept vertex.
 
-    Whether a vertex stays depends on the last one kept before it, so each chunk of a ring is
-    first folded as if the vertex before the chunk had been kept, and folded again with the
-    true one where the guess was wrong, until all chunks agree with their predecessors.
+    Whether a vertex stays depends on the last one kept before it. Each chunk of a ring is first
+    folded as if the vertex before the chunk had been kept, then once more from the last vertex that any
+    earlier chunk kept, which also sees past chunks that keep nothing. Rings on which the chunks
+    still disagree (long smooth arcs) are folded in one pass along the ring. That makes two rounds at any
+    length.
     """
     sized = points if "n" in points.columns else attach_ring_facts(
         points, points.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")))
@@ -345,19 +374,24 @@ def collapse_collinear(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
                           F.get("vs", F.lit(0)).alias("carry"))
     state = checkpoint(state.withColumn("f", _fold_chunk(
         F.col("own"), F.col("carry"), F.col("n"))))
-    while True:
-        before = state.select(*KEYS, (F.col("blk") + 1).alias("blk"), F.col("f.at").alias("true"))
-        checked = state.join(before, [*KEYS, "blk"], "left")
-        wrong = F.coalesce(F.col("true.seq") != F.col("carry.seq"), F.lit(False))
-        if checked.filter(wrong).isEmpty():
-            break
-        again = _fold_chunk(F.col("own"), F.col("true"), F.col("n"))
-        state = checkpoint(checked.select(
-            *KEYS, "blk", "n", "own", F.when(wrong, F.col("true")).otherwise(F.col("carry"))
-            .alias("carry"), F.when(wrong, again).otherwise(F.col("f")).alias("f")))
-    kept = F.filter("own", lambda e: F.array_contains("f.kept", e["seq"]))
-    return state.select(*KEYS, F.inline(F.transform(kept, lambda e: F.struct(
-        e["seq"].alias("seq"), e["x"].alias("x"), e["y"].alias("y")))))
+    earlier = Window.partitionBy(*KEYS).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_true_carry(df: DataFrame) -> DataFrame:
+        kept = F.col("f.kept")
+        last = F.last(F.get(kept, F.size(kept) - 1), ignorenulls=True).over(earlier)
+        differs = F.coalesce(last["seq"] != F.col("carry.seq"), F.lit(False))
+        return df.withColumn("true", last).withColumn("wrong", differs)
+
+    again = _fold_chunk(F.col("own"), F.col("true"), F.col("n"))
+    state = checkpoint(with_true_carry(state).select(
+        *KEYS, "blk", "n", "own", F.when(F.col("wrong"), F.col("true")).otherwise(F.col("carry"))
+        .alias("carry"), F.when(F.col("wrong"), again).otherwise(F.col("f")).alias("f")))
+    wrong = checkpoint(with_true_carry(state).filter("wrong").select(*KEYS).distinct())
+    kept = state.join(wrong, KEYS, "left_anti").select(*KEYS, F.inline("f.kept"))
+    if wrong.isEmpty():
+        return kept
+    rest = state.join(wrong, KEYS, "left_semi").select(*KEYS, "n", F.inline("own"))
+    return kept.unionByName(_fold_rings(rest))
 
 
 def simplify_ring(

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,22 @@ def test_collapse_chunks_agree_with_one_pass(spark, small_blocks):
     assert got == {p: straighten([(float(x), float(y)) for x, y in pts]) for p, pts in rings.items()}
 
 
+def test_collapse_needs_few_rounds_at_any_length(spark, monkeypatch):
+    """A straight line and a smooth arc of 100,000 vertices, against one pass."""
+    n, radius = 100_000, 400.0
+    line = [(float(k), 0.0) for k in range(n)]
+    arc = [(radius * math.cos(k / radius), radius * math.sin(k / radius)) for k in range(n)]
+    rounds = []
+    plain = G.checkpoint
+    monkeypatch.setattr(G, "checkpoint", lambda df: rounds.append(1) or plain(df))
+    frame = pd.DataFrame({
+        "path_id": np.repeat([1, 2], n), "ring": 0, "seq": np.tile(np.arange(n), 2),
+        "x": [p[0] for p in line + arc], "y": [p[1] for p in line + arc]})
+    got = by_path(G.collapse_collinear(spark.createDataFrame(frame)))
+    assert got == {1: straighten(line), 2: straighten(arc)}
+    assert len(rounds) <= 4
+
+
 def test_simplify_rounds_and_batches_agree(spark, small_blocks, monkeypatch):
     rings = {1: walk(1, 120), 2: walk(2, 64), 3: [(0, 0), (5, 9), (10, 0)], 4: [(0, 0), (1, 1)], 5: [(3, 3)]}
     df = vertex_df(spark, rings)
