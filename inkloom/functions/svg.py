@@ -9,6 +9,7 @@ from inkloom.functions.colour import NEAR_WHITE_MIN
 
 # Fixed patterns.
 D_ATTRIBUTE = r'(?i)\bd="([^"]*)"'
+D_VALUE = r'(?i)(?<=\bd=")[^"]*(?=")'
 NODE = r"(?i)[MLCQSTAZHV](?![a-z])"
 SVG_TAG = r"(?i)<svg\b"
 PATH_TAG = r"(?i)<path\b"
@@ -21,6 +22,15 @@ def svg_d_extract(svg: Column) -> Column:
     return F.regexp_extract_all(svg, F.lit(D_ATTRIBUTE), F.lit(1))
 
 
+def svg_d_replace(svg: Column, by_place: Column) -> Column:
+    """The document with the path data strings at the places of the map ``by_place`` exchanged."""
+    between = F.split(svg, D_VALUE, -1)
+    values = F.transform(svg_d_extract(svg), lambda d, i: F.coalesce(by_place[i], d))
+    inner = F.transform(values, lambda d, i: F.concat(d, F.get(between, i + 1)))
+    return F.when(by_place.isNull(), svg).otherwise(
+        F.concat(F.get(between, F.lit(0)), F.array_join(inner, "")))
+
+
 def svg_node_count(svg: Column) -> Column:
     """Drawing commands over all path data; a closing Z is a node too."""
     return F.aggregate(svg_d_extract(svg), F.lit(0),

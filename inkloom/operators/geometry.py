@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions.colour import let
-from inkloom.functions.svg import svg_d_extract
+from inkloom.functions.svg import svg_d_extract, svg_d_replace
 from inkloom.plans.spread import checkpoint, int_div, number_rows, store, whole_groups
 
 # Fixed values.
@@ -436,12 +436,8 @@ def simplify_ring(
         short.withColumn("x", F.col("x").cast("double")).withColumn("y", F.col("y").cast("double")))
 
 
-def normalize_paths(points: DataFrame, level: str = "basic") -> DataFrame:
-    """Per path the rewritten path data ``d`` of its simplified rings, in ring order.
-
-    ``basic`` writes polylines; ``strict`` writes two arcs for rings of at least eight
-    simplified vertices that fit a circle. A ring's text is built from its own vertices.
-    """
+def _ring_texts(points: DataFrame, level: str) -> DataFrame:
+    """``path_id, ring, t``: the path data of each simplified ring."""
     if level not in ("basic", "strict"):
         raise ValueError("level must be basic or strict")
     ends = ring_ends(points).filter(F.col("n") >= 2).select(*KEYS, "closed")
@@ -468,9 +464,48 @@ def normalize_paths(points: DataFrame, level: str = "basic") -> DataFrame:
             "M %.2f %.2f A %.2f %.2f 0 1 1 %.2f %.2f A %.2f %.2f 0 1 1 %.2f %.2f Z",
             cx + r, cy, r, r, cx - r, cy, r, r, cx + r, cy)
         poly = F.when(r.isNotNull(), arcs).otherwise(poly)
-    part = rings.select("path_id", F.struct("ring", poly.alias("t")).alias("part"))
-    return part.groupBy("path_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list("part")), lambda e: e["t"]), " ").alias("d"))
+    return rings.select(*KEYS, poly.alias("t"))
+
+
+def _joined_rings(texts: DataFrame, *key: str) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("ring", "t")))
+    return texts.groupBy(*key).agg(
+        F.array_join(F.transform(listed, lambda e: e["t"]), " ").alias("d"))
+
+
+def normalize_paths(points: DataFrame, level: str = "basic") -> DataFrame:
+    """Per path the rewritten path data ``d`` of its simplified rings, in ring order.
+
+    ``basic`` writes polylines; ``strict`` writes two arcs for rings of at least eight
+    simplified vertices that fit a circle. A ring's text is built from its own vertices.
+    """
+    return _joined_rings(_ring_texts(points, level), "path_id")
+
+
+def normalize_documents(
+    docs: DataFrame, level: str = "off", doc_id: str = "path_id", column: str = "svg"
+) -> DataFrame:
+    """SVG documents with all their path data rewritten, each in its place.
+
+    ``level`` is ``basic`` or ``strict`` as in ``normalize_paths``; ``off``, and any other name, leaves the
+    documents as they are. Path data without a ring of two vertices stays. All rings of a document are
+    simplified side by side: they are rows of their own, keyed by path and ring.
+    """
+    if level not in ("basic", "strict"):
+        return docs
+    shift = 32
+    rings = path_vertices(docs, doc_id, column).select(
+        F.col(doc_id).alias("path_id"),
+        F.shiftleft(F.col("path_no").cast("bigint"), shift).bitwiseOR(
+            F.col("ring").cast("bigint")).alias("ring"),
+        F.col("seq").cast("bigint").alias("seq"), "x", "y")
+    paths = _joined_rings(
+        _ring_texts(store(rings), level).withColumn("path_no", F.shiftright("ring", shift)),
+        "path_id", "path_no")
+    found = paths.groupBy(F.col("path_id").alias(doc_id)).agg(F.map_from_entries(
+        F.collect_list(F.struct(F.col("path_no").cast("int"), "d"))).alias("_new"))
+    return docs.join(found, doc_id, "left").withColumn(
+        column, svg_d_replace(F.col(column), F.col("_new"))).select(docs.columns)
 
 
 # --- path data to vertices ----------------------------------------------------------------

@@ -292,6 +292,15 @@ def _mixed_docs(spark: SparkSession, sf: str) -> DataFrame:
     return derived.mixed_docs(derived.vertices(spark, sf))
 
 
+def _two_path_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of two paths; the second has the outline and a square as its rings, and an empty
+    path stands between them."""
+    outline = F.get(S.svg_d_extract(F.col("svg")), F.lit(0))
+    square = "M 0.00 0.00 L 9.00 0.00 L 9.00 9.00 L 0.00 9.00 Z"
+    more = F.concat(F.lit(' <path d=""/> <path d="'), outline, F.lit(f' {square}"/></svg>'))
+    return _docs(spark, sf).select("path_id", F.replace("svg", F.lit("</svg>"), more).alias("svg"))
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(six(c).alias(c) if c in names else F.col(c) for c in df.columns))
 
@@ -326,6 +335,7 @@ def outline_queries() -> dict:
             "cy", "r").drop("ring"),
         "G6_normalize_basic": lambda s, d: G.normalize_paths(_outlines(s, d), "basic"),
         "G6_normalize_strict": lambda s, d: G.normalize_paths(_outlines(s, d), "strict"),
+        "G6_normalize_documents": lambda s, d: G.normalize_documents(_two_path_docs(s, d), "basic"),
         "P15_svg_d_extract": lambda s, d: _docs(s, d).select(
             "path_id", F.explode(S.svg_d_extract(F.col("svg"))).alias("d")),
         "P16_svg_node_count": lambda s, d: _docs(s, d).select(

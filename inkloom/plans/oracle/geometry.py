@@ -130,6 +130,9 @@ def sql() -> dict[str, str]:
               round(cx, 6) AS cx, round(cy, 6) AS cy, round(r, 6) AS r FROM ringm JOIN ends USING (path_id) JOIN fit USING (path_id)
             WHERE closed AND n >= 12 AND area / 40000 >= 0.04 AND 4.0e0 * pi() * area / (perimeter * perimeter) >= 0.88"""),
         "G6_normalize_basic": with_(*pts, *ring_simplify("0.5"), BASIC, select="SELECT path_id, d FROM line"),
+        "G6_normalize_documents": with_(*pts, *ring_simplify("0.5"), BASIC, select="""
+            SELECT path_id, concat('<svg width="200" height="200"><path d="', d, '" fill="#c53837"/> <path d=""/> <path d="', d,
+              ' M 0.00 0.00 L 9.00 0.00 L 9.00 9.00 L 0.00 9.00 L 0.00 0.00 Z"/></svg>') AS svg FROM line"""),
         "G6_normalize_strict": with_(*pts, *ring_simplify("0.5"), BASIC, STRICT, circle("b5", "fit"), select=f"""
             SELECT l.path_id, CASE WHEN f.r IS NULL THEN l.d ELSE concat('M ', {num('cx + r')}, ' ', {num('cy')}, ' A ', {num('r')}, ' ', {num('r')},
               ' 0 1 1 ', {num('cx - r')}, ' ', {num('cy')}, ' A ', {num('r')}, ' ', {num('r')}, ' 0 1 1 ', {num('cx + r')}, ' ', {num('cy')}, ' Z') END AS d
