@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkloom.functions.requests import (
     is_sample_file, request_verdict, run_group, run_id, safe_name,
 )
-from inkloom.functions.svg import degenerate_path_share, looks_like_svg
+from inkloom.functions.svg import degenerate_path_share
 
 # Fixed values.
 MIN_ARTIFACT_BYTES = 500
@@ -68,12 +68,6 @@ def artifact_qa(artifacts: DataFrame) -> DataFrame:
         "status", F.when(F.col("reason").isNull(), "pass").otherwise("fail"))
 
 
-def svg_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents that contain an svg element, and the rejected rest."""
-    ok = looks_like_svg(F.col("svg"))
-    return docs.filter(ok), docs.filter(~ok)
-
-
 def sample_filter(files: DataFrame, column: str = "path") -> DataFrame:
     """Corpus files named ``sample_*.jpg`` or ``sample_*.png``, in path order."""
     return files.filter(is_sample_file(F.regexp_extract(column, r"([^/]*)$", 1))).orderBy(column)

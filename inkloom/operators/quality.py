@@ -363,6 +363,33 @@ def evaluate(
     )
 
 
+def evaluate_corpus(
+    source: DataFrame, variants: dict[str, DataFrame], palettes: DataFrame, nodes: DataFrame,
+    strip_pixels: int = STRIP_PIXELS,
+) -> DataFrame:
+    """``evaluate`` for every variant of the renderings: one row per image and variant, with the
+    image's size, the number of its colours, the trace's ``nodes`` and the degenerate flag.
+
+    ``variants`` names a handful of settings; every one is a pass over the whole corpus. Images that a
+    variant did not render have a row without measures.
+    """
+    source, palettes = store(source), store(palettes)
+    facts = (
+        source.groupBy("image_id").agg(F.max("w").alias("w"), F.max("h").alias("h"))
+        .join(palettes.select("image_id", F.size("palette").cast("bigint").alias("n_colors")), "image_id")
+        .join(nodes, "image_id", "left"))
+    out: DataFrame | None = None
+    for name, rendered in variants.items():
+        rows = facts.join(
+            evaluate(source, rendered, palettes, strip_pixels), "image_id", "left"
+        ).select(
+            "image_id", F.lit(name).alias("variant"), "w", "h", "n_colors", "nodes", "iou_mean",
+            "iou_worst", "iou_aw", "iou_bg", "iou_unmatched", "chamfer",
+            (F.col("identical") & (F.col("nodes") > 0)).alias("degenerate"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def self_test(
     labels: DataFrame, palettes: DataFrame, strip_pixels: int = STRIP_PIXELS
 ) -> DataFrame:

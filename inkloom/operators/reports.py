@@ -94,12 +94,13 @@ def sample_report(metrics: DataFrame) -> DataFrame:
         return F.when(value.isNull(), "—").otherwise(F.format_string(pattern, value))
 
     line = F.concat(
-        F.lit("| "), F.col("no").cast("string"), F.lit(" | `"), F.col("sample"), F.lit("` | "),
+        F.lit("| "), F.col("no").cast("string"), F.lit(" | `"), F.coalesce("sample", F.lit("")), F.lit("` | "),
         F.concat_ws(" | ", hex_palette(F.col("palette")),
                     F.concat(text("iou_mean", "%.4f"),
                              F.when(F.coalesce("degenerate", F.lit(False)), " ⚠").otherwise("")),
                     text("iou_aw", "%.4f"), text("iou_bg", "%.4f"), text("chamfer", "%.2f"),
-                    text("nodes", "%d"), F.format_string("%.1f", F.bround(F.col("svg_bytes") / 1024, 1)),
+                    text("nodes", "%d"), F.when(F.col("svg_bytes").isNull(), "—").otherwise(
+                        F.format_string("%.1f", F.bround(F.col("svg_bytes") / 1024, 1))),
                     F.when(F.coalesce("elapsed", F.lit(0.0)) == 0, "—").otherwise(
                         F.format_string("%.1fs", "elapsed"))),
         F.lit(" |"),

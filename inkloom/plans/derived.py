@@ -131,13 +131,13 @@ def band_palettes(px: DataFrame) -> DataFrame:
         "image_id", "w", "h", *(plate[c].alias(f"bg_{c}") for c in "rgb"), "palette")
 
 
-def traced(px: DataFrame, modulus: int = 11) -> DataFrame:
-    """A perturbed copy: every ``pk % modulus = 0`` pixel takes its left neighbour's colour."""
+def traced(px: DataFrame, modulus: int = 11, shift: int = 1) -> DataFrame:
+    """A perturbed copy: each ``pk % modulus = 0`` pixel takes the colour ``shift`` places to its left."""
     left = Window.partitionBy("image_id", "y").orderBy("x")
     smear = F.col("pk") % modulus == 0
 
     def channel(c: str) -> Column:
-        return F.when(smear, F.coalesce(F.lag(c).over(left), F.col(c))).otherwise(F.col(c)).alias(c)
+        return F.when(smear, F.coalesce(F.lag(c, shift).over(left), F.col(c))).otherwise(F.col(c)).alias(c)
 
     return px.select("image_id", "x", "y", "w", "h", channel("r"), channel("g"), channel("b"))
 

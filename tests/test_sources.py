@@ -32,7 +32,8 @@ def png(path, w, h, paint, channels=3):
 def test_pixels_of_png(spark, tmp_path, channels, paint, monkeypatch):
     monkeypatch.setattr(Im, "STRIP_PIXELS", 100)
     png(tmp_path / "sample_1.png", 31, 17, paint, channels)
-    good, bad = Im.read_images(spark, str(tmp_path))
+    files = Im.read_images(spark, str(tmp_path))
+    good, bad = files.filter('reason IS NULL'), files.filter('reason IS NOT NULL')
     got = {(r.x, r.y): (r.r, r.g, r.b, r.a) for r in Im.explode_pixels(good).collect()}
     assert len(got) == 31 * 17 and bad.count() == 0
     for (x, y), colour in got.items():
@@ -45,7 +46,8 @@ def test_quarantine_and_glob(spark, tmp_path):
     png(tmp_path / "sample_1.png", 3, 3, lambda x, y: (1, 2, 3))
     png(tmp_path / "other.png", 3, 3, lambda x, y: (1, 2, 3))
     (tmp_path / "sample_2.jpg").write_bytes(b"not an image")
-    good, bad = Im.read_images(spark, str(tmp_path), Im.SAMPLE_GLOB)
+    files = Im.read_images(spark, str(tmp_path), Im.SAMPLE_GLOB)
+    good, bad = files.filter('reason IS NULL'), files.filter('reason IS NOT NULL')
     assert good.count() == 1
     assert [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["sample_2.jpg"]
     kinds = {r.path.rsplit("/", 1)[1]: r.ext for r in Im.read_file_kinds(spark, str(tmp_path)).collect()}
@@ -179,7 +181,8 @@ def test_other_image_formats(spark, tmp_path, kind, tolerance):
         for y in range(16):
             image.setRGB(x, y, 0xC82814 if x < 16 else 0x1428C8)
     assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(tmp_path / f"sample_1.{kind}")))
-    good, bad = Im.read_images(spark, str(tmp_path))
+    files = Im.read_images(spark, str(tmp_path))
+    good, bad = files.filter('reason IS NULL'), files.filter('reason IS NOT NULL')
     assert bad.count() == 0
     got = {(r.x, r.y): (r.r, r.g, r.b) for r in Im.explode_pixels(good).collect()}
     assert len(got) == 512
