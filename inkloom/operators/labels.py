@@ -128,6 +128,14 @@ def prepare_corpus(
     return remap_to_palette(pixels, palettes, keep_alpha=True, strip_pixels=strip_pixels)
 
 
+def prepare_by_settings(
+    pixels: DataFrame, settings: DataFrame, strip_pixels: int = STRIP_PIXELS
+) -> DataFrame:
+    """``prepare_corpus`` with each image's own ``n, mode``, as ``validate_requests`` resolves them."""
+    palettes = P.palette_by_settings(pixels, settings)
+    return remap_to_palette(pixels, palettes, keep_alpha=True, strip_pixels=strip_pixels)
+
+
 def ink_coverage(pixels: DataFrame) -> DataFrame:
     """Share of visible non-white pixels per image; transparent pixels count in the total."""
     ink = is_ink(P.px(), F.col("a") if "a" in pixels.columns else None)

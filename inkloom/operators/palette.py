@@ -559,43 +559,72 @@ def _palette_inputs(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return background, ink_counts(working, background)
 
 
-def palette_auto(pixels: DataFrame, max_colors: int = 4) -> DataFrame:
-    """Automatic palette: ``image_id, w, h, has_alpha, bg_*, palette array<slot,r,g,b>``.
-
-    An image whose inks collapse to one although its lightness has two far peaks falls back to
-    the mass-aware choice.
-    """
-    background, ink = _palette_inputs(pixels)
-    full = cluster_arrays(color_clusters(ink))
+def _auto_inks(full: DataFrame, ink: DataFrame, n: Column) -> DataFrame:
+    """``image_id, auto_inks`` from the swatches of ``full``; ``n`` bounds the fallback."""
     image_top = F.get("swatches", F.lit(0))["mass"]
     bar = F.greatest(image_top * 0.03, F.lit(float(MIN_ABSOLUTE_COUNT)))
     heavy = F.filter("swatches", lambda s: s["mass"] >= bar)
     candidates = F.when(F.size(heavy) > 0, heavy).otherwise(F.slice("swatches", 1, 1))
     crushed = gradient_crush(F.col("survivors"))
-    guard = (F.size("auto") == 1) & F.lit(max_colors > 1) & F.col("is_bimodal")
-    chosen = F.when(guard, select_up_to(F.col("swatches"), max_colors)).otherwise(F.col("auto"))
-    inks = (
+    guard = (F.size("auto") == 1) & (n > 1) & F.col("is_bimodal")
+    chosen = F.when(guard, select_up_to(F.col("swatches"), n)).otherwise(F.col("auto"))
+    return (
         full.withColumn("candidates", candidates)
         .withColumn("survivors", auto_survivors(F.col("candidates")))
         .withColumn("auto", crushed)
         .join(lightness_peaks(ink), "image_id")
-        .select("image_id", chosen.alias("inks"))
+        .select("image_id", chosen.alias("auto_inks"))
     )
-    cap = F.greatest(F.lit(max_colors), F.coalesce(F.size("inks"), F.lit(0)))
+
+
+def _auto_cap(n: Column, inks: Column) -> Column:
+    return F.greatest(n, F.coalesce(F.size(inks), F.lit(0)))
+
+
+def _palette_row(inks: Column, cap: Column) -> list[Column]:
+    return [*(F.col(c) for c in ("image_id", "w", "h", "has_alpha")), *bg(),
+            _with_background(inks, cap).alias("palette")]
+
+
+def palette_auto(pixels: DataFrame, max_colors: int = 4) -> DataFrame:
+    """Automatic palette: ``image_id, w, h, has_alpha, bg_*, palette array<slot,r,g,b>``.
+
+    An image whose inks collapse to one although its lightness has two far peaks falls back to
+    the mass-aware choice.
+    """
+    background, ink = _palette_inputs(pixels)
+    n = F.lit(max_colors)
+    inks = _auto_inks(cluster_arrays(color_clusters(ink)), ink, n)
+    found = F.col("auto_inks")
     return background.join(inks, "image_id", "left").select(
-        "image_id", "w", "h", "has_alpha", *bg(), _with_background(F.col("inks"), cap).alias("palette")
-    )
+        *_palette_row(found, _auto_cap(n, found)))
 
 
 def palette_exact(pixels: DataFrame, max_colors: int) -> DataFrame:
     """Background plus exactly the ``max_colors`` heaviest inks, no gradient crush."""
     background, ink = _palette_inputs(pixels)
+    n = F.lit(max_colors)
     inks = cluster_arrays(color_clusters(ink)).select(
-        "image_id", select_exact(F.col("swatches"), max_colors).alias("inks")
-    )
-    return background.join(inks, "image_id", "left").select(
-        "image_id", "w", "h", "has_alpha", *bg(), _with_background(F.col("inks"), max_colors).alias("palette")
-    )
+        "image_id", select_exact(F.col("swatches"), n).alias("inks"))
+    return background.join(inks, "image_id", "left").select(*_palette_row(F.col("inks"), n))
+
+
+def palette_by_settings(pixels: DataFrame, settings: DataFrame) -> DataFrame:
+    """``palette_auto`` or ``palette_exact`` per image, by its row ``image_id, n, mode`` in
+    ``settings`` (one per image; images without a row get no palette). The pixels are read once
+    for both."""
+    asked = checkpoint(settings.select("image_id", F.col("n").cast("int").alias("n"), "mode"))
+    background, ink = _palette_inputs(pixels.join(asked.select("image_id"), "image_id", "left_semi"))
+    full = checkpoint(cluster_arrays(color_clusters(ink)).join(asked, "image_id"))
+    exact = F.col("mode") == "exact"
+    auto = _auto_inks(full.filter(~exact), ink, F.col("n"))
+    heaviest = full.filter(exact).select(
+        "image_id", select_exact(F.col("swatches"), F.col("n")).alias("exact_inks"))
+    inks = F.when(exact, F.col("exact_inks")).otherwise(F.col("auto_inks"))
+    cap = F.when(exact, F.col("n")).otherwise(_auto_cap(F.col("n"), F.col("auto_inks")))
+    return (
+        background.join(asked, "image_id").join(auto, "image_id", "left")
+        .join(heaviest, "image_id", "left").select(*_palette_row(inks, cap)))
 
 
 def palette_rows(palettes: DataFrame) -> DataFrame:

@@ -303,6 +303,14 @@ def _mixed_docs(spark: SparkSession, sf: str) -> DataFrame:
     return derived.mixed_docs(derived.vertices(spark, sf))
 
 
+def _requested(spark: SparkSession, sf: str) -> DataFrame:
+    """Palettes as accepted requests ask for them; a request's number is its image's."""
+    checked = I.validate_requests(derived.requests(spark, sf)).filter("reject_code IS NULL")
+    settings = checked.select(F.col("req_id").alias("image_id"), "n", "mode")
+    return P.palette_rows(P.palette_by_settings(_stored(spark, sf), settings)).select(
+        "image_id", "slot", "r", "g", "b")
+
+
 def _two_path_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of two paths; the second has the outline and a square as its rings, and an empty
     path stands between them."""
@@ -425,6 +433,7 @@ def intake_queries() -> dict:
         ).select("req_id", *long("n"), "mode", "error"),
         "P13_validate_request": lambda s, d: I.validate_requests(derived.requests(s, d)).select(
             *long("req_id", "reject_code", "n"), "reject_reason", "mode"),
+        "E2_requested_palettes": _requested,
         "P14_safe_name": lambda s, d: derived.finished_runs(s, d).select(
             "filename_hint", Rq.safe_name(F.col("filename_hint")).alias("safe")),
         "P22_run_id": lambda s, d: derived.runs(s, d).select(

@@ -142,16 +142,20 @@ def final_palette(inks: str, name: str, cap: str) -> str:
  UNION ALL SELECT image_id, slot, r, g, b FROM {name}_i WHERE slot <= {cap})"""
 
 
-AUTO = (
-    *BASE, KEPT, SWATCHES, KEPT_SW, merge_cte("ksw"), "surv AS (SELECT * FROM merged WHERE rk <= 8)",
-    crush_cte("surv", "crushed", AUTO_SAME), GUARD, mass_cte("sw", "cand"), up_to_cte("cand", "upto", 4),
-    """
+def auto(k: int) -> tuple[str, ...]:
+    return (
+        *BASE, KEPT, SWATCHES, KEPT_SW, merge_cte("ksw"), "surv AS (SELECT * FROM merged WHERE rk <= 8)",
+        crush_cte("surv", "crushed", AUTO_SAME), GUARD, mass_cte("sw", "cand"), up_to_cte("cand", "upto", k),
+        """
 autoink AS (SELECT c.image_id, c.r, c.g, c.b, c.rk FROM crushed c JOIN guard USING (image_id)
   WHERE NOT (is_bimodal AND (SELECT count(*) FROM crushed z WHERE z.image_id = c.image_id) = 1)
  UNION ALL SELECT u.image_id, u.r, u.g, u.b, u.rk FROM upto u JOIN guard USING (image_id)
   WHERE is_bimodal AND (SELECT count(*) FROM crushed z WHERE z.image_id = u.image_id) = 1)""",
-    final_palette("autoink", "pal", "99"),
-)
+        final_palette("autoink", "pal", "99"),
+    )
+
+
+AUTO = auto(4)
 
 
 def exact(k: int) -> tuple[str, ...]:

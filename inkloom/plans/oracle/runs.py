@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkloom.plans.fixture_sql import PIXELS, REQUESTS, RUNS, SVG_DOCS, VERTICES
+from inkloom.plans.oracle import palette
 from inkloom.plans.oracle.common import with_
 
 SCALED = """
@@ -82,6 +83,11 @@ def sql() -> dict[str, str]:
         "P13_validate_request": with_(REQUESTS, POLICY, VERDICT, select="""
             SELECT req_id, CAST(CASE WHEN reason = 'file too large' THEN 413 WHEN reason IS NOT NULL THEN 400 END AS BIGINT) AS reject_code,
               n, reason AS reject_reason, mode FROM ver"""),
+        "E2_requested_palettes": " UNION ALL ".join(
+            f"SELECT * FROM ({with_(*build(k), REQUESTS, POLICY, VERDICT, select=f"""
+              SELECT image_id, slot, p.r, p.g, p.b FROM pal p JOIN ver ON req_id = image_id
+              WHERE reason IS NULL AND ver.n = {k} AND mode = '{mode}'""")})"
+            for mode, build in (("up_to", palette.auto), ("exact", palette.exact)) for k in (2, 4, 16)),
         "P14_safe_name": with_(HINT, select="SELECT hint AS filename_hint, s AS safe FROM safe"),
         "P22_run_id": with_(RUNS, select=f"SELECT run_id, {RUN_ID} AS id FROM runs"),
         "S2_sample_filter": with_(FILES, select="""
