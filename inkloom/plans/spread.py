@@ -13,6 +13,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -164,8 +165,29 @@ def store(df: DataFrame) -> DataFrame:
 
 
 def shared_table_path(spark: SparkSession, name: str) -> str:
-    """A new table location in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new table location in the shared folder, inside the open ``scratch`` if there is one."""
+    folder = _scratch[-1] if _scratch else shared_dir(spark).rstrip("/")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables that operators store; it goes when the block ends.
+
+    Results that are needed later must be written before that. Checkpoints are Spark's own: with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` they go with their last reference.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_dir(spark: SparkSession) -> str:

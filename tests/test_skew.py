@@ -1,11 +1,14 @@
 """The pixel queries where one image holds a third of all pixels and no fact is broadcast."""
 
+import os
 from pathlib import Path
 
 import duckdb
 import pytest
 from compare import TABLES, compare
 
+from inkloom.operators import palette as P
+from inkloom.operators import quality as Q
 from inkloom.plans import derived, spread
 
 SOURCE = "/root/testdata/sf0.001"
@@ -34,3 +37,16 @@ def test_hot_image(spark, skewed, monkeypatch, name):
     monkeypatch.setattr(spread, "BROADCAST_ROWS", 0)
     ok, text = compare(spark, name, skewed)
     assert ok, text
+
+
+def test_scratch_leaves_nothing(spark, raster):
+    def paint(x, y):
+        return (200, 30, 30) if 5 < x < 20 and 5 < y < 20 else (255, 255, 255)
+
+    px = raster({1: (30, 30, paint)})
+    palettes = P.palette_auto(px)
+    with spread.scratch(spark) as folder:
+        rows = Q.evaluate(px, px, palettes).collect()
+        path = folder.removeprefix("file:")
+        assert rows and os.listdir(path)
+    assert not os.path.exists(path)
