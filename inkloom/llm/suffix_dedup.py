@@ -278,7 +278,9 @@ def repeated_spans(
 ) -> DataFrame:
     """d, th, spans: ascending, overlapping spans of bytes to remove, per document with any."""
     all_runs = store(runs(docs, length))
-    again = all_runs.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    # Stored, so that the join does not lean on the sums' partitions and a frequent anchor is split.
+    again = store(
+        all_runs.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"))
     some = store(all_runs.join(again, "h"))
     text = ["h", "w1", "w2"]
     classes = store(some.groupBy(*text).agg(
