@@ -23,6 +23,7 @@ repeat their result, other columns are ignored. Nothing is shuffled.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from heapq import heappop, heappush, nsmallest
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from inkloom.llm.common import file_bytes, map_rows, slices, tokenizer_path
 
 N_BEST = 4
-CACHED_CHUNKS = 100_000
+CACHED_CHUNKS = 250_000
 _NEVER = -(1 << 60)
 SLICE = 2 << 20
 _CHUNK = re.compile(r"\n|▁| *[^ \n▁]+| +")
@@ -68,6 +69,12 @@ class Pieces:
         # Every start of a piece: (score, ids) if it is a piece, else None.
         self.table = {t[:k]: None for t in self.ids for k in range(1, len(t) + 1)}
         self.table |= {t: (score, (i,)) for t, (i, score) in self.ids.items()}
+        # The same as a tree: next character -> (its children, score and ids or None).
+        nodes: dict[str, dict] = {"": {}}
+        for t in sorted(self.table, key=len):
+            nodes[t] = {}
+            nodes[t[:-1]][t[-1]] = nodes[t], self.table[t]
+        self.tree = nodes[""]
 
     def lattice(self, text: str) -> tuple[list[list], list[int]]:
         """Edges (start, score, ids) into each node, and the forward Viterbi scores."""
@@ -92,6 +99,43 @@ class Pieces:
                     break
         return into, best
 
+    def two_best(self, text: str) -> tuple[int, int, tuple[int, ...]]:
+        """Best score, what the second best loses, and the best ids: forward Viterbi alone."""
+        n, root = len(text), self.tree
+        best, second = [0] + [_NEVER] * n, [_NEVER] * (n + 1)
+        back: list = [None] * (n + 1)
+        for i in range(n):
+            b, c = best[i], second[i]
+            step = root.get(text[i])
+            if step is None or step[1] is None:  # no piece: the bytes of the character
+                raw = text[i].encode()
+                only = self.unknown * len(raw), tuple(self.byte_ids[x] for x in raw)
+                step = {} if step is None else step[0], only
+            j = i + 1
+            while True:
+                more, found = step
+                if found is not None:
+                    score, ids = found
+                    x = b + score
+                    if x > best[j]:
+                        second[j] = best[j] if best[j] > c + score else c + score
+                        best[j] = x
+                        back[j] = i, ids
+                    elif x > second[j]:
+                        second[j] = x
+                if j == n:
+                    break
+                step = more.get(text[j])
+                if step is None:
+                    break
+                j += 1
+        parts, at = [], n
+        while at:
+            at, ids = back[at]
+            parts.append(ids)
+        loss = best[n] - second[n] if second[n] > _NEVER // 2 else -_NEVER
+        return best[n], loss, tuple(chain.from_iterable(reversed(parts)))
+
     def search(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The n best (score, ids) of a text, best first. Of equal scores, the path that has
         come furthest goes first, so ties do not widen the search."""
@@ -123,8 +167,7 @@ class _Known(dict):
     def __missing__(self, chunk: str) -> tuple:
         got = self.older.get(chunk)
         if got is None:
-            two = self.pieces.search(chunk, 2)
-            got = two[0][0], two[0][0] - two[1][0] if len(two) > 1 else -_NEVER, two[0][1]
+            got = self.pieces.two_best(chunk)
         if len(self) >= CACHED_CHUNKS:
             self.older = dict(self)
             self.clear()
@@ -135,6 +178,17 @@ class _Known(dict):
 class Encoder:
     def __init__(self, pieces: Pieces, n: int):
         self.pieces, self.n, self.known = pieces, n, _Known(pieces)
+        self.lists: dict[str, list] = {}
+
+    def others(self, chunk: str) -> list[tuple[int, tuple[int, ...]]]:
+        """The next best (score, ids) of a chunk behind the one that Viterbi chose."""
+        if len(self.lists) >= CACHED_CHUNKS // 20:
+            self.lists.clear()
+        if chunk not in self.lists:
+            found = self.pieces.search(chunk, self.n)
+            chosen = self.known[chunk][2]
+            self.lists[chunk] = [f for f in found if f[1] != chosen][: self.n - 1]
+        return self.lists[chunk]
 
     def encode(self, text: str) -> list[tuple[int, np.ndarray]]:
         """The n best (score, ids) of a whole text, best first."""
@@ -152,10 +206,10 @@ class Encoder:
         for i in np.argsort(losses, kind="stable")[: self.n - 1].tolist():
             if losses[i] == -_NEVER:
                 break
-            found = self.pieces.search(chunks[i], self.n)
-            sums = nsmallest(self.n, (
-                (lost + scores[i] - score, (*choice, (i, other)) if k else choice)
-                for lost, choice in sums for k, (score, other) in enumerate(found)))
+            more = self.others(chunks[i])
+            sums = nsmallest(self.n, chain(sums, (
+                (lost + scores[i] - score, (*choice, (i, other)))
+                for lost, choice in sums for score, other in more)))
         out = []
         for lost, choice in sums:
             parts, at = [], 0
@@ -181,6 +235,8 @@ def encode_nbest(
     types = [pa.int32(), *[pa.int64()] * 4]
 
     def start():
+        # The remembered tuples form no cycles; searching them for some takes a fifth of the time.
+        gc.set_threshold(1_000_000)
         pieces = Pieces(proto)
         encoder = Encoder(pieces, n)
 
