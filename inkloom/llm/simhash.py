@@ -23,12 +23,14 @@ Words are runs of anything but space and \\t \\n \\v \\f \\r, A-Z in lower case.
 words than a shingle is one shingle; a text without words (null, empty, blank) has fingerprint
 zero and links like any other. Repeated rows get equal results. Null doc_ids have a fingerprint
 and link texts, but never name a component (a component of nulls alone has a null name).
-Very long texts are hashed in slices of ``HASHES`` shingles. Other columns are ignored.
+Very long texts are hashed in slices of ``HASHES`` shingles. ``EXACT`` counts a repeated shingle as
+often as it stands, ``WIDE`` once, for similarity is that of shingle sets. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,7 +54,8 @@ _ODD = 0x5555555555555555
 @dataclass(frozen=True)
 class Grid:
     """Shingle length, 64-bit words of a fingerprint, differing bits that still link, bits of a
-    segment (1 or 2), blocks per word, and steps between cells that meet (0 or 1)."""
+    segment (1 or 2), blocks per word, steps between cells that meet (0 or 1), and whether a
+    shingle counts once however often a text repeats it."""
 
     shingle: int
     words: int
@@ -60,6 +63,7 @@ class Grid:
     segment: int
     blocks: int
     reach: int
+    distinct: bool = False
 
     @property
     def codes(self) -> list[str]:
@@ -72,34 +76,53 @@ class Grid:
 
 
 EXACT = Grid(shingle=4, words=1, distance=4, segment=2, blocks=3, reach=1)
-WIDE = Grid(shingle=5, words=6, distance=64, segment=1, blocks=5, reach=0)
+WIDE = Grid(shingle=5, words=6, distance=64, segment=1, blocks=5, reach=0, distinct=True)
 
 
-def fingerprint(text: bytes, grid: Grid = EXACT) -> np.ndarray:
-    """The 64-bit words of a SimHash. The first comes from the shingles' XXH64, further ones
-    from mixing it anew."""
+def shingles(text: bytes, length: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text in their order, in slices of ``HASHES``."""
     import xxhash
 
     words = _WORD.findall(text.lower())  # bytes.lower() changes A-Z only
     if not words:
-        return np.zeros(grid.words, np.uint64)
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
-    k = min(grid.shingle, len(words))
+    k = min(length, len(words))
     first, last = begins[: len(words) - k + 1].tolist(), ends[k - 1:].tolist()
-    count = np.zeros((grid.words, 64), np.int64)
     for at in range(0, len(first), HASHES):
-        h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(
+        yield np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(
             first[at:at + HASHES], last[at:at + HASHES], strict=True)], np.uint64)
-        for w in range(grid.words):
+
+
+def shingle_set(text: bytes, length: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending; none of a text without words."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(text, length)]))
+
+
+def simhash(slices_: Iterable[np.ndarray], words: int) -> np.ndarray:
+    """The 64-bit words of a SimHash of shingle hashes. The first comes from the hashes, further
+    ones from mixing them anew."""
+    count, n = np.zeros((words, 64), np.int64), 0
+    for h in slices_:
+        n += len(h)
+        for w in range(words):
             if w:
                 h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
                 h ^= h >> np.uint64(29)
             bits = np.unpackbits(
                 h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             count[w] += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * count > len(first), axis=1, bitorder="little").view("<u8")[:, 0]
+    return np.packbits(2 * count > n, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprint(text: bytes, grid: Grid = EXACT) -> np.ndarray:
+    """The 64-bit words of a text's SimHash."""
+    if not grid.distinct:
+        return simhash(shingles(text, grid.shingle), grid.words)
+    own = shingle_set(text, grid.shingle)
+    return simhash((own[a:a + HASHES] for a in range(0, len(own), HASHES)), grid.words)
 
 
 def fingerprints(docs: DataFrame, grid: Grid = EXACT, *keep: str) -> DataFrame:

@@ -92,6 +92,22 @@ def test_one_of_each_group_stays(spark, edge_docs, no_docs):
     assert S.one_per_group(no_docs).count() == 0 and S.query(no_docs).count() == 0
 
 
+def test_repeated_shingles_count_once(spark):
+    """A passage that two unrelated texts repeat is a small part of their shingle sets."""
+    rng = np.random.default_rng(6)
+    menu = " ".join(f"menu{i}" for i in range(14))
+
+    def page(doc):
+        own = [f"d{doc}w{i}" for i in rng.permutation(600)]
+        return " ".join(" ".join(own[a:a + 20]) + " " + menu for a in range(0, 600, 20))
+
+    texts = [page(i) for i in range(3)]
+    fps = [S.fingerprint(t.encode(), S.WIDE) for t in texts]
+    assert all(np.bitwise_count(fps[a] ^ fps[b]).sum() > 120 for a in range(3) for b in range(a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert S.one_per_group(docs).count() == 3
+
+
 def brute_removed(rows, length, keep):
     raws = [(t or "").encode() for _, t in rows]
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
