@@ -108,6 +108,53 @@ def test_repeated_shingles_count_once(spark):
     assert S.one_per_group(docs).count() == 3
 
 
+def jaccard_pair(rng, name, n, similarity):
+    """Two texts of about n words whose five-word shingle sets have about this similarity."""
+    words = [f"{name}w{i}" for i in range(n)]
+    other, at = list(words), 0
+    # An exchanged word in the middle costs five shingles on either side.
+    lost = round((n - 4) * (1 - similarity) / (1 + similarity))
+    for at in range(lost // 5):
+        other[10 + 8 * at] = f"{name}x{at}"
+    return " ".join(words), " ".join(other)
+
+
+def brute_sets(texts, k=5):
+    out = []
+    for t in texts:
+        w = (t or "").lower().split()
+        out.append({" ".join(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return out
+
+
+def test_similarity_decides_on_shingle_sets(spark):
+    """Pairs from 0.70 to 0.90, a chain of them, a family of templates below 0.8, repeated passages."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for n, similarity in enumerate(np.repeat(np.arange(0.70, 0.905, 0.01), 4)):
+        texts += jaccard_pair(rng, f"p{n}", 300, similarity)
+    frame = [f"f{i}" for i in range(240)]
+    for d in range(25):  # every two share the frame alone
+        texts.append(" ".join([*frame, *(f"own{d}n{i}" for i in range(44))]))
+    menu = " ".join(f"m{i}" for i in range(14))
+    for d in range(4):
+        texts.append(" ".join(f"r{d}n{i} {menu}" if i % 20 == 0 else f"r{d}n{i}" for i in range(600)))
+    # Equal sets in another order, short texts, and none.
+    texts += ["a b c d e f", "A b c d e f", "a b c", "a b c d", "a b c", "", None, " \t"]
+    sets = brute_sets(texts)
+
+    def near(a, b):
+        return len(a & b) * 5 >= len(a | b) * 4
+
+    root = groups(sets, near)
+    want = sorted({r: i for i, r in reversed(list(enumerate(root)))}.values())
+    exact = [len(a & b) / len(a | b) for a, b in zip(sets[:168:2], sets[1:168:2], strict=True)]
+    assert min(exact) < 0.72 and max(exact) > 0.88 and sum(0.77 < x < 0.8 for x in exact) > 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for cell_rows in (2, 4096):
+        assert sorted(r.doc_id for r in S.one_per_group(docs, S.WIDE, cell_rows).collect()) == want
+
+
 def brute_removed(rows, length, keep):
     raws = [(t or "").encode() for _, t in rows]
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
