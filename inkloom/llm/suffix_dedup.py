@@ -1,4 +1,4 @@
-"""Removal of long repeated passages by suffix arrays and longest previous factors.
+"""Removal of long repeated passages by suffix arrays, with factors tested at a fixed length.
 
 A byte goes if it lies in a string of ``length`` bytes that starts a second time anywhere in the corpus
 (``keep="none"``), or started before, in the order of (doc_id, text hash, place) (``keep="first"``, which leaves the
@@ -16,7 +16,8 @@ How the corpus is cut for it, exactly:
    the representatives meet in a task, in the order of the corpus; prefix doubling sorts the suffixes at
    all starts by their first ``length`` bytes, equal ones by place. Then the previous smaller position of a
    suffix in suffix order is its neighbour, and the longest previous factor reaches ``length`` exactly if both
-   share that many bytes; the next smaller position tells the same about later ones.
+   share that many bytes; the next smaller position tells the same about later ones. Only that equality is
+   computed, not the array of factor lengths.
 4. A group beyond ``GROUP_BYTES`` is not sorted in one task: its starts are dealt by a 128-bit
    hash of their string and counted, which gives the same answer at any size.
 
