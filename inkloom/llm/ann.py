@@ -14,8 +14,9 @@ takes the best ``k`` from each, which a window then merges. No block is skipped.
 
 Vectors that are null, zero, of another length than most of the sample, or hold null or
 non-finite components take no part, neither do rows with a null vec_id. Of rows that share a
-vec_id the smallest vector counts. Fewer than ``k`` other vectors: all of them that the query meets (tables up to
-``BLOCK`` rows are searched whole). An empty table gives no rows; other columns are ignored.
+vec_id the smallest vector counts. A query that meets fewer than ``k`` others in its partitions is sent to
+all the other partitions too, so it gets ``k``, or all there are (tables under ``BLOCK`` rows are
+searched whole). An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.llm.common import map_rows
@@ -240,20 +241,23 @@ def search(
     filed = store(map_rows(
         rows, "vec_id bigint, v array<double>, part int, probes array<int>", start))
     # At most ``parts`` rows.
-    blocks = {p: -(-n // block) for p, n in filed.groupBy("part").count().collect()}
+    held = {p: n for p, n in filed.groupBy("part").count().collect()}
+    blocks = {p: -(-n // block) for p, n in held.items()}
     n_blocks = F.coalesce(*[F.when(F.col("part") == p, F.lit(n)) for p, n in blocks.items()]) \
         if blocks else F.lit(1)
     base = filed.select(
         "part", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int").alias("block"),
         F.lit(False).alias("asks"), "vec_id", "v")
-    asking = (
-        filed.filter(F.col("vec_id") % every == 0)
-        .select("vec_id", "v", F.explode("probes").alias("part"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        .select("part", "block", F.lit(True).alias("asks"), "vec_id", "v"))
+    asked = filed.filter(F.col("vec_id") % every == 0)
+
+    def asking(queries: DataFrame, to: Column) -> DataFrame:
+        return (
+            queries.select("vec_id", "v", F.explode(to).alias("part"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+            .select("part", "block", F.lit(True).alias("asks"), "vec_id", "v"))
 
     def run(batches):
-        unit, held, ids, x = None, [], None, None
+        unit, members, ids, x = None, [], None, None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("part", "block")])
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
@@ -264,14 +268,14 @@ def search(
                     continue
                 part = batch.slice(a, b - a)
                 if (key := tuple(keys[:, a])) != unit:
-                    unit, held, x = key, [], None
+                    unit, members, x = key, [], None
                 if not asks[a]:
-                    held.append(part)
+                    members.append(part)
                     continue
-                if not held:
+                if not members:
                     continue
                 if x is None:  # the unit's members are complete
-                    t = pa.Table.from_batches(held).combine_chunks()
+                    t = pa.Table.from_batches(members).combine_chunks()
                     ids, x = t.column("vec_id").to_numpy(), _matrix(t.column("v").chunk(0))
                 own, q = part.column("vec_id").to_numpy(), _matrix(part.column("v"))
                 for c in range(0, len(q), 64):
@@ -281,10 +285,22 @@ def search(
                         [pa.array(own[c + i]), pa.array(ids[j]), pa.array(s[i, j])],
                         names=["query_id", "vec_id", "score"])
 
-    found = (
-        base.unionByName(asking).repartition("part", "block")
-        .sortWithinPartitions("part", "block", "asks", "vec_id")
-        .mapInArrow(run, "query_id bigint, vec_id bigint, score double"))
+    def meet(queries: DataFrame) -> DataFrame:
+        return (
+            base.unionByName(queries).repartition("part", "block")
+            .sortWithinPartitions("part", "block", "asks", "vec_id")
+            .mapInArrow(run, "query_id bigint, vec_id bigint, score double"))
+
+    found = meet(asking(asked, F.col("probes")))
+    if router and router.probes < parts:
+        # Probed partitions may hold too few: those queries go to all the others as well.
+        found = store(found)
+        need = min(k, sum(held.values()) - 1)
+        full = found.groupBy("query_id").count().filter(F.col("count") >= need)
+        short = store(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"))
+        if short.limit(1).count():
+            rest = F.array_except(F.lit(list(held)), F.col("probes"))
+            found = found.unionByName(meet(asking(short, rest)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -180,3 +180,18 @@ def test_neighbours(spark):
     rows = ann.search(few, 2).collect()
     assert sorted((r.query_id, r.rank) for r in rows) == [(q, k) for q in (0, 2, 4) for k in (1, 2, 3, 4)]
     assert ann.search(frame.limit(0), 20).count() == 0
+
+
+def test_every_query_gets_its_neighbours(spark):
+    """Clusters smaller than k, found with few probes: the other partitions fill the list."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(16, 16)), 15, axis=0) + rng.normal(size=(240, 16)) / 100
+    frame = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.search(frame, 5, sample=240, parts=16, block=50, target=0.3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(got) == set(range(0, 240, 5))
+    for q, found in got.items():
+        assert sorted(r for r, _ in found) == list(range(1, 21))
+        assert len({v for _, v in found} - {q}) == 20
