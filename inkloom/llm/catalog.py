@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkloom.llm import (
-    ann, chat_format, license_scan, packing, piece_nbest, quality_rules, sharding, simhash,
-    suffix_dedup, toxicity,
+    ann, chat_format, fingerprints, hard_negatives, license_scan, packing, piece_nbest,
+    quality_rules, sharding, simhash, spelling, suffix_dedup, toxicity,
 )
 from inkloom.llm.common import table
 
@@ -33,8 +33,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": _over("documents", suffix_dedup.query),
         "op9_license_scan": _over("documents", license_scan.query),
         "op10_quality_rules": _over("documents", quality_rules.query),
+        "op11_spelling": _over("documents", spelling.query),
+        "op12_hard_negatives": _over("embeddings", hard_negatives.query),
+        "op13_fingerprints": _over("documents", fingerprints.query),
     }
 
 
 def sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules.SQL}
+    return {
+        "op10_quality_rules": quality_rules.SQL,
+        "op11_spelling": spelling.SQL,
+        "op12_hard_negatives": hard_negatives.SQL,
+    }
