@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions.colour import let
 from inkloom.functions.svg import svg_d_extract, svg_d_replace
+from inkloom.operators.jumps import kept_by_jumps
 from inkloom.plans.spread import checkpoint, int_div, number_rows, store, whole_groups
 
 # Fixed values.
@@ -313,42 +314,13 @@ def _fold_chunk(own: Column, carry: Column, n: Column) -> Column:
     return F.aggregate(own, start, step)
 
 
-def _fold_rings(points: DataFrame) -> DataFrame:
-    """The same rule along whole rings: one pass over the sorted rows, which keeps the last kept
-    vertex and nothing else, so a ring's length costs time but no memory."""
-    columns = ["seq", "x", "y", "nx", "ny", "n"]
-
-    def run(frames):
-        ring, at = None, None
-        for frame in frames:
-            keep = np.zeros(len(frame), bool)
-            rows = zip(zip(*(frame[k] for k in KEYS), strict=True),
-                       zip(*(frame[c].tolist() for c in columns), strict=True), strict=True)
-            for i, (key, (seq, x, y, nx, ny, n)) in enumerate(rows):
-                if key != ring or seq == 0 or seq == n - 1:
-                    ring, at, keep[i] = key, (x, y), True
-                    continue
-                ux, uy, wx, wy = x - at[0], y - at[1], nx - x, ny - y
-                n1, n2 = (ux * ux + uy * uy) ** 0.5, (wx * wx + wy * wy) ** 0.5
-                if n1 >= 1e-9 and n2 >= 1e-9 and (ux * wx + uy * wy) / (n1 * n2) < COLLINEAR_COS:
-                    at, keep[i] = (x, y), True
-            yield frame.loc[keep, [*KEYS, "seq", "x", "y"]]
-
-    kinds = dict(points.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*KEYS, "seq", "x", "y"])
-    return (
-        points.select(*KEYS, *columns).repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
-        .mapInPandas(run, schema))
-
-
 def collapse_collinear(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Drop vertices that continue the direction from the last kept vertex.
 
     Whether a vertex stays depends on the last one kept before it. Each chunk of a ring is first
     folded as if the vertex before the chunk had been kept, then once more from the last vertex that any
     earlier chunk kept, which also sees past chunks that keep nothing. Rings on which the chunks
-    still disagree (long smooth arcs) are folded in one pass along the ring. That makes two rounds at any
-    length.
+    still disagree (long smooth arcs) are done by composing maps of chunks, see ``jumps``.
     """
     sized = points if "n" in points.columns else attach_ring_facts(
         points, points.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")))
@@ -391,7 +363,7 @@ def collapse_collinear(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     if wrong.isEmpty():
         return kept
     rest = state.join(wrong, KEYS, "left_semi").select(*KEYS, "n", F.inline("own"))
-    return kept.unionByName(_fold_rings(rest))
+    return kept.unionByName(kept_by_jumps(rest, COLLINEAR_COS))
 
 
 def simplify_ring(
