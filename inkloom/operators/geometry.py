@@ -28,7 +28,7 @@ SAME_POINT = 1e-6
 KEYS = ["path_id", "ring"]
 BLOCK = 4096
 CHUNK = 1024
-FOLD_RUN = 512
+TOKENS = 512
 SMALL_SEGMENT = 1 << 17
 
 
@@ -497,51 +497,111 @@ def _by_letter(letter: Column, values: dict, default) -> Column:
 
 
 def _path_steps(paths: DataFrame, key: list[str]) -> DataFrame:
-    """One row per complete drawing step before the first malformed place of its path."""
-    order = Window.partitionBy(*key).orderBy("pos")
-    whole = Window.partitionBy(*key)
-    tokens = paths.select(*key, F.posexplode(F.regexp_extract_all(
-        F.replace("d", F.lit(","), F.lit(" ")), F.lit(TOKEN), F.lit(1))).alias("pos", "tok"))
+    """One row per complete drawing step before the first malformed place of its path, with the
+    token block ``blk`` in which it begins.
+
+    Tokens are looked at in blocks; what a block needs from outside is the last command before it,
+    the first token behind it, and the first malformed place of the path, all from one row per block.
+    """
     is_cmd = F.col("tok").rlike("^[A-Za-z]$")
     tokens = (
-        tokens.withColumn("is_cmd", is_cmd)
-        .withColumn("cmd_pos", F.coalesce(F.max(F.when(is_cmd, F.col("pos"))).over(order), F.lit(-1)))
-        .withColumn("raw", F.coalesce(
-            F.last(F.when(is_cmd, F.col("tok")), ignorenulls=True).over(order), F.lit("M")))
-        .withColumn("next_cmd", F.coalesce(F.lead("is_cmd").over(order), F.lit(True)))
+        paths.select(*key, F.posexplode(F.regexp_extract_all(
+            F.replace("d", F.lit(","), F.lit(" ")), F.lit(TOKEN), F.lit(1))).alias("pos", "tok"))
+        .select(*key, _block("pos", TOKENS).alias("blk"), "pos", "tok", is_cmd.alias("is_cmd"))
+        .repartition(*key, "blk")
     )
+    command = F.when(F.col("is_cmd"), F.struct("pos", "tok"))
+    along = Window.partitionBy(*key).orderBy("blk")
+    outside = tokens.groupBy(*key, "blk").agg(
+        F.max(command).alias("last"), F.min_by("is_cmd", "pos").alias("first"),
+    ).select(
+        *key, "blk", F.lead("first").over(along).alias("behind"),
+        F.last("last", ignorenulls=True).over(
+            along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    within = Window.partitionBy(*key, "blk").orderBy("pos")
     letter = F.lower("raw")
     arity = _by_letter(letter, ARITY, 1)
     k = F.col("pos") - F.col("cmd_pos") - 1
     bare = F.col("is_cmd") & (letter != "z") & F.col("next_cmd")
     wrong = (letter == "t") | bare | (~F.col("is_cmd") & (letter == "z"))
-    tokens = (
-        tokens.withColumn("stop", F.min(F.when(wrong, F.col("pos"))).over(whole))
-        .filter(~F.col("is_cmd") | (letter == "z"))
+    steps = (
+        tokens.join(outside, [*key, "blk"])
+        .withColumn("cmd", F.coalesce(F.max(command).over(within), "before"))
+        .withColumn("next_cmd", F.coalesce(F.lead("is_cmd").over(within), "behind", F.lit(True)))
+        .withColumn("cmd_pos", F.coalesce("cmd.pos", F.lit(-1)))
+        .withColumn("raw", F.coalesce("cmd.tok", F.lit("M")))
+        .withColumn("bad", F.when(wrong, F.col("pos")))
+        .filter(~F.col("is_cmd") | (letter == "z") | F.col("bad").isNotNull())
         .withColumn("group", F.when(F.col("is_cmd"), -1).otherwise(int_div(k, arity)))
         .withColumn("arg", F.when(F.col("is_cmd"), 0).otherwise(k % arity))
         .withColumn("num", F.when(~F.col("is_cmd"), F.expr("try_cast(tok AS DOUBLE)")))
+        .groupBy(*key, "cmd_pos", "group", "raw").agg(
+            F.min("pos").alias("pos"), F.min("bad").alias("bad"), F.count("num").alias("cnt"),
+            *(F.max(F.when(F.col("arg") == j, F.col("num"))).alias(f"a{j}") for j in range(7)))
+        .withColumn("bad", F.when((F.col("group") >= 0) & (F.col("cnt") < arity), F.col("pos"))
+                    .otherwise(F.col("bad")))
+        .withColumn("blk", _block("pos", TOKENS)).repartition(*key, "blk")
     )
-    steps = tokens.groupBy(*key, "cmd_pos", "group", "raw", "stop").agg(
-        F.min("pos").alias("pos"), F.count("num").alias("cnt"),
-        *(F.max(F.when(F.col("arg") == j, F.col("num"))).alias(f"a{j}") for j in range(7)),
-    )
-    short = (F.col("group") >= 0) & (F.col("cnt") < arity)
-    stop = F.least("stop", F.min(F.when(short, F.col("pos"))).over(whole))
+    stops = steps.groupBy(*key, "blk").agg(F.min("bad").alias("bad")).select(
+        *key, "blk", F.min("bad").over(Window.partitionBy(*key)).alias("stop"))
     cmd = F.when((letter == "m") & (F.col("group") > 0), "l").otherwise(letter)
     return (
-        steps.withColumn("_stop", stop)
-        .filter(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
-        .select(*key, "pos", cmd.alias("cmd"),
+        steps.drop("bad").join(stops, [*key, "blk"])
+        .filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
+        .select(*key, "blk", "pos", cmd.alias("cmd"),
                 (F.col("raw") == F.lower("raw")).alias("rel"), *(f"a{j}" for j in range(7)))
     )
 
 
+#: What a moved point hangs on: nothing, the point at the block's entry, or the subpath's start there.
+FIXED, POINT, START = 0, 1, 2
+
+
+def _then(first: Column, second: Column) -> Column:
+    """One axis of a map of (point, start), each ``base`` and ``shift``, after another."""
+    def part(name: str) -> Column:
+        s = second[name]
+        of = F.when(s["base"] == POINT, first["point"]).when(s["base"] == START, first["start"]).otherwise(
+            F.struct(F.lit(FIXED).alias("base"), F.lit(0.0).alias("shift")))
+        return F.struct(of["base"].alias("base"), (of["shift"] + s["shift"]).alias("shift")).alias(name)
+
+    return F.struct(part("point"), part("start"))
+
+
+def _entries(blocks: DataFrame, key: list[str]) -> DataFrame:
+    """State at the entry of each block: point, subpath start and ring number.
+
+    ``blocks`` has one map per block (``mx``, ``my``, number of begun and closed ``rings``). Maps compose,
+    so those of all earlier blocks are joined by doubling, in the logarithm of the blocks' number.
+    """
+    along = Window.partitionBy(*key).orderBy("blk")
+    blocks = store(blocks.withColumn("at", F.row_number().over(along)))
+    most, reach = blocks.agg(F.max("at")).first()[0] or 0, 1
+    upto = blocks.select(*key, "at", "mx", "my", "rings")
+    while reach < most:
+        before = upto.select(*key, (F.col("at") + reach).alias("at"),
+                             *(F.col(c).alias(f"_{c}") for c in ("mx", "my", "rings")))
+        upto = store(upto.join(before, [*key, "at"], "left").select(
+            *key, "at",
+            *(F.when(F.col("_rings").isNull(), F.col(m)).otherwise(_then(F.col(f"_{m}"), F.col(m))).alias(m)
+              for m in ("mx", "my")),
+            (F.col("rings") + F.coalesce("_rings", F.lit(0))).alias("rings")))
+        reach *= 2
+    # A path begins at (0, 0), so the shifts are the state itself.
+    before = upto.select(
+        *key, (F.col("at") + 1).alias("at"), F.col("rings").alias("ring0"),
+        *(F.col(f"m{c}")[part]["shift"].alias(f"{part}_{c}") for c in "xy" for part in ("point", "start")))
+    names = ["ring0", *(f"{part}_{c}" for c in "xy" for part in ("point", "start"))]
+    return blocks.select(*key, "blk", "at").join(before, [*key, "at"], "left").select(
+        *key, "blk", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
+
+
 def _positions(steps: DataFrame, key: list[str]) -> DataFrame:
     """Start ``px, py`` and end ``x, y`` of each step, and the ring it draws.
 
-    A running fold over the steps of one path, which all come from one document cell. The
-    steps are folded in runs of FOLD_RUN, so that growing the result stays cheap.
+    A segmented prefix scan: within a block every step is a map of the point at the entry and of the
+    subpath's start there (a constant, a shift, or back to the start); a fold composes them step by
+    step. The entry states come from the blocks' own maps.
     """
     axis = {"x": ({"m": "a0", "l": "a0", "h": "a0", "c": "a4", "s": "a2", "q": "a2", "a": "a5"}),
             "y": ({"m": "a1", "l": "a1", "v": "a0", "c": "a5", "s": "a3", "q": "a3", "a": "a6"})}
@@ -549,9 +609,11 @@ def _positions(steps: DataFrame, key: list[str]) -> DataFrame:
     step = F.struct("pos", "cmd", "rel", *args, *(
         _by_letter(F.col("cmd"), {k: F.col(v) for k, v in axis[c].items()}, None).alias(f"e{c}")
         for c in "xy"))
-    listed = steps.groupBy(*key).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    placed = "array<struct<pos:int,px:double,py:double,x:double,y:double,ring:int>>"
-    zero, none = F.lit(0.0), F.array().cast(placed)
+    spot = "struct<base:int,shift:double>"
+    placed = f"array<struct<px:{spot},py:{spot},x:{spot},y:{spot},ring:int>>"
+
+    def at(base: Column, shift: Column) -> Column:
+        return F.struct(base.cast("int").alias("base"), shift.alias("shift"))
 
     def state(x, y, sx, sy, ring, out) -> Column:
         return F.struct(x.alias("x"), y.alias("y"), sx.alias("sx"), sy.alias("sy"),
@@ -560,41 +622,49 @@ def _positions(steps: DataFrame, key: list[str]) -> DataFrame:
     def move(acc: Column, e: Column, c: str) -> Column:
         to = e[f"e{c}"]
         return F.when(e["cmd"] == "z", acc[f"s{c}"]).when(to.isNull(), acc[c]).when(
-            e["rel"], acc[c] + to).otherwise(to)
+            e["rel"], at(acc[c]["base"], acc[c]["shift"] + to)).otherwise(at(F.lit(FIXED), to))
 
     def advance(acc: Column, e: Column) -> Column:
-        x, y = move(acc, e, "x"), move(acc, e, "y")
         start, close = e["cmd"] == "m", e["cmd"] == "z"
+        x, y = move(acc, e, "x"), move(acc, e, "y")
         ring = acc["ring"] + start.cast("int")
-        here = F.struct(e["pos"].alias("pos"), acc["x"].alias("px"), acc["y"].alias("py"),
-                        x.alias("x"), y.alias("y"), ring.alias("ring"))
+        here = F.struct(acc["x"].alias("px"), acc["y"].alias("py"), x.alias("x"), y.alias("y"),
+                        ring.alias("ring"))
         return state(x, y, F.when(start, x).otherwise(acc["sx"]),
                      F.when(start, y).otherwise(acc["sy"]), ring + close.cast("int"),
                      F.concat(acc["out"], F.array(here)))
 
-    def run(acc: Column, part: Column) -> Column:
-        begin = state(acc["x"], acc["y"], acc["sx"], acc["sy"], acc["ring"], none)
-        return let(F.aggregate(part, begin, advance), lambda end: state(
-            end["x"], end["y"], end["sx"], end["sy"], end["ring"],
-            F.concat(acc["out"], F.array(end["out"]))))
+    zero = F.lit(0.0)
+    point, begin = at(F.lit(POINT), zero), at(F.lit(START), zero)
+    entry = state(point, point, begin, begin, F.lit(0), F.array().cast(placed))
+    folded = store(
+        steps.groupBy(*key, "blk").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+        .withColumn("end", F.aggregate("steps", entry, advance)))
+    end = F.col("end")
+    entries = _entries(folded.select(
+        *key, "blk", end["ring"].cast("bigint").alias("rings"),
+        *(F.struct(end[c].alias("point"), end[f"s{c}"].alias("start")).alias(f"m{c}") for c in "xy")), key)
+
+    def value(name: str, c: str) -> Column:
+        v = F.col(f"z.at.{name}")
+        base = F.when(v["base"] == POINT, F.col(f"point_{c}")).when(
+            v["base"] == START, F.col(f"start_{c}")).otherwise(F.lit(0.0))
+        return (base + v["shift"]).alias(name)
 
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("steps"), F.lit(FOLD_RUN)),
-        lambda i: F.slice("steps", i, F.lit(FOLD_RUN)))
-    begin = state(zero, zero, zero, zero, F.lit(0), F.array().cast(f"array<{placed}>"))
     return (
-        listed.withColumn("at", F.flatten(F.aggregate(runs, begin, run)["out"]))
-        .select(*key, F.explode(F.arrays_zip("steps", "at")).alias("z"))
-        .select(*key, *(F.col(f"z.steps.{c}").alias(c) for c in ("pos", "cmd", "rel", *args)),
-                *(F.col(f"z.at.{c}").alias(c) for c in ("px", "py", "x", "y", "ring")))
+        folded.join(entries, [*key, "blk"])
+        .withColumn("z", F.explode(F.arrays_zip("steps", F.col("end.out").alias("at"))))
+        .select(*key, "blk", *(F.col(f"z.steps.{c}").alias(c) for c in ("pos", "cmd", "rel", *args)),
+                *(value(f"{p}{c}", c) for c in "xy" for p in ("p", "")),
+                (F.col("ring0") + F.col("z.at.ring")).alias("ring"))
     )
 
 
 def path_vertices(docs: DataFrame, doc_id: str = "path_id", column: str = "svg") -> DataFrame:
     """SVG documents to vertices: ``doc_id, path_no, ring, seq, x, y``.
 
-    Curves are sampled (six points per cubic, five per quadratic), an arc is its end point.
-    A path's steps all come from one document cell, which bounds every window here.
+    Curves are sampled (six points per cubic, five per quadratic), an arc is its end point. The text of a
+    path is one cell, read by one task; its tokens, steps and vertices are handled in blocks.
     """
     key = [doc_id, "path_no"]
     paths = docs.select(doc_id, F.posexplode(svg_d_extract(F.col(column))).alias("path_no", "d"))
@@ -620,21 +690,26 @@ def path_vertices(docs: DataFrame, doc_id: str = "path_id", column: str = "svg")
             toward(p3, control(i, axis)))
         curve = u * u * u * p0 + 3 * u * u * t * c1 + 3 * u * t * t * c2 + t * t * t * p3
         points[axis] = F.when(cmd == "z", None).when(F.col("n") == 1, p3).otherwise(curve)
-    ring = Window.partitionBy(*key, "ring")
-    along = ring.orderBy("pos", "k")
-    drawn = sampled.select(*key, "ring", "pos", "k", cmd,
-                           points["x"].alias("x"), points["y"].alias("y"))
-    drawn = drawn.select(
-        *key, "ring", "pos", "k", "cmd", "x", "y",
-        *(F.first(c, ignorenulls=True).over(along).alias(f"f{c}") for c in "xy"),
-        *(F.lag(c).over(along).alias(f"l{c}") for c in "xy"))
-    reopened = F.coalesce((F.col("fx") != F.col("lx")) | (F.col("fy") != F.col("ly")), F.lit(False))
-    drawn = drawn.filter((cmd != "z") | reopened).select(
-        *key, "ring", "pos", "k",
-        *(F.when(cmd == "z", F.col(f"f{c}")).otherwise(F.col(c)).alias(c) for c in "xy"))
+    drawn = store(sampled.select(
+        *key, "ring", "blk", "pos", "k", "cmd", points["x"].alias("x"), points["y"].alias("y")))
+    p = F.when(cmd != "z", F.struct("x", "y"))
+    order = F.struct("pos", "k")
+    # A ring's closing command is its last step: it leads back unless the ring ends where it began.
+    rings = drawn.groupBy(*key, "ring").agg(
+        F.min_by(p, F.when(cmd != "z", order)).alias("a"), F.max_by(p, F.when(cmd != "z", order)).alias("b"),
+        F.count(p).alias("n"), F.max(F.when(cmd == "z", F.struct("pos", "k", "blk"))).alias("z"),
+        F.min("blk").alias("b0"), F.max("blk").alias("b1"))
+    back = F.coalesce(F.col("z").isNotNull() & (
+        (F.col("a.x") != F.col("b.x")) | (F.col("a.y") != F.col("b.y"))), F.lit(False))
+    rings = rings.withColumn("back", back).filter(F.col("n") + F.col("back").cast("int") >= 2)
+    rings = number_rows(rings.withColumn("_blk", _block("ring")), key, "_blk", ["ring"]).drop("_blk")
+    facts = rings.withColumn("blk", F.explode(F.sequence("b0", "b1"))).select(
+        *key, "ring", "blk", F.col("i").alias("no"))
+    rows = drawn.filter(cmd != "z").join(facts, [*key, "ring", "blk"]).select(
+        *key, F.col("no").alias("ring"), "blk", "pos", "k", "x", "y")
+    closing = rings.filter("back").select(
+        *key, F.col("i").alias("ring"), "z.blk", "z.pos", "z.k", F.col("a.x").alias("x"), F.col("a.y").alias("y"))
     return (
-        drawn.withColumn("seq", F.row_number().over(along) - 1)
-        .withColumn("len", F.count(F.lit(1)).over(ring)).filter(F.col("len") >= 2)
-        .withColumn("ring", F.dense_rank().over(Window.partitionBy(*key).orderBy("ring")) - 1)
-        .select(*key, "ring", "seq", "x", "y")
+        number_rows(rows.unionByName(closing), [*key, "ring"], "blk", ["pos", "k"])
+        .select(*key, F.col("ring").cast("int"), F.col("i").cast("int").alias("seq"), "x", "y")
     )

@@ -155,7 +155,9 @@ def bezier(p0, p1, p2, p3, n=6):
     return pts
 
 
-def test_path_commands(spark):
+@pytest.mark.parametrize("tokens", [512, 3])
+def test_path_commands(spark, monkeypatch, tokens):
+    monkeypatch.setattr(G, "TOKENS", tokens)
     got = rings_of(G.path_vertices(docs(
         spark,
         "M 0 0 10,0 l 0 5 H 2 v -1 h -1 V 0 Z m 3 3 l 1 1 z",         # lines, restart after close
@@ -186,8 +188,61 @@ def test_path_commands(spark):
     assert got[9] == [[(5, 5), (6, 5)]]
 
 
-def test_long_path_spans_fold_runs(spark):
-    n = 3 * G.FOLD_RUN + 5
+def walked(rng, n):
+    """A random path's text with the rings that it draws."""
+    text, rings, ring, x, y, sx, sy = [], [], [], 0.0, 0.0, 0.0, 0.0
+    for i in range(n):
+        c = "M" if i == 0 else rng.choice("MmLlHhVvZzCcQqSsAa" + "Ll" * 12)
+        rel, low = c.islower(), c.lower()
+        if low == "z":
+            text.append(c)
+            if ring and ring[0] != ring[-1]:
+                ring.append(ring[0])
+            rings.append(ring)
+            ring, x, y = [], sx, sy
+            continue
+        count = {"m": 1, "c": 3, "s": 2, "q": 2, "a": 1}.get(low, 1)
+        v = [(rng.randint(-40, 40) / 4, rng.randint(-40, 40) / 4) for _ in range(count)]
+        off = (x, y) if rel else (0.0, 0.0)
+        to = [(a + off[0], b + off[1]) for a, b in v]
+        if low == "h":
+            text.append(f"{c}{v[0][0]}")
+            end = to[0][0], y
+        elif low == "v":
+            text.append(f"{c} {v[0][1]}")
+            end = x, to[0][1]
+        else:
+            text.append(c + ("3 3 0 0 1 " if low == "a" else "") + " ".join(f"{a},{b}" for a, b in v))
+            end = to[-1]
+        if low == "m":
+            rings.append(ring)
+            ring, (sx, sy) = [], end
+        here = x, y
+        if low in "csq":
+            if low == "q":
+                mid = [tuple(p + 2 / 3 * (q - p) for p, q in zip(e, to[0])) for e in (here, end)]
+            else:
+                mid = to[:2] if low == "c" else [here, to[0]]
+            ring += bezier(here, mid[0], mid[1], end, 5 if low == "q" else 6)
+        else:
+            ring.append(end)
+        x, y = end
+    return " ".join(text), [r for r in [*rings, ring] if len(r) >= 2]
+
+
+@pytest.mark.parametrize("tokens", [512, 8, 1])
+def test_random_paths_in_blocks(spark, monkeypatch, tokens):
+    monkeypatch.setattr(G, "TOKENS", tokens)
+    rng = random.Random(12)
+    made = [walked(rng, n) for n in (1, 2, 5, 40, 90, 150)]
+    got = rings_of(G.path_vertices(docs(spark, *(t for t, _ in made))))
+    for i, (_, rings) in enumerate(made):
+        assert [[(round(x, 4), round(y, 4)) for x, y in r] for r in got.get(i, [])] == [
+            [(round(x, 4), round(y, 4)) for x, y in r] for r in rings]
+
+
+def test_long_path_spans_blocks(spark):
+    n = 9 * G.TOKENS + 5
     got = rings_of(G.path_vertices(docs(spark, "m 0 0" + " l 1 2" * n)))
     assert got[0] == [[(k, 2 * k) for k in range(n + 1)]]
 
