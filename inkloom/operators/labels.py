@@ -72,14 +72,16 @@ def _palette_colour(slot: Column) -> Rgb:
 
 
 def assign_nearest(
-    pixels: DataFrame, palettes: DataFrame, strip_pixels: int = STRIP_PIXELS
+    pixels: DataFrame, palettes: DataFrame, strip_pixels: int = STRIP_PIXELS, keep_alpha: bool = False
 ) -> DataFrame:
-    """Label raster: ``image_id, x, y, w, h, slot`` and the colour of the slot. No snapping."""
+    """Label raster: ``image_id, x, y, w, h, slot`` and the colour of the slot, with ``keep_alpha``
+    also the source's alpha ``a``. No snapping."""
     labelled = label_with(attach_palettes(pixels, palettes, strip_pixels), "slot", P.px())
     colour = _palette_colour(F.col("slot"))
     return labelled.select(
         "image_id", "x", "y", "w", "h", "slot",
         *(v.cast("bigint").alias(n) for n, v in zip("rgb", colour)),
+        *([F.col("a").cast("bigint").alias("a")] if keep_alpha else []),
     )
 
 

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from inkloom.functions.colour import Rgb
 from inkloom.operators import palette as P
 from inkloom.plans.spread import (
-    STRIP_PIXELS, attach_image_facts, checkpoint, strip_of, whole_groups, with_halo,
+    STRIP_PIXELS, checkpoint, strip_of, whole_groups, with_halo,
 )
 
 WHITE_MIN = 250
 WHITE_CODE = 0xFFFFFF
 OPENING_HALO = 4
+# Fixed value: a region's ring begins at this share of its radius.
+RING_FROM = 0.88
 
 
 def colour_code(c: Rgb) -> Column:
@@ -212,6 +214,37 @@ def _disk_area(cx: Column, cy: Column, r: Column, w: Column, h: Column) -> Colum
                        lambda acc, y: acc + in_row(y))
 
 
+def _disk_row(cx: Column, r: Column, dy2: Column) -> tuple[Column, Column]:
+    """First and last column within ``r`` of the centre in a row at squared distance ``dy2``, which
+    is at most r^2. The root's rounding is mended by the test itself."""
+    half = F.sqrt(F.greatest(r * r - dy2, F.lit(0.0)))
+
+    def inside(x: Column) -> Column:
+        return (x - cx) * (x - cx) + dy2 <= r * r
+
+    def end(x: Column, out: int) -> Column:
+        return F.when(inside(x + out), x + out).when(inside(x), x).otherwise(x - out)
+
+    return end(F.ceil(cx - half), -1), end(F.floor(cx + half), 1)
+
+
+def ring_stretch() -> Column:
+    """Columns of a run that may lie in its region's ring: the run clipped against the circle inside
+    the ring (edge included), so that nothing else is expanded."""
+    inner = F.col("radius") * RING_FROM
+    dy2 = (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
+    i0, i1 = _disk_row(F.col("cx"), inner, dy2)
+    crossed = dy2 < inner * inner
+    x0, x1 = F.col("x0"), F.col("x1")
+    none = F.array().cast("array<bigint>")
+
+    def stretch(a: Column, b: Column) -> Column:
+        return F.when(a <= b, F.sequence(a, b)).otherwise(none)
+
+    return F.when(crossed & (i0 < i1), F.concat(
+        stretch(x0, F.least(x1, i0)), stretch(F.greatest(x0, i1), x1))).otherwise(stretch(x0, x1))
+
+
 def region_stats(
     regions: DataFrame, *, min_area_frac: float = 0.06, max_aspect: float = 1.22,
     min_radius: float = 16, min_ring: int = 40, max_radius_cv: float = 0.09,
@@ -219,8 +252,8 @@ def region_stats(
 ) -> DataFrame:
     """Area, box, ring spread and disk fill per region, and the verdict ``is_disk``.
 
-    Ring statistics need the pixels; they are computed only where area, aspect and radius
-    already allow a disk, and are null elsewhere.
+    Ring statistics need pixels, those of the ring only; they are computed where area, aspect and
+    radius already allow a disk, and are null elsewhere.
     """
     bw, bh = F.col("bx1") - F.col("bx0") + 1, F.col("by1") - F.col("by0") + 1
     boxes = (
@@ -243,11 +276,11 @@ def region_stats(
     centres = boxes.filter("candidate").select(
         *key, "cx", "cy", "radius", F.explode(F.sequence("_s0", "_s1")).alias("strip"))
     pixels = regions.join(centres, [*key, "strip"]).select(
-        *key, "y", "cx", "cy", "radius", F.explode(F.sequence("x0", "x1")).alias("x"))
+        *key, "y", "cx", "cy", "radius", F.explode(ring_stretch()).alias("x"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     rings = (
         pixels.withColumn("d", F.sqrt(dx * dx + dy * dy))
-        .filter(F.col("d") >= F.col("radius") * 0.88)
+        .filter(F.col("d") >= F.col("radius") * RING_FROM)
         .groupBy(*key)
         .agg(F.count(F.lit(1)).alias("ring_px"),
              (F.stddev_pop("d") / (F.avg("d") + 1e-6)).alias("ring_cv"))
@@ -266,38 +299,82 @@ def region_stats(
     )
 
 
-def snap_disks(
-    labels: DataFrame, stats: DataFrame, strip_pixels: int = STRIP_PIXELS
-) -> DataFrame:
-    """Replace regions judged to be disks by true disks in the label raster.
+def disk_bands(stats: DataFrame) -> DataFrame:
+    """``image_id, y, bands``: for each row that a disk reaches, the disks' intervals there in the order
+    in which they act: ``x0..x1`` is painted, ``u0..u1`` is cleared of the own colour. Rows that are
+    cleared only have x0 > x1. An image has at most ``1 / min_area_frac`` disks."""
+    reach = F.col("radius") * 1.05
+    rows = stats.filter("is_disk").select(
+        "image_id", "c", "region", "cx", "cy", "radius", reach.alias("reach"), F.explode(F.sequence(
+            F.greatest(F.ceil(F.col("cy") - reach), F.lit(0).cast("bigint")),
+            F.least(F.floor(F.col("cy") + reach), F.col("h") - 1))).alias("y"))
+    dy2 = (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
+    x0, x1 = _disk_row(F.col("cx"), F.col("radius"), dy2)
+    u0, u1 = _disk_row(F.col("cx"), F.col("reach"), dy2)
+    painted = dy2 <= F.col("radius") * F.col("radius")
+    none = F.lit(None).cast("bigint")
+    band = F.struct("c", "region", F.when(painted, x0).otherwise(none).alias("x0"),
+                    F.when(painted, x1).otherwise(none).alias("x1"), u0.alias("u0"), u1.alias("u1"))
+    return rows.filter(dy2 <= F.col("reach") * F.col("reach")).groupBy("image_id", "y").agg(
+        F.array_sort(F.collect_list(band)).alias("bands"))
+
+
+def label_runs(labels: DataFrame, extra: list[str]) -> DataFrame:
+    """Runs of a whole label raster: ``image_id, y, x0, x1, w, h, c`` and the columns ``extra``."""
+    line = Window.partitionBy("image_id", "y").orderBy("x")
+    same = (F.lag("x").over(line) == F.col("x") - 1)
+    for k in ("c", *extra):
+        same = same & F.lag(k).over(line).eqNullSafe(F.col(k))
+    coded = labels.select(
+        "image_id", *(F.col(k).cast("bigint").alias(k) for k in ("x", "y", "w", "h")),
+        colour_code(P.px()).alias("c"), *extra)
+    return (
+        coded.withColumn("_starts", ~F.coalesce(same, F.lit(False)))
+        .withColumn("x0", F.max(F.when(F.col("_starts"), F.col("x"))).over(line))
+        .groupBy("image_id", "y", "x0", "w", "h", "c", *extra).agg(F.max("x").alias("x1"))
+    )
 
-    Disks act in order of colour, then of position: the region's own colour within 1.05 radii
-    is cleared to white, the disk is painted, and pixels that were white stay white. An image
-    has at most ``1 / min_area_frac`` disks, which travel to its pixels as one array.
-    """
-    disk = F.struct("c", "region", "cx", "cy", "radius")
-    disks = stats.filter("is_disk").groupBy("image_id").agg(
-        F.max("w").alias("w"), F.max("h").alias("h"),
-        F.array_sort(F.collect_list(disk)).alias("disks"))
-    base = labels.select("image_id", "x", "y", "w", "h",
-                         colour_code(P.px()).alias("c"),
-                         (F.least(*P.px()) >= WHITE_MIN).alias("white"))
-    placed = attach_image_facts(base, disks, strip_pixels, how="left")
-
-    def paint(now: Column, k: Column) -> Column:
-        dx, dy = F.col("x") - k["cx"], F.col("y") - k["cy"]
-        d2, r = dx * dx + dy * dy, k["radius"]
-        reach = r * 1.05
-        return (
-            F.when((d2 <= r * r) & F.col("white"), F.lit(WHITE_CODE).cast("bigint"))
-            .when(d2 <= r * r, k["c"])
-            .when((d2 <= reach * reach) & (F.col("c") == k["c"]), F.lit(WHITE_CODE).cast("bigint"))
-            .otherwise(now)
-        )
 
-    painted = F.when(F.col("disks").isNull(), F.col("c")).otherwise(
-        F.aggregate("disks", F.col("c"), paint))
-    out = placed.select("image_id", "x", "y", "w", "h", painted.alias("o"))
-    return out.select(
-        "image_id", "x", "y", "w", "h", F.shiftright("o", 16).alias("r"),
-        F.shiftright("o", 8).bitwiseAND(255).alias("g"), F.col("o").bitwiseAND(255).alias("b"))
+def snapped_runs(labels: DataFrame, stats: DataFrame) -> DataFrame:
+    """Runs of the label raster with regions judged to be disks replaced by true disks.
+
+    Disks act in order of colour, then of position: the region's own colour within 1.05 radii is
+    cleared to white, the disk is painted, and what was white stays white. All three are
+    differences of intervals: a run is cut where an interval of its row begins or ends, and every
+    piece takes the colour that the last interval over it gives. Alpha (a column ``a``, if there is one) is
+    that of the source.
+    """
+    extra = ["a"] if "a" in labels.columns else []
+    runs = label_runs(labels, extra).join(disk_bands(stats), ["image_id", "y"], "left")
+    white_code = F.lit(WHITE_CODE).cast("bigint")
+    white = F.least(F.shiftright("c", 16), F.shiftright("c", 8).bitwiseAND(255),
+                    F.col("c").bitwiseAND(255)) >= WHITE_MIN
+
+    def colour(x: Column) -> Column:
+        def act(now: Column, k: Column) -> Column:
+            painted = F.coalesce((k["x0"] <= x) & (x <= k["x1"]), F.lit(False))
+            cleared = (k["u0"] <= x) & (x <= k["u1"]) & (F.col("c") == k["c"])
+            return F.when(painted & white, white_code).when(painted, k["c"]).when(
+                cleared, white_code).otherwise(now)
+
+        return F.aggregate("bands", F.col("c"), act)
+
+    ends = F.flatten(F.transform("bands", lambda k: F.array(
+        k["x0"], k["x1"] + 1, k["u0"], k["u1"] + 1)))
+    cuts = F.array_sort(F.array_distinct(F.concat(
+        F.array("x0"), F.filter(ends, lambda x: (x > F.col("x0")) & (x <= F.col("x1"))))))
+    pieces = F.transform("cuts", lambda x, i: F.struct(
+        x.alias("x0"), F.coalesce(F.get("cuts", i + 1) - 1, F.col("x1")).alias("x1"), colour(x).alias("c")))
+    whole = F.array(F.struct("x0", "x1", "c"))
+    return runs.withColumn("cuts", cuts).withColumn(
+        "piece", F.explode(F.when(F.col("bands").isNull(), whole).otherwise(pieces))).select(
+        "image_id", "y", "w", "h", *extra, "piece.x0", "piece.x1", "piece.c")
+
+
+def snap_disks(labels: DataFrame, stats: DataFrame) -> DataFrame:
+    """The label raster with disks snapped, pixel by pixel; see ``snapped_runs``."""
+    extra = ["a"] if "a" in labels.columns else []
+    pixels = snapped_runs(labels, stats).withColumn("x", F.explode(F.sequence("x0", "x1")))
+    return pixels.select(
+        "image_id", "x", "y", "w", "h", F.shiftright("c", 16).alias("r"),
+        F.shiftright("c", 8).bitwiseAND(255).alias("g"), F.col("c").bitwiseAND(255).alias("b"), *extra)

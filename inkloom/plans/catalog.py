@@ -267,8 +267,9 @@ def _regions(spark: SparkSession, sf: str) -> DataFrame:
     return R.connected_components(R.binary_opening(_mask(spark, sf)))
 
 
-def _snapped(spark: SparkSession, sf: str) -> DataFrame:
-    labels = store(_labels(spark, sf))
+def _snapped(spark: SparkSession, sf: str, keep_alpha: bool = False) -> DataFrame:
+    px = _stored(spark, sf)
+    labels = store(L.assign_nearest(px, derived.band_palettes(px), keep_alpha=keep_alpha))
     regions = R.connected_components(R.binary_opening(R.with_ink_code(labels)))
     return R.snap_disks(labels, R.region_stats(regions, **SMALL_DISKS))
 
@@ -283,6 +284,8 @@ def region_queries() -> dict:
             six("aspect").alias("aspect"), six("radius").alias("radius"), "ring_px",
             six("ring_cv").alias("ring_cv"), six("fill").alias("fill"), "is_disk"),
         "R2_snap_disks": lambda s, d: _snapped(s, d).select(*at(), "r", "g", "b"),
+        "R2_snap_disks_alpha": lambda s, d: _snapped(s, d, keep_alpha=True).select(
+            *at(), "r", "g", "b", "a"),
     }
 
 

@@ -73,4 +73,8 @@ def sql() -> dict[str, str]:
         "R2_snap_disks": with_(*base, OPENED, components("opened"), STATS, SNAP, select="""
             SELECT image_id, x, y, CAST(v // 65536 AS BIGINT) AS r, CAST((v // 256) % 256 AS BIGINT) AS g,
               CAST(v % 256 AS BIGINT) AS b FROM fin"""),
+        "R2_snap_disks_alpha": with_(*base, OPENED, components("opened"), STATS, SNAP, select="""
+            SELECT f.image_id, f.x, f.y, CAST(v // 65536 AS BIGINT) AS r, CAST((v // 256) % 256 AS BIGINT) AS g,
+              CAST(v % 256 AS BIGINT) AS b, CAST(p.a AS BIGINT) AS a
+            FROM fin f JOIN pixels p ON p.image_id = f.image_id AND p.x = f.x AND p.y = f.y"""),
     }

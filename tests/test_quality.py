@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,7 +234,7 @@ def test_disk_is_recognised_and_snapped(raster):
     d = stats.filter("is_disk").first()
     frame = sum((x - d.cx) ** 2 + (y - d.cy) ** 2 <= d.radius ** 2 for x in range(81) for y in range(81))
     assert d.fill == pytest.approx(d.area / frame)
-    out = R.snap_disks(px, stats, 800).cache()
+    out = R.snap_disks(px, stats).cache()
     got = {(r.x, r.y): (r.r, r.g, r.b) for r in out.filter("image_id = 1").collect()}
     for (x, y), colour in got.items():
         d2 = (x - d.cx) ** 2 + (y - d.cy) ** 2
@@ -247,6 +248,58 @@ def test_disk_is_recognised_and_snapped(raster):
     assert all(untouched[x, y] == (ink if x < 40 else white) for x, y in untouched)
 
 
+def test_disks_keep_text_holes_and_alpha(spark):
+    """Overlapping disks over text-like holes and varying alpha, against the rule pixel by pixel."""
+    rng = random.Random(3)
+    w, h = 61, 47
+    inks = [(10, 20, 200), (200, 30, 10)]
+    codes = [r * 65536 + g * 256 + b for r, g, b in inks]
+    disks = [(codes[0], 5, 20.5, 22.0, 17.325), (codes[0], 90, 41.0, 24.5, 12.0), (codes[1], 7, 30.0, 40.0, 11.385)]
+    source = {}
+    for y in range(h):
+        for x in range(w):
+            near = [i for i, d in enumerate(disks) if (x - d[2]) ** 2 + (y - d[3]) ** 2 <= (d[4] * 1.08) ** 2]
+            colour = inks[near[0] % 2] if near and rng.random() > 0.2 else (255, 255, 252)
+            source[x, y] = (*colour, rng.choice([0, 255, 255, 255, 130]))
+    px = spark.createDataFrame(
+        [(1, x, y, w, h, *c) for (x, y), c in source.items()] + [(2, 0, 0, 1, 1, 9, 9, 9, 7)],
+        "image_id long, x long, y long, w long, h long, r long, g long, b long, a long")
+    stats = spark.createDataFrame(
+        [(1, *d, w, h, True) for d in disks] + [(1, codes[1], 1, 5.0, 5.0, 9.0, w, h, False)],
+        "image_id long, c long, region long, cx double, cy double, radius double, w long, h long, is_disk boolean")
+    want = {}
+    for (x, y), (r, g, b, a) in source.items():
+        now, own, white = (r, g, b), r * 65536 + g * 256 + b, min(r, g, b) >= 250
+        for c, _, cx, cy, radius in sorted(disks):
+            d2 = (x - cx) ** 2 + (y - cy) ** 2
+            if own == c and d2 <= (radius * 1.05) ** 2:
+                now = (255, 255, 255)
+            if d2 <= radius**2:
+                now = (255, 255, 255) if white else (c >> 16, c >> 8 & 255, c & 255)
+        want[x, y] = (*now, a)
+    out = R.snap_disks(px, stats).collect()
+    assert {(r.x, r.y): (r.r, r.g, r.b, r.a) for r in out if r.image_id == 1} == want
+    assert [(r.r, r.g, r.b, r.a) for r in out if r.image_id == 2] == [(9, 9, 9, 7)]
+    runs = R.snapped_runs(px, stats).filter("image_id = 1")
+    assert runs.agg(F.sum(F.expr("x1 - x0 + 1"))).first()[0] == w * h
+
+
+def test_ring_statistics_expand_the_ring_only(raster):
+    """The same statistics as over all pixels, from no more rows than the ring and its inner edge hold."""
+    ink = (10, 20, 200)
+    px = raster({1: (90, 70, lambda x, y: ink if math.hypot(x - 44, y - 33) <= 30 else (255, 255, 255))})
+    regions = R.connected_components(R.with_ink_code(px))
+    row = R.region_stats(regions).first()
+    d = [math.hypot(r.x - row.cx, r.y - row.cy) for r in R.region_pixels(regions).collect()]
+    ring = np.array([v for v in d if v >= row.radius * R.RING_FROM])
+    assert row.ring_px == len(ring)
+    assert row.ring_cv == pytest.approx(ring.std() / (ring.mean() + 1e-6))
+    centre = regions.withColumn("radius", F.lit(row.radius)).withColumn("cx", F.lit(row.cx)).withColumn(
+        "cy", F.lit(row.cy))
+    heights = sum(1 for y in range(70) if abs(y - row.cy) < row.radius * R.RING_FROM)
+    assert len(ring) <= centre.select(F.explode(R.ring_stretch())).count() <= len(ring) + 2 * heights
+
+
 def test_evaluate_perfect_copy(raster):
     from inkloom.operators import palette as P
 
