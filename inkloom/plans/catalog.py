@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from inkloom.functions import colour as C
 from inkloom.functions import requests as Rq
 from inkloom.functions import svg as S
+from inkloom.functions.colour import hex_palette
+from inkloom.operators import evaluation as E
 from inkloom.operators import geometry as G
 from inkloom.operators import intake as I
 from inkloom.operators import labels as L
@@ -207,6 +209,37 @@ def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
         "iou_aw", "iou_bg", "iou_unmatched", "chamfer", "degenerate")
 
 
+UPSCALES = {"near": "off", "late": "2x"}
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    px = _stored(spark, sf)
+    return E.evaluation_records(
+        px, derived.rendered(px, VARIANTS), derived.band_palettes(px),
+        derived.traces(spark, sf, px, UPSCALES), list(VARIANTS))
+
+
+def _flat_records(spark: SparkSession, sf: str) -> DataFrame:
+    masks = F.transform("per_mask", lambda m: F.format_string(
+        "%s %s %.4f %.2f %d", m["color"], F.when(m["is_bg"], "bg").otherwise("ink"), m["iou"], m["area_pct"],
+        m["area_px"]))
+    return _records(spark, sf).withColumn("palette", hex_palette(F.col("palette"))).withColumn(
+        "per_mask", F.array_join(masks, "; "))
+
+
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    """The reports of both variants, each from its records."""
+    records = store(_records(spark, sf))
+    return Rp.union_samples(*(
+        Rp.report_lines(records.filter(F.col("variant") == v), f"v4-{v}", "2026-07-21").select(
+            F.lit(v).alias("variant"), *long("section", "no"), "line") for v in VARIANTS))
+
+
+def _matrix_report(spark: SparkSession, sf: str) -> DataFrame:
+    return Rp.matrix_lines(store(_records(spark, sf)), list(VARIANTS), "2026-07-21").select(
+        *long("section", "no"), "sample", "line")
+
+
 def _remapped(spark: SparkSession, sf: str) -> DataFrame:
     px = _stored(spark, sf)
     return L.remap_to_palette(px, derived.band_palettes(px), keep_alpha=True)
@@ -248,6 +281,9 @@ def quality_queries() -> dict:
             "image_id", "n_edges", "iou_mean", "chamfer", "shift_iou",
             six("shift_chamfer").alias("shift_chamfer"), "passed"),
         "E1_evaluate_corpus": _evaluated,
+        "E1_evaluation_records": _flat_records,
+        "E1_report": _report,
+        "E1_matrix_report": _matrix_report,
         "W6_xor_mask": _xor,
     }
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkloom.functions.requests import run_id
+from inkloom.functions.requests import effective_scale, requested_scale, run_id
 from inkloom.plans.spread import int_div, number_rows
 
 IMAGE_WIDTH = 24
@@ -142,6 +142,33 @@ def traced(px: DataFrame, modulus: int = 11, shift: int = 1) -> DataFrame:
     return px.select("image_id", "x", "y", "w", "h", channel("r"), channel("g"), channel("b"))
 
 
+def rendered(px: DataFrame, variants: dict[str, tuple[int, int]]) -> DataFrame:
+    """The perturbed copies of all variants; every nineteenth image could not be rendered."""
+    out: DataFrame | None = None
+    for name, how in variants.items():
+        rows = traced(px.filter("image_id % 19 <> 0"), *how).withColumn("variant", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def traces(spark: SparkSession, sf_dir: str, px: DataFrame, variants: dict[str, str]) -> DataFrame:
+    """A trace per image and variant (name and upscale setting), its document that of the outline with the
+    image's number; tracing failed for every seventeenth image."""
+    key = F.col("image_id")
+    docs = svg_docs(vertices(spark, sf_dir)).select(F.col("path_id").alias("image_id"), "svg")
+    names = F.array(*(F.struct(
+        F.lit(i).alias("i"), F.lit(v).alias("variant"), F.lit(up).alias("upscale"))
+        for i, (v, up) in enumerate(variants.items())))
+    images = px.groupBy("image_id").agg(F.max("w").alias("w"), F.max("h").alias("h"))
+    failed = key % 17 == 0
+    return images.join(docs, "image_id").withColumn("v", F.explode(names)).select(
+        "image_id", "v.variant", F.format_string("sample_%05d.png", key).alias("file"),
+        F.when(~failed, F.col("svg")).alias("svg"), F.lit(4).alias("colors_requested"), "v.upscale",
+        effective_scale(F.col("w"), F.col("h"), requested_scale(F.col("v.upscale"))).alias("effective_scale"),
+        F.lit("outline").alias("engine"), ((key * 7 + F.col("v.i") * 13) % 60 / 10.0).alias("elapsed"),
+        F.when(failed, "trace failed").alias("error"))
+
+
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed outlines from ``part``: circle, ellipse, rippled circle, square."""
     key = F.col("p_partkey")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from inkloom.plans.oracle import geometry, labels, palette, quality, regions, runs
+from inkloom.plans.oracle import evaluation, geometry, labels, palette, quality, regions, runs
 
 
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for module in (palette, labels, quality, regions, geometry, runs):
+    for module in (palette, labels, quality, evaluation, regions, geometry, runs):
         out.update(module.sql())
     return out
