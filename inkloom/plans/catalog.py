@@ -19,6 +19,7 @@ from inkloom.operators import regions as R
 from inkloom.operators import reports as Rp
 from inkloom.plans import derived
 from inkloom.plans.spread import attach_image_facts, checkpoint, shared_table_path, store
+from inkloom.sources import files as Fs
 from inkloom.sources import images as Im
 from inkloom.sources import sinks as Sk
 
@@ -442,6 +443,52 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
         F.unhex(F.get(heads, (F.floor(e / 3) % 7).cast("int"))).alias("content"))
 
 
+def _written(rows: DataFrame, kind: str) -> str:
+    """A new folder on the shared storage with a file per row of ``name, content``."""
+    folder = shared_table_path(rows.sparkSession, kind)
+    Fs.write_files(rows, folder)
+    return folder
+
+
+def _image_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every image written as a bitmap, some of them torn, read back, decoded and taken apart."""
+    torn = F.col("image_id") % 7 == 3
+    rows = Fs.bitmaps(_stored(spark, sf)).select(
+        F.format_string("image_%d.bmp", "image_id").alias("name"),
+        F.when(torn, F.substring("content", 1, 30)).otherwise(F.col("content")).alias("content"))
+    number = F.regexp_extract("path", r"image_(\d+)\.bmp$", 1).cast("bigint")
+    files = store(Im.read_images(spark, _written(rows, "images")).withColumn("image_id", number))
+    pixels = Im.explode_pixels(files).withColumn("reason", F.lit(None).cast("string"))
+    bad = files.filter("reason IS NOT NULL").select("image_id", "reason")
+    return pixels.select("image_id", "x", "y", "w", "h", "r", "g", "b", "reason").unionByName(
+        bad, allowMissingColumns=True)
+
+
+def _file_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Every kind of name and content as real files; their heads read where the name is no help."""
+    rows = _files(spark, sf).select(
+        F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit("-"),
+                 F.regexp_replace("path", ".*/", "")).alias("name"), "content")
+    found = Im.read_file_kinds(spark, _written(rows, "kinds"))
+    return found.select(
+        F.regexp_extract("path", r"/f(\d+)-[^/]*$", 1).cast("bigint").alias("file_id"), "length", "ext",
+        F.col("head_bytes").cast("bigint").alias("head_bytes"))
+
+
+def _svg_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and web pages as files, read whole and told apart."""
+    docs = _blemished(spark, sf).select(
+        F.concat(F.lit("doc_"), F.col("path_id").cast("string"), F.lit(".svg")).alias("name"),
+        F.col("svg").cast("binary").alias("content"))
+    pages = derived.table(spark, sf, "pages").select(
+        F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".svg")).alias("name"),
+        F.col("html").cast("binary").alias("content"))
+    good, bad = Im.read_svg_docs(spark, _written(docs.unionByName(pages), "documents"))
+    name = F.regexp_extract("path", r"([^/]*)\.svg$", 1).alias("name")
+    return good.select(name, F.length("svg").cast("bigint").alias("n_chars"), F.lit(None).cast("string").alias("reason")
+                       ).unionByName(bad.select(name, "reason"), allowMissingColumns=True)
+
+
 def _source_vs_output(spark: SparkSession, sf: str) -> DataFrame:
     px = _stored(spark, sf)
     blank = px.withColumn("a", F.when(F.col("image_id") % 3 == 0, 0).otherwise(F.col("a")))
@@ -481,6 +528,9 @@ def intake_queries() -> dict:
         "S3_explode_pixels": lambda s, d: Im.explode_pixels(
             derived.raster_rows(derived.pixels(s, d))).select(
             "image_id", F.col("line").alias("y"), "x", "r", "g", "b", *long("a")),
+        "S1_read_images": _image_files,
+        "S5_file_kinds": _file_kinds,
+        "S8_read_svg_files": _svg_files,
         "S5_sniff_format": lambda s, d: _files(s, d).select(
             "file_id", Rq.sniff_format(F.col("path"), F.col("content")).alias("ext")),
         "S6_write_metrics": lambda s, d: _metrics_table(s, d).select(

@@ -151,4 +151,8 @@ def sql() -> dict[str, str]:
         "S8_read_svg_docs": with_(*docs, BLEMISHED, select="""
             SELECT path_id, true AS is_svg FROM blem
             UNION ALL SELECT -page_id, regexp_matches(html, '<svg\\b', 'i') FROM pages"""),
+        "S8_read_svg_files": with_(*docs, BLEMISHED, """
+            fl AS (SELECT concat('doc_', path_id) AS name, svg FROM blem UNION ALL SELECT concat('page_', page_id), html FROM pages)""", select="""
+            SELECT name, CASE WHEN regexp_matches(svg, '<svg\\b', 'i') THEN length(svg) END AS n_chars,
+              CASE WHEN NOT regexp_matches(svg, '<svg\\b', 'i') THEN 'does not look like SVG' END AS reason FROM fl"""),
     }

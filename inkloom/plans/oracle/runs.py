@@ -98,6 +98,17 @@ def sql() -> dict[str, str]:
               WHEN head LIKE 'FFD8FF%' THEN '.jpg' WHEN head LIKE '89504E470D0A1A0A%' THEN '.png'
               WHEN head LIKE '52494646________57454250%' THEN '.webp' WHEN head LIKE '47494638_961%' THEN '.gif' ELSE '.bin' END AS ext FROM suf""".replace(
             "'47494638_961%'", "'474946383961%' OR head LIKE '474946383761%'")),
+        "S1_read_images": with_(PIXELS, select="""
+            SELECT image_id, CAST(x AS BIGINT) AS x, y, CAST(w AS BIGINT) AS w, h, r, g, b, CAST(NULL AS VARCHAR) AS reason
+            FROM pixels WHERE image_id % 7 <> 3
+            UNION ALL SELECT DISTINCT image_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'cannot decode image' FROM pixels WHERE image_id % 7 = 3"""),
+        "S5_file_kinds": with_(FILES, """
+            nm AS (SELECT file_id, head, lower(regexp_extract(concat('f', file_id, '-', list_last(string_split(path, '/'))), '(\\.[^.]+)$', 1)) AS s FROM files),
+            kn AS (SELECT file_id, head, CASE WHEN s = '.jpeg' THEN '.jpg' WHEN s IN ('.jpg', '.png', '.webp', '.gif', '.bin') THEN s END AS k FROM nm)""", select="""
+            SELECT file_id, CAST(length(head) / 2 AS BIGINT) AS length, coalesce(k, CASE WHEN head LIKE 'FFD8FF%' THEN '.jpg'
+              WHEN head LIKE '89504E470D0A1A0A%' THEN '.png' WHEN head LIKE '52494646________57454250%' THEN '.webp'
+              WHEN head LIKE '474946383961%' OR head LIKE '474946383761%' THEN '.gif' ELSE '.bin' END) AS ext,
+              CAST(CASE WHEN k IS NULL THEN least(12, length(head) / 2) ELSE 0 END AS BIGINT) AS head_bytes FROM kn"""),
         "S6_write_metrics": with_(METRICS, select="SELECT sample, variant, iou_mean, nodes, render_ok FROM metrics"),
         "S6_sample_report": with_(METRICS, select=f"""
             SELECT row_number() OVER (ORDER BY sample, variant) AS no, concat('| ', row_number() OVER (ORDER BY sample, variant), ' | `', sample, '` | ',
