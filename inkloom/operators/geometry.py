@@ -408,6 +408,20 @@ def simplify_ring(
         short.withColumn("x", F.col("x").cast("double")).withColumn("y", F.col("y").cast("double")))
 
 
+def _joined_blocks(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``line``: the texts ``t`` of a group in the order of ``seq``, and their number ``n_simple``.
+
+    Texts are put together per block of rows and the blocks by their number, so until the last join
+    a task holds blocks, however long a group is."""
+    def joined(order: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.struct(order, "t")))
+        return F.array_join(F.transform(listed, lambda e: e["t"]), " ")
+
+    blocks = parts.withColumn("_blk", _block("seq")).groupBy(*keys, "_blk").agg(
+        F.count(F.lit(1)).alias("n"), joined("seq").alias("t"))
+    return blocks.groupBy(*keys).agg(F.sum("n").alias("n_simple"), joined("_blk").alias("line"))
+
+
 def _ring_texts(points: DataFrame, level: str) -> DataFrame:
     """``path_id, ring, t``: the path data of each simplified ring."""
     if level not in ("basic", "strict"):
@@ -415,14 +429,8 @@ def _ring_texts(points: DataFrame, level: str) -> DataFrame:
     ends = ring_ends(points).filter(F.col("n") >= 2).select(*KEYS, "closed")
     simple = _renumber(checkpoint(simplify_ring(points, tolerance=CLOSE_TOLERANCE))).drop("n")
     step = F.format_string("%s %.2f %.2f", F.when(F.col("seq") == 0, "M").otherwise("L"), "x", "y")
-    listed = F.array_sort(F.collect_list(F.struct("seq", step.alias("t"))))
     simple = checkpoint(simple) if level == "strict" else simple
-    rings = (
-        simple.groupBy(*KEYS).agg(
-            F.count(F.lit(1)).alias("n_simple"),
-            F.array_join(F.transform(listed, lambda e: e["t"]), " ").alias("line"))
-        .join(ends, KEYS)
-    )
+    rings = _joined_blocks(simple.select(*KEYS, "seq", step.alias("t")), KEYS).join(ends, KEYS)
     poly = F.when(F.col("n_simple") < 2, "M 0 0 Z").otherwise(
         F.concat("line", F.when(F.col("closed"), " Z").otherwise("")))
     if level == "strict":

@@ -16,7 +16,7 @@ from inkloom.functions.colour import (
     hsl_gap, hue_deg, hue_gap, is_goldish, is_greenish, is_near_white, let, lightness,
     rgb_dist2, saturation,
 )
-from inkloom.plans.spread import checkpoint, int_div, store
+from inkloom.plans.spread import STRIP_PIXELS, checkpoint, int_div, store, strip_of
 
 LIGHTNESS_BINS = 13
 
@@ -654,6 +654,34 @@ def unique_color_count(counts: DataFrame) -> DataFrame:
     return counts.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_colors"))
 
 
+#: Logarithm of a sketch's registers, and its relative standard error.
+SKETCH_LG = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LG / 2)
+
+
+def color_sketches(pixels: DataFrame, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
+    """``image_id, strip, sketch``: a sketch of a few kB of each strip's distinct colours.
+
+    Strips are combined before anything is shuffled, so a huge image costs as many small rows as it has
+    strips and tasks. Sketches of other strips, days or corpora merge with these."""
+    code = (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("bigint")
+    strip = strip_of(F.col("y"), F.col("w"), strip_pixels)
+    return pixels.groupBy("image_id", strip.alias("strip")).agg(
+        F.hll_sketch_agg(code, F.lit(SKETCH_LG)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """One sketch per group of ``by``: of what any of the merged ones has seen."""
+    return sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def unique_color_estimate(sketches: DataFrame) -> DataFrame:
+    """``image_id, n_colors``: the sketched form of ``unique_color_count``. Its relative standard error is
+    ``SKETCH_ERROR``; a few hundred colours are counted exactly."""
+    return merge_sketches(sketches, "image_id").select(
+        "image_id", F.hll_sketch_estimate("sketch").alias("n_colors"))
+
+
 def raw_color_histogram(counts: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` most frequent exact colours with share, lightness and saturation."""
     totals = counts.groupBy("image_id").agg(F.sum("n").alias("total"))

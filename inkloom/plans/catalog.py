@@ -133,6 +133,7 @@ def palette_queries() -> dict:
         "A29_extract_colors": lambda s, d: P.extract_colors(derived.pixels(s, d)),
         "A13_unique_color_count": lambda s, d: P.unique_color_count(
             P.color_counts(derived.pixels(s, d))),
+        "A13_unique_color_sketch": _sketched,
         "A14_raw_color_histogram": lambda s, d: P.raw_color_histogram(
             P.color_counts(derived.pixels(s, d))).select(
             "image_id", "rank", "r", "g", "b", "n", six("share").alias("share"),
@@ -241,6 +242,16 @@ def _matrix_report(spark: SparkSession, sf: str) -> DataFrame:
         *long("section", "no"), "sample", "line")
 
 
+def _sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketched colour counts beside the exact ones, from sketches per strip."""
+    px = _stored(spark, sf)
+    exact = P.unique_color_count(P.color_counts(px))
+    estimate = P.unique_color_estimate(P.color_sketches(px, 96)).withColumnRenamed("n_colors", "estimate")
+    off = F.abs(F.col("estimate") - F.col("n_colors")) / F.col("n_colors")
+    return exact.join(estimate, "image_id").select(
+        "image_id", "n_colors", (off <= 4 * P.SKETCH_ERROR).alias("within"))
+
+
 def _remapped(spark: SparkSession, sf: str) -> DataFrame:
     px = _stored(spark, sf)
     return L.remap_to_palette(px, derived.band_palettes(px), keep_alpha=True)

@@ -232,6 +232,8 @@ def sql() -> dict[str, str]:
         "A29_extract_colors": with_(*AUTO, select="SELECT image_id, slot, r, g, b FROM pal"),
         "A13_unique_color_count": with_(px, select="""
             SELECT image_id, count(DISTINCT (r, g, b)) AS n_colors FROM pixels GROUP BY image_id"""),
+        "A13_unique_color_sketch": with_(px, select="""
+            SELECT image_id, count(DISTINCT (r, g, b)) AS n_colors, true AS within FROM pixels GROUP BY image_id"""),
         "A14_raw_color_histogram": with_(px, HIST, select=f"""
             SELECT image_id, rank, r, g, b, n, round(n / total, 6) AS share, round({light()}, 6) AS lightness,
               round({sat()}, 6) AS saturation FROM (SELECT *, sum(n) OVER (PARTITION BY image_id) AS total,

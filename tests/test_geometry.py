@@ -247,6 +247,16 @@ def test_long_path_spans_blocks(spark):
     assert got[0] == [[(k, 2 * k) for k in range(n + 1)]]
 
 
+def test_ring_text_is_joined_from_blocks(spark, small_blocks):
+    rings = {1: circle(50, r=90), 2: [(k * 3.0, (k % 2) * 9.0) for k in range(70)], 3: [(0, 0), (1, 1)]}
+    got = {r.path_id: r.d for r in G.normalize_paths(vertex_df(spark, rings), "basic").collect()}
+    kept = by_path(G.simplify_ring(vertex_df(spark, rings), tolerance=G.CLOSE_TOLERANCE))
+    for p, points in kept.items():
+        line = " ".join(f"{'L' if i else 'M'} {x:.2f} {y:.2f}" for i, (x, y) in enumerate(points))
+        assert got[p] == line + (" Z" if p == 1 else "")
+    assert len(kept[2]) == 70
+
+
 def test_wavy_path_becomes_lines(spark):
     d = "M 0 0 " + " ".join(
         f"C {i + 1} {0.2 if i % 2 else -0.2} {i + 2} {0.2 if i % 2 else -0.2} {i + 3} 0" for i in range(0, 30, 3))

@@ -195,3 +195,25 @@ def test_exact_gives_the_rest_to_the_nearest_kept(raster):
     assert [(s["r"], s["g"], s["b"]) for s in kept] == [inks[0][0], inks[1][0]]
     # Green and blue are nearer to the dark ink than to the red one.
     assert [s["mass"] for s in kept] == [20 * 24, 24 * 24]
+
+
+def test_colour_sketches_add_up(spark):
+    """Estimates within their error, exact for few colours, and merged over strips and days."""
+    n = 60_000
+    px = spark.range(n).selectExpr(
+        "id % 2 AS image_id", "id % 300 AS x", "id div 300 AS y", "300L AS w", f"{n // 300}L AS h",
+        "(id * 7919) % 256 AS r", "(id div 256) % 256 AS g", "if(id % 2 = 0, (id div 7) % 256, 5) AS b")
+    exact = {r.image_id: r.n_colors for r in P.unique_color_count(P.color_counts(px)).collect()}
+    assert min(exact.values()) > 20_000
+    sketches = P.color_sketches(px, strip_pixels=3000).cache()
+    assert sketches.count() == 2 * (n // 3000)
+    for found in (P.unique_color_estimate(sketches), P.unique_color_estimate(P.color_sketches(px))):
+        for r in found.collect():
+            assert abs(r.n_colors - exact[r.image_id]) <= 4 * P.SKETCH_ERROR * exact[r.image_id]
+    first, second = px.filter("y < 90"), px.filter("y >= 60")
+    days = P.color_sketches(first, 3000).unionByName(P.color_sketches(second, 3000))
+    assert {tuple(r) for r in P.unique_color_estimate(days).collect()} == {
+        tuple(r) for r in P.unique_color_estimate(sketches).collect()}
+    few = px.selectExpr("image_id", "x", "y", "w", "h", "r % 5 AS r", "g % 4 AS g", "b % 3 AS b")
+    want = {tuple(r) for r in P.unique_color_count(P.color_counts(few)).collect()}
+    assert {tuple(r) for r in P.unique_color_estimate(P.color_sketches(few)).collect()} == want
