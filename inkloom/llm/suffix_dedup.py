@@ -1,4 +1,4 @@
-"""Removal of long repeated passages by suffix arrays, with factors tested at a fixed length.
+"""Removal of long repeated passages by suffix arrays and longest previous factors.
 
 A byte goes if it lies in a string of ``length`` bytes that starts a second time anywhere in the corpus
 (``keep="none"``), or started before, in the order of (doc_id, text hash, place) (``keep="first"``, which leaves the
@@ -14,10 +14,10 @@ How the corpus is cut for it, exactly:
    one class with one representative.
 3. Groups of one anchor hash with several classes need the order of their suffixes. The texts of
    the representatives meet in a task, in the order of the corpus; prefix doubling sorts the suffixes at
-   all starts by their first ``length`` bytes, equal ones by place. Then the previous smaller position of a
-   suffix in suffix order is its neighbour, and the longest previous factor reaches ``length`` exactly if both
-   share that many bytes; the next smaller position tells the same about later ones. Only that equality is
-   computed, not the array of factor lengths.
+   all starts by their first ``length`` bytes, equal ones by place. Common prefixes of neighbours in suffix
+   order follow from the ranks of the doubling steps; the previous and next smaller positions in that order
+   then give every start its longest previous factor, up to ``length`` (the larger ones its longest
+   next factor). Starts whose factor has ``length`` bytes are repeats.
 4. A group beyond ``GROUP_BYTES`` is not sorted in one task: its starts are dealt by a 128-bit
    hash of their string and counted, which gives the same answer at any size.
 
@@ -153,9 +153,11 @@ def _dense_ranks(keys: np.ndarray) -> np.ndarray:
     return rank
 
 
-def suffix_order(b: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(
+    b: np.ndarray, starts: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of ``starts`` by their first ``length`` bytes, equal ones by place, and
-    whether each shares all of them with the one before it. Prefix doubling."""
+    how many of these bytes each shares with the one before it (0 for the first). Prefix doubling."""
     top = 1 << (length.bit_length() - 1)
     n = min(8, top)
     padded = np.concatenate((b, np.zeros(length, np.uint8))).astype(np.uint64)
@@ -163,27 +165,73 @@ def suffix_order(b: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.nda
     for i in range(n):
         keys = keys << np.uint64(8) | padded[i:i + len(b)]
     rank = _dense_ranks(keys)
+    levels = [(n, rank)]
     while n < top:
         ahead = np.zeros_like(rank)
         ahead[:-n] = rank[n:]
         rank = _dense_ranks(rank << np.uint64(32) | ahead)
         n *= 2
+        levels.append((n, rank))
     rank = _dense_ranks(rank[starts] << np.uint64(32) | rank[starts + (length - top)])
     order = np.argsort(rank << np.uint64(32) | np.arange(len(starts), dtype=np.uint64))
-    same = np.zeros(len(starts), bool)
-    same[1:] = rank[order[1:]] == rank[order[:-1]]
-    return order, same
+    shared = np.zeros(len(starts), np.int32)
+    same = np.flatnonzero(rank[order[1:]] == rank[order[:-1]]) + 1
+    shared[same] = length
+    live = np.flatnonzero(rank[order[1:]] != rank[order[:-1]]) + 1
+    p, q = starts[order[live - 1]], starts[order[live]]
+    common = np.zeros(len(live), np.int64)
+    for size, ranks in reversed(levels):
+        # A suffix that would reach beyond its string cannot go on, so indices stay inside it.
+        fits = common + size <= length
+        more = np.zeros(len(live), bool)
+        more[fits] = ranks[p[fits] + common[fits]] == ranks[q[fits] + common[fits]]
+        common[more] += size
+    for _ in range(min(8, top) - 1):
+        fits = common < length
+        more = np.zeros(len(live), bool)
+        more[fits] = b[p[fits] + common[fits]] == b[q[fits] + common[fits]]
+        common[more] += 1
+    shared[live] = common
+    return order, shared
+
+
+def _reach(places: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each entry of the suffix order the common prefix with the nearest entry before it whose
+    place is smaller; ``shared`` is that of neighbours. Pointers skip larger places by doubling."""
+    n = len(places)
+    to, least = np.arange(n) - 1, shared.copy()
+    live = np.arange(1, n)
+    live = live[places[to[live]] > places[live]]
+    while len(live):
+        at = to[live]
+        least[live] = np.minimum(least[live], least[at])
+        to[live] = to[at]
+        live = live[to[live] >= 0]
+        live = live[places[to[live]] > places[live]]
+    return np.where(to >= 0, least, 0)
+
+
+def _factors(order: np.ndarray, shared: np.ndarray, later: bool) -> np.ndarray:
+    places = -order if later else order
+    behind = np.append(shared[1:], 0)
+    out = np.empty(len(order), np.int32)
+    out[order] = np.maximum(_reach(places, shared), _reach(places[::-1], behind[::-1])[::-1])
+    return out
+
+
+def factors(b: np.ndarray, starts: np.ndarray, length: int, later: bool = False) -> np.ndarray:
+    """Longest previous factor of each of the ascending ``starts``, up to ``length`` bytes: the most
+    that it shares with an earlier start. With ``later``, the same for later starts."""
+    return _factors(*suffix_order(b, starts, length), later)
 
 
 def repeated_starts(b: np.ndarray, starts: np.ndarray, length: int, keep: str) -> np.ndarray:
     """For ascending ``starts``: whether the longest previous factor (or, to keep nothing, the
     longest next one) has ``length`` bytes."""
-    order, same = suffix_order(b, starts, length)
-    found = same.copy()  # the previous smaller position is the neighbour before
+    order, shared = suffix_order(b, starts, length)
+    out = _factors(order, shared, False) >= length
     if keep == "none":
-        found[:-1] |= same[1:]  # the next one is the neighbour behind
-    out = np.empty(len(starts), bool)
-    out[order] = found
+        out |= _factors(order, shared, True) >= length
     return out
 
 
@@ -389,6 +437,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFra
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """The digest per document, and its remaining text (cut characters as U+FFFD)."""
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
 
     def start():
@@ -400,15 +449,15 @@ def query(docs: DataFrame) -> DataFrame:
                     raw, gone = t.encode(), merge(s or [])
                     left = cut_text(raw, gone)
                     out.append((len(raw), len(raw) - len(left), len(gone),
-                                hashlib.sha256(left).hexdigest()))
+                                hashlib.sha256(left).hexdigest(), left.decode(errors="replace")))
                 columns = [pa.array(c) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *columns],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
         return work
 
     return map_rows(
         _with_spans(rows, repeated_spans(rows, LENGTH, "none")),
-        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string",
         start)

@@ -1,4 +1,8 @@
+import hashlib
+import random
+
 import numpy as np
+import pytest
 import xxhash
 
 from inkloom.llm import simhash as S
@@ -176,7 +180,6 @@ def brute_removed(rows, length, keep):
 
 
 def test_repeated_passages(spark, monkeypatch):
-    import random
 
     for seed in range(2):
         rng = random.Random(seed)
@@ -202,15 +205,59 @@ def test_repeated_passages(spark, monkeypatch):
                     assert D.cut_text((t or "").encode(), D.merge(got)) == left
 
 
-def test_suffix_order():
-    b = np.frombuffer(b"banana bandana banana", np.uint8)
-    starts = np.arange(len(b) - 5)
-    order, same = D.suffix_order(b, starts, 6)
-    raw = b.tobytes()
-    want = sorted(starts.tolist(), key=lambda p: (raw[p:p + 6], p))
-    assert order.tolist() == want
-    assert same.tolist() == [False] + [
-        raw[a:a + 6] == raw[c:c + 6] for a, c in zip(want, want[1:], strict=False)]
+def shared(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("length", [1, 3, 6, 8, 13, 40])
+def test_suffix_order_and_factors(length):
+    rng = random.Random(length)
+    texts = [b"banana bandana banana" * 3, b"a" * 90, bytes(rng.choice(b"ab") for _ in range(150)),
+             bytes(rng.choice(b"ab\0") for _ in range(120)), bytes(range(90)) * 2]
+    for raw in texts:
+        b = np.frombuffer(raw, np.uint8)
+        starts = np.array([p for p in range(len(b) - length + 1) if p % 7 != 3])
+        order, common = D.suffix_order(b, starts, length)
+        cut = [raw[p:p + length] for p in starts]
+        want = sorted(range(len(starts)), key=lambda i: (cut[i], i))
+        assert order.tolist() == want
+        assert common.tolist() == [0] + [shared(cut[i], cut[j]) for i, j in zip(want, want[1:], strict=False)]
+        before = [max([shared(cut[i], cut[j]) for j in range(i)], default=0) for i in range(len(cut))]
+        behind = [max([shared(cut[i], cut[j]) for j in range(i + 1, len(cut))], default=0) for i in range(len(cut))]
+        assert D.factors(b, starts, length).tolist() == before
+        assert D.factors(b, starts, length, later=True).tolist() == behind
+
+
+def test_query_at_its_length(spark):
+    """Every digest of the registered query, at 400 bytes, against brute force."""
+    rng = random.Random(21)
+
+    def noise(n):
+        return "".join(rng.choice("abcdé \U0001f600") for _ in range(n))
+
+    shared_, twice, near = noise(420), noise(380), noise(330)
+    rows = [(1, noise(90) + shared_ + noise(50)), (2, shared_ + noise(300)), (3, noise(200) + shared_[3:]),
+            (4, twice + "x" + twice), (5, near), (6, near), (7, "ab" * 450), (8, None), (9, ""), (10, shared_[:150]),
+            (11, noise(700)), (12, noise(40) + "ab" * 260)]
+    got = {r.doc_id: r for r in D.query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    raw = {i: (t or "").encode() for i, t in rows}
+    seen = {}
+    for i, t in raw.items():
+        for p in range(len(t) - 399):
+            seen.setdefault(t[p:p + 400], []).append((i, p))
+    gone = {i: bytearray(len(t)) for i, t in raw.items()}
+    for places in seen.values():
+        for i, p in places if len(places) > 1 else ():
+            gone[i][p:p + 400] = b"\1" * 400
+    assert sum(map(sum, gone.values())) > 3000
+    for i, t in raw.items():
+        left = bytes(c for c, g in zip(t, gone[i], strict=True) if not g)
+        runs = sum(1 for p, g in enumerate(gone[i]) if g and not (p and gone[i][p - 1]))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256, got[i].text) == (
+            len(t), sum(gone[i]), runs, hashlib.sha256(left).hexdigest(), left.decode(errors="replace"))
 
 
 def test_dedup_edges(spark, edge_docs, no_docs):
