@@ -15,8 +15,8 @@ takes the best ``k`` from each, which a window then merges. No block is skipped.
 Vectors that are null, zero, of another length than most of the sample, or hold null or
 non-finite components take no part, neither do rows with a null vec_id. Of rows that share a
 vec_id the smallest vector counts. A query that meets fewer than ``k`` others in its partitions is sent to
-all the other partitions too, so it gets ``k``, or all there are (tables under ``BLOCK`` rows are
-searched whole). An empty table gives no rows; other columns are ignored.
+all the other partitions too, so it gets ``k``, or all there are. A table of fewer than four sampled vectors a
+partition is one partition. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -218,13 +218,14 @@ def search(
     sizes = some.value_lengths()
     dim = pa.compute.mode(sizes)[0]["mode"].as_py()
     x = _matrix(some.filter(pa.compute.equal(sizes, dim)))
-    whole = len(some) <= block and len(some) < sample  # so few that nothing is gained by routing
-    router = None if whole or len(x) < 4 * parts else fit(x, parts, k, target)
-    sent = spark.sparkContext.broadcast(router)
+    # Too few vectors to learn from are one partition.
+    router = None if len(x) < 4 * parts else fit(x, parts, k, target)
+    # Plain arrays: executors need not have this package installed.
+    sent = spark.sparkContext.broadcast(router and (router.w1, router.b1, router.w2, router.b2, router.probes))
     rows = rows.filter(F.size("v") == dim)
 
     def start():
-        r = sent.value
+        r = sent.value and Router(*sent.value)
 
         def work(batch: pa.RecordBatch):
             n = batch.num_rows
