@@ -1,13 +1,14 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the presence of words, of words cut to four letters (which cover inflected forms), of word pairs, and
-of pairs that skip one word, hashed to 2^20 coordinates. Per-coordinate learning rates and an L1 term leave few weights; they are sent to
-all tasks as one array of 4 MB, a size that does not depend on the corpus.
+of pairs that skip one word, hashed to 2^20 coordinates. Per-coordinate learning rates and an L1 term leave few weights; they alone are sent to all tasks, at most 2^20 whatever the corpus.
 
 The model is learned from a bounded sample (``per_class`` labelled rows of each class, those with
 the smallest hash of their id; 6,000 by default): features are made where the rows lie, one
-task makes the passes of the online learner, and only weights reach the driver. Scoring reads
-every whole text once, without a shuffle.
+task makes the passes of the online learner, and only weights reach the driver. The sample's classes may be
+of unequal size, so the intercept is fitted apart: every row is scored by a model of the other folds, and the cut goes
+where ``FALSE_ALARMS`` of the clean rows lie above it, or half-way to the toxic rows if they are further up. Scoring
+reads every whole text once, without a shuffle.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Labels of one doc_id are merged (toxic if
 any says so), and of rows that share a doc_id the least text is learned. Null labels are ignored; without any labelled
@@ -30,6 +31,7 @@ from inkloom.llm.common import map_rows, slices
 BITS = 20
 PER_CLASS = 6_000
 EPOCHS = 5
+FOLDS, FALSE_ALARMS = 3, 0.003
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 6.0, 1.0
 STEM = 4
 SEED = 17
@@ -95,20 +97,42 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def _train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates and weights that are not zero."""
+def _learned(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
     model = Ftrl()
     order = np.random.default_rng(SEED)
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
             model.learn(*rows[i])
-    w = model.weights(np.arange(BIAS + 1))
+    return model.weights(np.arange(BIAS + 1))
+
+
+def _cut(rows: list[tuple[np.ndarray, int]]) -> float:
+    """Where to cut the sums of a model, by those of rows that it did not see."""
+    label, sums = np.array([y for _, y in rows]), np.zeros(len(rows))
+    fold = np.arange(len(rows)) % FOLDS
+    for k in range(FOLDS):
+        w = _learned([r for r, f in zip(rows, fold, strict=True) if f != k])
+        sums[fold == k] = [w[BIAS] + w[rows[i][0]].sum() for i in np.flatnonzero(fold == k)]
+    if label.all() or not label.any():
+        return 0.0
+    clean = float(np.quantile(sums[label == 0], 1 - FALSE_ALARMS))
+    return max(clean, (clean + float(np.quantile(sums[label == 1], 0.01))) / 2)
+
+
+def _train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates and weights that are not zero."""
+    w = _learned(rows)
+    w[BIAS] -= _cut(rows)
     kept = np.flatnonzero(w)
     return kept, w[kept]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.ndarray | None:
-    """Weights by coordinate (float32, bias last), or None without a labelled toxic row."""
+Weights = tuple[np.ndarray, np.ndarray]
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Weights | None:
+    """Coordinates with a weight (``BIAS`` is the bias) and the weights, or None without a labelled
+    toxic row."""
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_y"))
@@ -147,12 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.nd
     kept = ordered.mapInArrow(train, "at bigint, w double").toArrow()  # at most 2^20 + 1 rows
     if not kept.num_rows:
         return None
-    dense = np.zeros(BIAS + 1, np.float32)
-    dense[kept["at"].to_numpy()] = kept["w"].to_numpy()
-    return dense
+    return kept["at"].to_numpy(), kept["w"].to_numpy()
 
 
-def score(docs: DataFrame, weights: np.ndarray | None, *keep: str) -> DataFrame:
+def score(docs: DataFrame, weights: Weights | None, *keep: str) -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``score`` and ``predicted``."""
     if weights is None:
         return docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
@@ -160,7 +182,9 @@ def score(docs: DataFrame, weights: np.ndarray | None, *keep: str) -> DataFrame:
     text = "text" if "text" in keep else "_text"
 
     def start():
-        words, w = (_Words(), _Words(STEM)), sent.value
+        words, (at, some) = (_Words(), _Words(STEM)), sent.value
+        w = np.zeros(BIAS + 1, np.float32)
+        w[at] = some
         bias = float(w[BIAS])
 
         def one(text: str | None) -> float:

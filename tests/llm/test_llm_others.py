@@ -195,3 +195,93 @@ def test_every_query_gets_its_neighbours(spark):
     for q, found in got.items():
         assert sorted(r for r, _ in found) == list(range(1, 21))
         assert len({v for _, v in found} - {q}) == 20
+
+
+ROUTED = """
+import sys
+sys.path.insert(0, {repo!r})
+import numpy as np
+from inkloom.llm import ann
+from inkloom.session import local_session
+spark = local_session("away", 2)
+x = np.random.default_rng(1).normal(size=(300, 8))
+frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+rows = ann.search(frame, 20, k=5, sample=200, parts=8).collect()
+print("ROWS", len(rows), len({{r.query_id for r in rows}}))
+"""
+
+
+def test_routing_needs_no_package_on_the_executors(tmp_path):
+    """A driver that alone can import the package, in a folder of its own."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", ROUTED.format(repo=str(Path(__file__).resolve().parents[2]))],
+        cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 75 15" in done.stdout, done.stderr[-2000:]
+
+
+def plain_features(text):
+    import re
+
+    import xxhash
+
+    one, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    two = 0xC2B2AE3D27D4EB4F
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    h = [xxhash.xxh64_intdigest(w.encode(), toxicity.SEED) for w in words]
+    grams = list(h) + [xxhash.xxh64_intdigest(w[:4].encode(), toxicity.SEED + 1) for w in words]
+    grams += [(a * one + b) * two & mask for a, b in zip(h, h[1:], strict=False)]
+    grams += [((a * two + b) * one & mask) ^ two for a, b in zip(h, h[2:], strict=False)]
+    return sorted({((g ^ g >> 29) * two & mask) >> 64 - toxicity.BITS for g in grams})
+
+
+def test_learner_equals_a_plain_one():
+    """Features and the FTRL update, coordinate by coordinate, against plain Python."""
+    rng = np.random.default_rng(2)
+    words = ["Bad", "nasty", "fine", "kind", "Ärger", "day"]
+    rows = [(" ".join(rng.choice(words, 9)), int(i % 3 == 0)) for i in range(40)]
+    known = toxicity._Words(), toxicity._Words(toxicity.STEM)
+    model, z, n = toxicity.Ftrl(), {}, {}
+
+    def weight(i):
+        l1 = 0 if i == toxicity.BIAS else toxicity.L1
+        if abs(z.get(i, 0)) <= l1:
+            return 0.0
+        return (np.sign(z[i]) * l1 - z[i]) / ((toxicity.BETA + np.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for text, label in rows * 3:
+        found = toxicity.features(text, known)
+        assert found.tolist() == plain_features(text)
+        model.learn(found, label)
+        at = [*found.tolist(), toxicity.BIAS]
+        w = {i: weight(i) for i in at}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i in at:
+            s = (np.sqrt(n.get(i, 0) + g * g) - np.sqrt(n.get(i, 0))) / toxicity.ALPHA
+            z[i] = z.get(i, 0) + g - s * w[i]
+            n[i] = n.get(i, 0) + g * g
+    got = model.weights(np.arange(toxicity.BIAS + 1))
+    assert np.flatnonzero(got).tolist() == sorted(i for i in z if weight(i))
+    assert all(abs(got[i] - weight(i)) < 1e-9 for i in z)
+
+
+def test_cut_leaves_clean_rows_below():
+    """The intercept of a sample with few toxic rows: hardly a clean row above it."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        y = int(i % 12 == 0)
+        f = set(rng.integers(100, 3000, 40).tolist()) | (set(rng.integers(0, 12, 2).tolist()) if y else set())
+        rows.append((np.array(sorted(f), np.int32), y))
+    at, w = toxicity._train(rows)
+    dense = np.zeros(toxicity.BIAS + 1)
+    dense[at] = w
+    sums = np.array([dense[toxicity.BIAS] + dense[f].sum() for f, _ in rows])
+    label = np.array([y for _, y in rows])
+    assert (sums[label == 0] >= 0).mean() <= 0.01 and (sums[label == 1] >= 0).mean() >= 0.9
+    assert toxicity._cut([(f, 1) for f, _ in rows[:9]]) == 0.0
