@@ -142,7 +142,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False) -> D
     lengths = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     runs = plan(lengths, capacity)
     sent = docs.sparkSession.sparkContext.broadcast((runs[:, 0] << 44 | runs[:, 1], runs))
-    ranked = cut.join(counts.drop("n"), ["length", "part"]).withColumn(
+    # A row per length and task: more with every task, so they are never broadcast.
+    ranked = cut.join(counts.drop("n").hint("merge"), ["length", "part"]).withColumn(
         "rank", F.col("before") + F.col("k")).drop("part", "k", "before")
 
     def start():
