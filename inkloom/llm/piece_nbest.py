@@ -9,7 +9,7 @@ the n best.
 Pieces hold blanks at their start only, so every lattice falls apart into chunks (blanks and what
 follows them, or a line break); each chunk is searched once and remembered, and the n best of a
 text are the n best sums over its chunks, of which only the n - 1 with the smallest first loss can
-differ from their best. The result equals that of one search over the whole lattice (tests do both).
+differ from their best. New chunks of many texts go through Viterbi side by side. The result equals that of one search over the whole lattice (tests do both).
 
 Blanks are written as in the model (``▁`` with one in front of the text). A character that no piece
 covers becomes its UTF-8 bytes' pieces at ``UNKNOWN`` each, below any piece, so decoding restores every text
@@ -25,9 +25,11 @@ from __future__ import annotations
 
 import gc
 import re
+import sys
 import zlib
 from heapq import heappop, heappush, nsmallest
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,9 @@ from inkloom.llm.common import file_bytes, map_rows, slices, tokenizer_path
 
 N_BEST = 4
 CACHED_CHUNKS = 250_000
-_NEVER = -(1 << 60)
+_NEVER = float(-(1 << 60))
 SLICE = 2 << 20
+LONG_CHUNK, TOGETHER = 48, 40_000
 _CHUNK = re.compile(r"\n|▁| *[^ \n▁]+| +")
 
 
@@ -63,7 +66,7 @@ class Pieces:
                 self.bytes_of.append(b"")
             else:
                 text = piece.replace("▁", " ")
-                self.ids[text] = (i, round(sp.get_score(i)))
+                self.ids[text] = (i, sp.get_score(i))
                 self.bytes_of.append(text.encode())
         self.unknown = min(s for _, s in self.ids.values() if s > -1e8) - 10
         # Every start of a piece: (score, ids) if it is a piece, else None.
@@ -75,12 +78,97 @@ class Pieces:
             nodes[t] = {}
             nodes[t[:-1]][t[-1]] = nodes[t], self.table[t]
         self.tree = nodes[""]
-
-    def lattice(self, text: str) -> tuple[list[list], list[int]]:
+        self._number_nodes()
+
+    def _number_nodes(self) -> None:
+        """The tree as arrays: sorted (node, character) keys with the node that each leads to,
+        and every node's piece."""
+        number = {t: i for i, t in enumerate(sorted(self.table, key=len), 1)} | {"": 0}
+        steps = sorted((number[t[:-1]] << 21 | ord(t[-1]), i) for t, i in number.items() if i)
+        self.keys = np.array([k for k, _ in steps], np.int64)
+        self.leads = np.array([i for _, i in steps], np.int64)
+        self.node_id = np.full(len(number), -1, np.int64)
+        self.node_score = np.zeros(len(number))
+        for t, (i, score) in self.ids.items():
+            self.node_id[number[t]], self.node_score[number[t]] = i, score
+
+    def _edges(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start, length, id and score of every piece in the chunks whose characters are ``codes``; id -1
+        for a character without a piece, which stands for its bytes. ``ends``: of each character's chunk."""
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        starts, nodes, lengths, single = [], [], [], np.zeros(len(codes), bool)
+        size = 0
+        while len(at):
+            size += 1
+            key = node << 21 | codes[at + size - 1]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[place] == key
+            at, node = at[known], self.leads[place[known]]
+            piece = self.node_id[node] >= 0
+            starts.append(at[piece])
+            nodes.append(node[piece])
+            lengths.append(np.full(piece.sum(), size))
+            if size == 1:
+                single[at[piece]] = True
+            inside = at + size < ends[at]
+            at, node = at[inside], node[inside]
+        bare = np.flatnonzero(~single)
+        c = codes[bare]
+        n_bytes = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+        nodes = np.concatenate(nodes)
+        return (np.concatenate([*starts, bare]), np.concatenate([*lengths, np.ones(len(bare), np.int64)]),
+                np.concatenate([self.node_id[nodes], np.full(len(bare), -1)]),
+                np.concatenate([self.node_score[nodes], self.unknown * n_bytes]))
+
+    def two_best_of(self, chunks: list[str]) -> list[tuple[float, float, tuple[int, ...]]]:
+        """``two_best`` of many chunks side by side, place by place."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        begin = np.cumsum(sizes) - sizes
+        chunk = np.repeat(np.arange(len(chunks)), sizes)
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int64)
+        start, size, ids, score = self._edges(codes, (begin + sizes)[chunk])
+        place = start - begin[chunk[start]]
+        # A chunk has a node before each character and one at its end.
+        source = start + chunk[start]
+        best, second = (np.full(len(codes) + len(chunks), _NEVER) for _ in range(2))
+        best[begin + np.arange(len(chunks))] = 0.0
+        back = np.full(len(best), -1)
+        order = np.lexsort((size, place))
+        step = place[order] << 21 | size[order]
+        cuts = np.flatnonzero(np.diff(step)) + 1
+        for edges in np.split(order, cuts):  # one start, one length: no node twice
+            s = source[edges]
+            t, x = s + size[edges], best[s] + score[edges]
+            better = x > best[t]
+            second[t] = np.maximum(np.where(better, best[t], second[t]),
+                                   np.where(better, second[s] + score[edges], x))
+            best[t] = np.where(better, x, best[t])
+            back[t[better]] = edges[better]
+        end = begin + sizes + np.arange(len(chunks))
+        at, live, used = end.copy(), np.flatnonzero(sizes), []
+        while len(live):
+            edge = back[at[live]]
+            used.append(edge)
+            at[live] -= size[edge]
+            live = live[place[edge] > 0]
+        used = np.sort(start[np.concatenate(used)] << 32 | np.concatenate(used)) & 0xFFFFFFFF
+        owner, found = chunk[start[used]], ids[used]
+        if (found < 0).any():  # the bytes of characters without a piece
+            listed = [(i,) if i >= 0 else tuple(self.byte_ids[b] for b in chr(c).encode())
+                      for i, c in zip(found.tolist(), codes[start[used]].tolist(), strict=True)]
+            owner = np.repeat(owner, list(map(len, listed)))
+            found = np.fromiter(chain.from_iterable(listed), np.int64, len(owner))
+        stops = np.searchsorted(owner, np.arange(len(chunks) + 1)).tolist()
+        found = found.tolist()
+        loss = np.where(second[end] > _NEVER / 2, best[end] - second[end], -_NEVER)
+        return [(b, x, tuple(found[i:j])) for b, x, i, j in zip(
+            best[end].tolist(), loss.tolist(), stops, stops[1:], strict=False)]
+
+    def lattice(self, text: str) -> tuple[list[list], list[float]]:
         """Edges (start, score, ids) into each node, and the forward Viterbi scores."""
         n, table = len(text), self.table
         into: list[list] = [[] for _ in range(n + 1)]
-        best = [0] + [_NEVER] * n
+        best = [0.0] + [_NEVER] * n
         for i in range(n):
             here = best[i]
             if table.get(text[i]) is None:
@@ -99,10 +187,10 @@ class Pieces:
                     break
         return into, best
 
-    def two_best(self, text: str) -> tuple[int, int, tuple[int, ...]]:
+    def two_best(self, text: str) -> tuple[float, float, tuple[int, ...]]:
         """Best score, what the second best loses, and the best ids: forward Viterbi alone."""
         n, root = len(text), self.tree
-        best, second = [0] + [_NEVER] * n, [_NEVER] * (n + 1)
+        best, second = [0.0] + [_NEVER] * n, [_NEVER] * (n + 1)
         back: list = [None] * (n + 1)
         for i in range(n):
             b, c = best[i], second[i]
@@ -136,7 +224,7 @@ class Pieces:
         loss = best[n] - second[n] if second[n] > _NEVER // 2 else -_NEVER
         return best[n], loss, tuple(chain.from_iterable(reversed(parts)))
 
-    def search(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+    def search(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of a text, best first. Of equal scores, the path that has
         come furthest goes first, so ties do not widen the search."""
         into, best = self.lattice(text)
@@ -164,23 +252,30 @@ class _Known(dict):
     def __init__(self, pieces: Pieces):
         self.pieces, self.older = pieces, {}
 
+    def put(self, chunk: str, found: tuple) -> None:
+        if len(self) >= CACHED_CHUNKS:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = found
+
     def __missing__(self, chunk: str) -> tuple:
         got = self.older.get(chunk)
         if got is None:
             got = self.pieces.two_best(chunk)
-        if len(self) >= CACHED_CHUNKS:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = got
+        self.put(chunk, got)
         return got
 
 
+def chunks_of(text: str) -> list[str]:
+    return _CHUNK.findall(f" {text}") if text else []
+
+
 class Encoder:
     def __init__(self, pieces: Pieces, n: int):
         self.pieces, self.n, self.known = pieces, n, _Known(pieces)
         self.lists: dict[str, list] = {}
 
-    def others(self, chunk: str) -> list[tuple[int, tuple[int, ...]]]:
+    def others(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
         """The next best (score, ids) of a chunk behind the one that Viterbi chose."""
         if len(self.lists) >= CACHED_CHUNKS // 20:
             self.lists.clear()
@@ -190,19 +285,28 @@ class Encoder:
             self.lists[chunk] = [f for f in found if f[1] != chosen][: self.n - 1]
         return self.lists[chunk]
 
-    def encode(self, text: str) -> list[tuple[int, np.ndarray]]:
-        """The n best (score, ids) of a whole text, best first."""
-        if not text:
-            return [(0, np.zeros(0, np.int32))]
-        chunks = _CHUNK.findall(f" {text}")
+    def learn(self, texts: list[list[str]]) -> None:
+        """Viterbi for all chunks of the texts that are not known, side by side; very long ones wait
+        until they are asked for."""
+        fresh = [c for c in set(chain.from_iterable(texts)) - self.known.keys() - self.known.older.keys() if len(c) <= LONG_CHUNK]
+        for a in range(0, len(fresh), TOGETHER):
+            some = fresh[a:a + TOGETHER]
+            for chunk, found in zip(some, self.pieces.two_best_of(some), strict=True):
+                self.known.put(chunk, found)
+
+    def choices(self, chunks: list[str]) -> tuple[np.ndarray, list[tuple[float, list[tuple]]]]:
+        """Ids of the best segmentation, and of each of the n best its score and where it differs:
+        (begin, end, other ids) in the best one's ids."""
+        if not chunks:
+            return np.zeros(0, np.int32), [(0.0, [])]
         scores, losses, ids = zip(*map(self.known.__getitem__, chunks), strict=True)
         top, best = sum(scores), np.fromiter(chain.from_iterable(ids), np.int32)
         if self.n == 1:
-            return [(top, best)]
+            return best, [(top, [])]
         ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
         # The n - 1 chunks whose second best loses least; ties go to the earlier.
-        losses = np.array(losses, np.int64)
-        sums: list[tuple[int, tuple]] = [(0, ())]
+        losses = np.array(losses, np.float64)
+        sums: list[tuple[float, tuple]] = [(0.0, ())]
         for i in np.argsort(losses, kind="stable")[: self.n - 1].tolist():
             if losses[i] == -_NEVER:
                 break
@@ -210,14 +314,35 @@ class Encoder:
             sums = nsmallest(self.n, chain(sums, (
                 (lost + scores[i] - score, (*choice, (i, other)))
                 for lost, choice in sums for score, other in more)))
-        out = []
-        for lost, choice in sums:
-            parts, at = [], 0
-            for i, other in sorted(choice):
-                parts += [best[at:ends[i] - len(ids[i])], np.array(other, np.int32)]
-                at = ends[i]
-            out.append((top - lost, np.concatenate([*parts, best[at:]])))
-        return out
+        return best, [
+            (top - lost, [(int(ends[i]) - len(ids[i]), int(ends[i]), other) for i, other in sorted(choice)])
+            for lost, choice in sums]
+
+    def encode(self, text: str) -> list[tuple[float, np.ndarray]]:
+        """The n best (score, ids) of a whole text, best first."""
+        best, found = self.choices(chunks_of(text))
+        return [(score, spliced(best, swaps)) for score, swaps in found]
+
+
+def spliced(best: np.ndarray, swaps: list[tuple]) -> np.ndarray:
+    """Ids with the stretches of ``swaps`` exchanged."""
+    parts, at = [], 0
+    for begin, end, other in swaps:
+        parts += [best[at:begin], np.array(other, np.int32)]
+        at = end
+    return np.concatenate([*parts, best[at:]]) if parts else best
+
+
+def shared_encoder(proto: bytes, n: int) -> Encoder:
+    """The encoder of this model in this Python worker: what one task has learned about chunks
+    serves the next ones as well. It holds a bounded number of chunks."""
+    name = "piece_nbest_encoders"
+    kept = vars(sys.modules.setdefault(name, ModuleType(name))).setdefault("kept", {})
+    key = (zlib.crc32(proto), len(proto), n)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Encoder(Pieces(proto), n)
+    return kept[key]
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
@@ -232,20 +357,30 @@ def encode_nbest(
     ids_crc32 (of little-endian 32-bit ids), decoded_crc32 (of the decoded text), and ``ids``."""
     proto = file_bytes(model or tokenizer_path("piece_bpe_32k.model"))
     names = ["rank", "score", "n_pieces", "ids_crc32", "decoded_crc32"]
-    types = [pa.int32(), *[pa.int64()] * 4]
+    types = [pa.int32(), pa.float64(), *[pa.int64()] * 3]
 
     def start():
         # The remembered tuples form no cycles; searching them for some takes a fifth of the time.
         gc.set_threshold(1_000_000)
-        pieces = Pieces(proto)
-        encoder = Encoder(pieces, n)
+        encoder = shared_encoder(proto, n)
+        pieces = encoder.pieces
 
         def work(batch: pa.RecordBatch):
             for part in slices(batch, "text", SLICE):
                 of, rows, kept = [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    for r, (score, ids) in enumerate(encoder.encode(text or ""), 1):
-                        text_again = decode_ids(ids.tolist(), pieces).encode()
+                texts = [chunks_of(t or "") for t in part.column("text").to_pylist()]
+                encoder.learn(texts)
+                for i, chunks in enumerate(texts):
+                    best, found = encoder.choices(chunks)
+                    # Every piece is decoded; where two segmentations agree, once.
+                    decoded = list(map(pieces.bytes_of.__getitem__, best.tolist()))
+                    for r, (score, swaps) in enumerate(found, 1):
+                        ids, again, at = spliced(best, swaps), [], 0
+                        for begin, end, other in swaps:
+                            again += decoded[at:begin]
+                            again += map(pieces.bytes_of.__getitem__, other)
+                            at = end
+                        text_again = b"".join(again + decoded[at:])[1:]
                         rows.append((r, score, len(ids), zlib.crc32(ids.astype("<u4").tobytes()),
                                      zlib.crc32(text_again)))
                         of.append(i)
@@ -259,7 +394,7 @@ def encode_nbest(
 
         return work
 
-    schema = ("doc_id bigint, rank int, score bigint, n_pieces bigint, ids_crc32 bigint, "
+    schema = ("doc_id bigint, rank int, score double, n_pieces bigint, ids_crc32 bigint, "
               "decoded_crc32 bigint" + (", ids array<int>" if keep_ids else ""))
     return map_rows(docs.select(F.col("doc_id").cast("bigint"), "text"), schema, start)
 

@@ -43,6 +43,39 @@ def test_n_best_equals_all_paths(pieces, text):
         assert {(s, tuple(i.tolist())) for s, i in got} <= set(paths)
 
 
+def test_side_by_side_equals_one_by_one(pieces):
+    rng = random.Random(6)
+    chunks = [f" {w}" for w in WORDS] + ["x", "\u0001", "  ", "\n", "▁", "汉字", " ab\u0001c\U0001f600"]
+    chunks += ["".join(rng.choice("aeionrst\u0002é汉") for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    got = pieces.two_best_of(chunks)
+    for chunk, (best, loss, ids) in zip(chunks, got, strict=True):
+        one = pieces.two_best(chunk)
+        assert best == one[0] and loss == one[1] and ids == one[2]
+
+
+@pytest.fixture(scope="module")
+def fractional():
+    """The model with scores that are no whole numbers."""
+    pb2 = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    proto = pb2.ModelProto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        proto.ParseFromString(f.read())
+    for i, piece in enumerate(proto.pieces):
+        if piece.type == 1:
+            piece.score = -5 - (i * 7919 % 1000) / 300
+    return piece_nbest.Pieces(proto.SerializeToString())
+
+
+@pytest.mark.parametrize("text", WORDS[:5])
+def test_fractional_scores_are_kept(fractional, text):
+    paths = sorted((s for s, _ in every_path(fractional, text)), reverse=True)
+    got = piece_nbest.Encoder(fractional, 5).encode(text)
+    assert [s for s, _ in got] == pytest.approx(paths[:5], abs=1e-9)
+    assert any(s != round(s) for s, _ in got)
+    if len(paths) > 5 and paths[0] - paths[4] < 1:
+        assert len({round(s) for s in paths[:5]}) < len(set(paths[:5]))
+
+
 def test_long_chunk_and_forgetting(pieces, monkeypatch):
     monkeypatch.setattr(piece_nbest, "CACHED_CHUNKS", 2)
     text = "a" * 5000 + " b c d e b c d e " + " " * 900
