@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkloom.llm import packing, quality_rules, simhash, suffix_dedup, toxicity
 from inkloom.llm.common import table
-from inkloom.plans.spread import store
+from inkloom.plans.spread import remove, scratch, shared_table_path
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bytes of a passage that may stand only once: the least that 50 short words take.
@@ -61,7 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage stores for itself goes with it, and its result when
+    the next one is written; the last result stays in the shared folder."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir))
+        path = shared_table_path(spark, "stage")
+        with scratch(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
