@@ -15,9 +15,9 @@ from inkloom.functions.svg import svg_node_count
 from inkloom.operators import palette as P
 from inkloom.operators.labels import attach_palettes, label_with
 from inkloom.operators.quality import (
-    chamfer, contingency, edge_pair, identical_masks, mask_iou, pair_palettes, sample_iou,
+    beside, chamfer, contingency, differs, identical_masks, mask_iou, pair_palettes, sample_iou,
 )
-from inkloom.plans.spread import STRIP_PIXELS, store
+from inkloom.plans.spread import STRIP_PIXELS, store, with_halo
 
 #: Columns of a record, in order; ``per_mask`` is an array ordered by palette slot.
 RECORD = [
@@ -36,14 +36,33 @@ def label_traces(
     source: DataFrame, rendered: DataFrame, palettes: DataFrame, variants: list[str],
     strip_pixels: int = STRIP_PIXELS,
 ) -> DataFrame:
-    """Both labels of each rendered pixel, with the trace's number as ``image_id``."""
-    right = rendered.select("image_id", "x", "y", _trace_id(variants).alias("trace_id"),
-                            *(F.col(c).alias(f"out_{c}") for c in "rgb"))
-    left = source.select("image_id", "x", "y", "w", "h", "r", "g", "b")
-    both = attach_palettes(left.join(right, ["image_id", "x", "y"]), palettes, strip_pixels)
-    both = label_with(both, "ref_slot", P.px())
-    both = label_with(both, "out_slot", Rgb.cols("out_r", "out_g", "out_b"))
-    return both.select(F.col("trace_id").alias("image_id"), "x", "y", "w", "h", "ref_slot", "out_slot")
+    """Both labels of each rendered pixel and whether they are edges, with the trace's number as
+    ``image_id``.
+
+    Both rasters are one table: labelled by one pass of the palettes, dealt once by trace and strip
+    with the rows next to the strip. Pairing is a grouping inside the strips and edges are windows there, so
+    pixels are exchanged a single time."""
+    n = len(variants)
+    colours = ["image_id", "x", "y", "w", "h", "r", "g", "b"]
+    both = rendered.select(*colours, _trace_id(variants).alias("trace_id")).unionByName(
+        source.select(*colours, F.lit(None).cast("bigint").alias("trace_id")))
+    labelled = label_with(attach_palettes(both, palettes, strip_pixels), "slot", P.px())
+    # A source pixel belongs to the traces of all variants.
+    trace = F.col("trace_id")
+    of = F.when(trace.isNull(), F.sequence(F.col("image_id") * n, F.col("image_id") * n + n - 1)).otherwise(
+        F.array(trace))
+    rows = labelled.select(
+        F.explode(of).alias("image_id"), *(F.col(c).cast("bigint").alias(c) for c in ("x", "y", "w", "h")),
+        F.when(trace.isNull(), F.col("slot")).alias("ref_slot"),
+        F.when(trace.isNotNull(), F.col("slot")).alias("out_slot"))
+    pairs = (
+        with_halo(rows, 1, strip_pixels)
+        .groupBy("image_id", "strip", "x", "y", "w", "h", "own")
+        .agg(F.max("ref_slot").alias("ref_slot"), F.max("out_slot").alias("out_slot"))
+        .filter("ref_slot IS NOT NULL AND out_slot IS NOT NULL"))
+    return beside(pairs, ["ref_slot", "out_slot"]).select(
+        "image_id", "x", "y", "w", "h", "ref_slot", "out_slot",
+        differs("ref_slot").alias("ref_edge"), differs("out_slot").alias("out_edge"))
 
 
 def evaluation_records(
@@ -73,7 +92,7 @@ def evaluation_records(
             "area_px"))).alias("per_mask")))
     measured = (
         sample_iou(table, masks)
-        .join(chamfer(store(edge_pair(pairs, strip_pixels)), images, strip_pixels), "image_id")
+        .join(chamfer(pairs, images, strip_pixels), "image_id")
         .join(identical_masks(table), "image_id").join(per_mask, "image_id")
         .withColumnRenamed("image_id", "trace_id"))
     facts = source.groupBy("image_id").agg(F.max("w").alias("w"), F.max("h").alias("h")).join(

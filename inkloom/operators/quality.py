@@ -170,6 +170,11 @@ def neighbour_join(
     One shuffle by strip; the row and column windows then sort within it.
     """
     placed = with_halo(labels.select("image_id", "x", "y", "w", "h", *columns), 1, strip_pixels)
+    return beside(placed, columns)
+
+
+def beside(placed: DataFrame, columns: list[str]) -> DataFrame:
+    """The same for pixels that are placed by strip with the rows next to it."""
     row = Window.partitionBy("image_id", "strip", "y").orderBy("x")
     col = Window.partitionBy("image_id", "strip", "x").orderBy("y")
     seen = placed.select(
@@ -182,7 +187,7 @@ def neighbour_join(
     return seen.filter("own").drop("own")
 
 
-def _differs(c: str) -> Column:
+def differs(c: str) -> Column:
     sides = [F.coalesce(F.col(f"{c}_{s}") != F.col(c), F.lit(False))
              for s in ("left", "right", "up", "down")]
     return sides[0] | sides[1] | sides[2] | sides[3]
@@ -191,7 +196,7 @@ def _differs(c: str) -> Column:
 def edge_map(labels: DataFrame, column: str = "slot", strip_pixels: int = STRIP_PIXELS) -> DataFrame:
     """Pixels with a differing 4-neighbour; both sides of a boundary are edges."""
     near = neighbour_join(labels, [column], strip_pixels)
-    return near.filter(_differs(column)).select("image_id", "x", "y", "w", "h")
+    return near.filter(differs(column)).select("image_id", "x", "y", "w", "h")
 
 
 def edge_pair(pairs: DataFrame, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
@@ -199,7 +204,7 @@ def edge_pair(pairs: DataFrame, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
     near = neighbour_join(pairs, ["ref_slot", "out_slot"], strip_pixels)
     return (
         near.select("image_id", "x", "y", "w", "h",
-                    _differs("ref_slot").alias("ref_edge"), _differs("out_slot").alias("out_edge"))
+                    differs("ref_slot").alias("ref_edge"), differs("out_slot").alias("out_edge"))
         .filter(F.col("ref_edge") | F.col("out_edge"))
     )
 
@@ -410,7 +415,7 @@ def self_test(
 
     edges = store(near.select(
         "image_id", "x", "y", "w", "h",
-        _differs("slot").alias("ref_edge"), _differs("moved").alias("out_edge"),
+        differs("slot").alias("ref_edge"), differs("moved").alias("out_edge"),
     ))
     base = edges.filter("ref_edge").select("image_id", "x", "y", "w", "h")
     moved = edges.filter("out_edge").select("image_id", "x", "y", "w", "h")
