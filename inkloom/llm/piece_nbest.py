@@ -27,6 +27,7 @@ import gc
 import re
 import sys
 import zlib
+from collections.abc import Iterator
 from heapq import heappop, heappush, nsmallest
 from itertools import chain
 from types import ModuleType
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from inkloom.llm.common import file_bytes, map_rows, slices, tokenizer_path
 
 N_BEST = 4
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 400_000
 _NEVER = float(-(1 << 60))
 SLICE = 2 << 20
 LONG_CHUNK, TOGETHER = 48, 40_000
@@ -120,8 +121,9 @@ class Pieces:
                 np.concatenate([self.node_id[nodes], np.full(len(bare), -1)]),
                 np.concatenate([self.node_score[nodes], self.unknown * n_bytes]))
 
-    def two_best_of(self, chunks: list[str]) -> list[tuple[float, float, tuple[int, ...]]]:
-        """``two_best`` of many chunks side by side, place by place."""
+    def two_best_of(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        """``two_best`` of many chunks side by side, place by place: best scores, losses, numbers of
+        pieces, and all their ids one after the other."""
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         begin = np.cumsum(sizes) - sizes
         chunk = np.repeat(np.arange(len(chunks)), sizes)
@@ -158,11 +160,8 @@ class Pieces:
                       for i, c in zip(found.tolist(), codes[start[used]].tolist(), strict=True)]
             owner = np.repeat(owner, list(map(len, listed)))
             found = np.fromiter(chain.from_iterable(listed), np.int64, len(owner))
-        stops = np.searchsorted(owner, np.arange(len(chunks) + 1)).tolist()
-        found = found.tolist()
         loss = np.where(second[end] > _NEVER / 2, best[end] - second[end], -_NEVER)
-        return [(b, x, tuple(found[i:j])) for b, x, i, j in zip(
-            best[end].tolist(), loss.tolist(), stops, stops[1:], strict=False)]
+        return best[end], loss, np.bincount(owner, minlength=len(chunks)), found
 
     def lattice(self, text: str) -> tuple[list[list], list[float]]:
         """Edges (start, score, ids) into each node, and the forward Viterbi scores."""
@@ -245,25 +244,44 @@ class Pieces:
         return out
 
 
-class _Known(dict):
-    """(best score, loss of the second best, best ids) by chunk. When there are too many, those
-    not asked for since the last time are forgotten."""
+class Chunks:
+    """What Viterbi found for chunks, as columns by a chunk's number; all are forgotten, between
+    slices of texts, when there are too many."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.older = pieces, {}
-
-    def put(self, chunk: str, found: tuple) -> None:
-        if len(self) >= CACHED_CHUNKS:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = found
-
-    def __missing__(self, chunk: str) -> tuple:
-        got = self.older.get(chunk)
-        if got is None:
-            got = self.pieces.two_best(chunk)
-        self.put(chunk, got)
-        return got
+        self.pieces = pieces
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.raw: list[bytes] = []
+        self.columns = [np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        self.starts = np.zeros(0, np.int64)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Viterbi for the chunks that are not known: side by side, very long ones one by one."""
+        if len(self.number) >= CACHED_CHUNKS:
+            self.forget()
+        fresh = list({c for c, i in zip(chunks, map(self.number.get, chunks), strict=True) if i is None})
+        if not fresh:
+            return
+        fresh.sort(key=len)
+        short = sum(len(c) <= LONG_CHUNK for c in fresh)
+        found = [self.pieces.two_best_of(fresh[a:min(a + TOGETHER, short)]) for a in range(0, short, TOGETHER)]
+        for chunk in fresh[short:]:
+            score, loss, ids = self.pieces.two_best(chunk)
+            found.append(([score], [loss], [len(ids)], ids))
+        new = [np.concatenate(c) for c in zip(*found, strict=True)]
+        spelled, at = list(map(self.pieces.bytes_of.__getitem__, new[3].tolist())), 0
+        for n in new[2].tolist():
+            self.raw.append(b"".join(spelled[at:at + n]))
+            at += n
+        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+        self.columns = [np.concatenate([c, f.astype(c.dtype)]) for c, f in zip(self.columns, new, strict=True)]
+        self.starts = np.cumsum(self.columns[2]) - self.columns[2]
+
+    def ids_of(self, i: int) -> tuple[int, ...]:
+        return tuple(self.columns[3][self.starts[i]:self.starts[i] + self.columns[2][i]].tolist())
 
 
 def chunks_of(text: str) -> list[str]:
@@ -272,62 +290,63 @@ def chunks_of(text: str) -> list[str]:
 
 class Encoder:
     def __init__(self, pieces: Pieces, n: int):
-        self.pieces, self.n, self.known = pieces, n, _Known(pieces)
+        self.pieces, self.n, self.known = pieces, n, Chunks(pieces)
         self.lists: dict[str, list] = {}
 
-    def others(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
+    def others(self, chunk: str, chosen: int) -> list[tuple[float, tuple[int, ...]]]:
         """The next best (score, ids) of a chunk behind the one that Viterbi chose."""
         if len(self.lists) >= CACHED_CHUNKS // 20:
             self.lists.clear()
         if chunk not in self.lists:
-            found = self.pieces.search(chunk, self.n)
-            chosen = self.known[chunk][2]
-            self.lists[chunk] = [f for f in found if f[1] != chosen][: self.n - 1]
+            found, best = self.pieces.search(chunk, self.n), self.known.ids_of(chosen)
+            self.lists[chunk] = [f for f in found if f[1] != best][: self.n - 1]
         return self.lists[chunk]
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Viterbi for all chunks of the texts that are not known, side by side; very long ones wait
-        until they are asked for."""
-        fresh = [c for c in set(chain.from_iterable(texts)) - self.known.keys() - self.known.older.keys() if len(c) <= LONG_CHUNK]
-        for a in range(0, len(fresh), TOGETHER):
-            some = fresh[a:a + TOGETHER]
-            for chunk, found in zip(some, self.pieces.two_best_of(some), strict=True):
-                self.known.put(chunk, found)
-
-    def choices(self, chunks: list[str]) -> tuple[np.ndarray, list[tuple[float, list[tuple]]]]:
-        """Ids of the best segmentation, and of each of the n best its score and where it differs:
-        (begin, end, other ids) in the best one's ids."""
-        if not chunks:
-            return np.zeros(0, np.int32), [(0.0, [])]
-        scores, losses, ids = zip(*map(self.known.__getitem__, chunks), strict=True)
-        top, best = sum(scores), np.fromiter(chain.from_iterable(ids), np.int32)
-        if self.n == 1:
-            return best, [(top, [])]
-        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        # The n - 1 chunks whose second best loses least; ties go to the earlier.
-        losses = np.array(losses, np.float64)
-        sums: list[tuple[float, tuple]] = [(0.0, ())]
-        for i in np.argsort(losses, kind="stable")[: self.n - 1].tolist():
-            if losses[i] == -_NEVER:
-                break
-            more = self.others(chunks[i])
-            sums = nsmallest(self.n, chain(sums, (
-                (lost + scores[i] - score, (*choice, (i, other)))
-                for lost, choice in sums for score, other in more)))
-        return best, [
-            (top - lost, [(int(ends[i]) - len(ids[i]), int(ends[i]), other) for i, other in sorted(choice)])
-            for lost, choice in sums]
+    def choices(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[bytes], list[tuple]]]:
+        """For each text the ids of its best segmentation, the decoded bytes of its chunks, and of each of
+        the n best its score and where it differs: (begin, end, chunk, other ids)."""
+        split = list(map(chunks_of, texts))
+        every = list(chain.from_iterable(split))
+        known = self.known
+        known.learn(every)
+        number = np.fromiter(map(known.number.__getitem__, every), np.int64, len(every))
+        score, loss, sizes, flat = known.columns
+        score, loss, sizes = score[number], loss[number], sizes[number]
+        ends = np.cumsum(sizes)
+        ids = flat[np.repeat(known.starts[number] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        raw = list(map(known.raw.__getitem__, number.tolist()))
+        ends = np.append(0, ends)  # of the chunk before
+        at = 0
+        for chunks in split:
+            a, at = at, at + len(chunks)
+            if not chunks:
+                yield ids[:0], [], [(0.0, [])]
+                continue
+            top, begin = float(score[a:at].sum()), ends[a]
+            # The n - 1 chunks whose second best loses least; ties go to the earlier.
+            sums: list[tuple[float, tuple]] = [(0.0, ())]
+            for i in np.argsort(loss[a:at], kind="stable")[: self.n - 1].tolist():
+                if loss[a + i] == -_NEVER:
+                    break
+                more = self.others(chunks[i], number[a + i])
+                own = float(score[a + i])
+                sums = nsmallest(self.n, chain(sums, (
+                    (lost + own - s, (*choice, (i, other))) for lost, choice in sums for s, other in more)))
+            yield ids[begin:ends[at]], raw[a:at], [
+                (top - lost, [(int(ends[a + i] - begin), int(ends[a + i + 1] - begin), i, other)
+                              for i, other in sorted(choice)])
+                for lost, choice in sums]
 
     def encode(self, text: str) -> list[tuple[float, np.ndarray]]:
         """The n best (score, ids) of a whole text, best first."""
-        best, found = self.choices(chunks_of(text))
+        best, _, found = next(self.choices([text]))
         return [(score, spliced(best, swaps)) for score, swaps in found]
 
 
 def spliced(best: np.ndarray, swaps: list[tuple]) -> np.ndarray:
     """Ids with the stretches of ``swaps`` exchanged."""
     parts, at = [], 0
-    for begin, end, other in swaps:
+    for begin, end, _, other in swaps:
         parts += [best[at:begin], np.array(other, np.int32)]
         at = end
     return np.concatenate([*parts, best[at:]]) if parts else best
@@ -368,21 +387,16 @@ def encode_nbest(
         def work(batch: pa.RecordBatch):
             for part in slices(batch, "text", SLICE):
                 of, rows, kept = [], [], []
-                texts = [chunks_of(t or "") for t in part.column("text").to_pylist()]
-                encoder.learn(texts)
-                for i, chunks in enumerate(texts):
-                    best, found = encoder.choices(chunks)
-                    # Every piece is decoded; where two segmentations agree, once.
-                    decoded = list(map(pieces.bytes_of.__getitem__, best.tolist()))
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for i, (best, raw, found) in enumerate(encoder.choices(texts)):
                     for r, (score, swaps) in enumerate(found, 1):
-                        ids, again, at = spliced(best, swaps), [], 0
-                        for begin, end, other in swaps:
-                            again += decoded[at:begin]
-                            again += map(pieces.bytes_of.__getitem__, other)
-                            at = end
-                        text_again = b"".join(again + decoded[at:])[1:]
+                        ids, again = spliced(best, swaps), raw
+                        if swaps:  # every piece is decoded; where two segmentations agree, once
+                            again = raw.copy()
+                            for _, _, c, other in swaps:
+                                again[c] = b"".join(map(pieces.bytes_of.__getitem__, other))
                         rows.append((r, score, len(ids), zlib.crc32(ids.astype("<u4").tobytes()),
-                                     zlib.crc32(text_again)))
+                                     zlib.crc32(b"".join(again)[1:])))
                         of.append(i)
                         if keep_ids:
                             kept.append(ids)

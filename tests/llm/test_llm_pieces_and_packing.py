@@ -47,10 +47,11 @@ def test_side_by_side_equals_one_by_one(pieces):
     rng = random.Random(6)
     chunks = [f" {w}" for w in WORDS] + ["x", "\u0001", "  ", "\n", "▁", "汉字", " ab\u0001c\U0001f600"]
     chunks += ["".join(rng.choice("aeionrst\u0002é汉") for _ in range(rng.randint(1, 30))) for _ in range(200)]
-    got = pieces.two_best_of(chunks)
-    for chunk, (best, loss, ids) in zip(chunks, got, strict=True):
-        one = pieces.two_best(chunk)
-        assert best == one[0] and loss == one[1] and ids == one[2]
+    best, loss, sizes, ids = pieces.two_best_of(chunks)
+    at = 0
+    for i, chunk in enumerate(chunks):
+        assert (best[i], loss[i], tuple(ids[at:at + sizes[i]])) == pieces.two_best(chunk)
+        at += sizes[i]
 
 
 @pytest.fixture(scope="module")
