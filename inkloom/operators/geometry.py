@@ -543,12 +543,15 @@ def _path_steps(paths: DataFrame, key: list[str]) -> DataFrame:
         .withColumn("group", F.when(F.col("is_cmd"), -1).otherwise(int_div(k, arity)))
         .withColumn("arg", F.when(F.col("is_cmd"), 0).otherwise(k % arity))
         .withColumn("num", F.when(~F.col("is_cmd"), F.expr("try_cast(tok AS DOUBLE)")))
-        .groupBy(*key, "cmd_pos", "group", "raw").agg(
+        # The block of a step's first token, which serves all that follows.
+        .withColumn("blk", _block(F.when(F.col("is_cmd"), F.col("pos")).otherwise(
+            F.col("cmd_pos") + 1 + F.col("group") * arity), TOKENS))
+        .repartition(*key, "blk")
+        .groupBy(*key, "blk", "cmd_pos", "group", "raw").agg(
             F.min("pos").alias("pos"), F.min("bad").alias("bad"), F.count("num").alias("cnt"),
             *(F.max(F.when(F.col("arg") == j, F.col("num"))).alias(f"a{j}") for j in range(7)))
         .withColumn("bad", F.when((F.col("group") >= 0) & (F.col("cnt") < arity), F.col("pos"))
                     .otherwise(F.col("bad")))
-        .withColumn("blk", _block("pos", TOKENS)).repartition(*key, "blk")
     )
     stops = steps.groupBy(*key, "blk").agg(F.min("bad").alias("bad")).select(
         *key, "blk", F.min("bad").over(Window.partitionBy(*key)).alias("stop"))

@@ -213,13 +213,23 @@ def background_from_counts(working: DataFrame) -> DataFrame:
         for i, c in enumerate("rgb")))
 
 
+def with_background(counts: DataFrame, background: DataFrame) -> DataFrame:
+    """Colour rows with the background ``bg_r, bg_g, bg_b`` of their image.
+
+    The key carries the red channel's high bits and a background row comes once for each of
+    them, so an image that holds a third of all colours is joined by many tasks."""
+    facts = background.select("image_id", "bg_r", "bg_g", "bg_b", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))).alias("_part"))
+    keyed = counts.withColumn("_part", F.shiftright(F.col("r").cast("bigint"), 4))
+    return keyed.join(facts, ["image_id", "_part"]).drop("_part")
+
+
 def ink_counts(counts: DataFrame, background: DataFrame) -> DataFrame:
     """Colour counts outside the background's snapping distance."""
-    facts = background.select("image_id", "bg_r", "bg_g", "bg_b")
     if "hits" in counts.columns:
         counts = counts.filter(F.col("n") > 0).select(
             "image_id", "r", "g", "b", "n", "first_ord")
-    return counts.join(facts, "image_id").filter(rgb_dist2(px(), bg()) > BG_DIST2)
+    return with_background(counts, background).filter(rgb_dist2(px(), bg()) > BG_DIST2)
 
 
 def color_clusters(counts: DataFrame) -> DataFrame:
@@ -641,8 +651,7 @@ def extract_colors(pixels: DataFrame, max_colors: int = 4) -> DataFrame:
 
 def bg_dedupe(inks: DataFrame, background: DataFrame) -> DataFrame:
     """Ink rows that are not within the merge distance of their image's background."""
-    facts = background.select("image_id", "bg_r", "bg_g", "bg_b")
-    return inks.join(facts, "image_id").filter(rgb_dist2(px(), bg()) > MERGE_DIST2).drop(
+    return with_background(inks, background).filter(rgb_dist2(px(), bg()) > MERGE_DIST2).drop(
         "bg_r", "bg_g", "bg_b"
     )
 
@@ -707,13 +716,12 @@ def white_fraction(pixels: DataFrame) -> DataFrame:
 def colour_families(counts: DataFrame, background: DataFrame) -> DataFrame:
     """Green-ish and gold-ish pixel counts, and how many of the green ones snap to background."""
     snapped = rgb_dist2(px(), bg()) <= BG_DIST2
-    facts = background.select("image_id", "bg_r", "bg_g", "bg_b")
 
     def count(flag: Column) -> Column:
         return F.sum(F.when(flag, F.col("n")).otherwise(0))
 
     return (
-        counts.join(facts, "image_id")
+        with_background(counts, background)
         .groupBy("image_id")
         .agg(
             F.sum("n").alias("n_px"),
