@@ -118,7 +118,10 @@ def _cut(rows: list[tuple[np.ndarray, int]]) -> float:
     clean, toxic = np.sort(sums[label == 0]), np.sort(sums[label == 1])
     caught = 1 - np.arange(len(toxic)) / len(toxic)
     alarms = 1 - np.searchsorted(clean, toxic, "left") / len(clean)
-    lowest = toxic[np.argmax(caught - ALARM_COST * alarms)]
+    gain = caught - ALARM_COST * alarms
+    if gain.max() <= 0:  # nothing learned that tells them apart: the model's own cut
+        return 0.0
+    lowest = toxic[np.argmax(gain)]
     return float((lowest + max(sums[sums < lowest], default=lowest)) / 2)
 
 

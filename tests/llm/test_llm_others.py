@@ -273,15 +273,25 @@ def test_learner_equals_a_plain_one():
 def test_cut_leaves_clean_rows_below():
     """The intercept of a sample with few toxic rows: hardly a clean row above it."""
     rng = np.random.default_rng(4)
-    rows = []
-    for i in range(900):
-        y = int(i % 12 == 0)
-        f = set(rng.integers(100, 3000, 40).tolist()) | (set(rng.integers(0, 12, 2).tolist()) if y else set())
-        rows.append((np.array(sorted(f), np.int32), y))
-    at, w = toxicity._train(rows)
-    dense = np.zeros(toxicity.BIAS + 1)
-    dense[at] = w
-    sums = np.array([dense[toxicity.BIAS] + dense[f].sum() for f, _ in rows])
-    label = np.array([y for _, y in rows])
-    assert (sums[label == 0] >= 0).mean() <= 0.01 and (sums[label == 1] >= 0).mean() >= 0.9
-    assert toxicity._cut([(f, 1) for f, _ in rows[:9]]) == 0.0
+
+    def rows(special, n=1500):
+        out = []
+        for i in range(n):
+            y = int(i % 10 == 0)
+            f = set(rng.integers(100, 3000, 40).tolist()) | (set(rng.integers(0, 8, special).tolist()) if y else set())
+            out.append((np.array(sorted(f), np.int32), y))
+        return out
+
+    def shares(sample):
+        at, w = toxicity._train(sample)
+        dense = np.zeros(toxicity.BIAS + 1)
+        dense[at] = w
+        sums = np.array([dense[toxicity.BIAS] + dense[f].sum() for f, _ in sample])
+        label = np.array([y for _, y in sample])
+        return (sums[label == 0] >= 0).mean(), (sums[label == 1] >= 0).mean()
+
+    clean, toxic = shares(rows(4))
+    assert clean <= 0.01 and toxic >= 0.9
+    # Nothing to learn, or one class: the cut stays where it is.
+    assert toxicity._cut([(np.array([1], np.int32), i % 2) for i in range(60)]) == 0.0
+    assert toxicity._cut([(f, 1) for f, _ in rows(1, 9)]) == 0.0
