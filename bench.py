@@ -33,7 +33,7 @@ HEADLINE = [
 ]
 
 
-LARGE_IMAGES, ENLARGED = 8, 42
+LARGE_IMAGES, ENLARGED = 4, 42
 
 
 def large(spark, sf_dir: str) -> dict:
