@@ -10,9 +10,12 @@ A text may still contain the string of a mark, or another model's control string
 there already; afterwards no control string is left in the text, and ``unescape`` restores it.
 
 ``format_turns`` gives one row per turn, numbered within its conversation by (turn, role, text),
-so a conversation of any length is many rows, never one value. Encoding happens before the
-shuffle; the windows then number the turns and sum the token counts. ``read_back`` parses the ids of
-each conversation in order with running digests, in constant memory.
+so a conversation of any length is many rows, never one value. Encoded turns are stored, then
+numbered and summed in ranges of ``TURNS`` turns, so a conversation with a third of all turns is
+spread over many tasks; the ranges' own counts, one light row each, shift them to their place. Rows
+that share a turn stay in one range, sorted with spilling. ``read_back`` parses the ids of each
+conversation in order with running digests, in constant memory; a digest is sequential, so that part
+is one task per conversation. Texts are encoded in slices of ``SLICE`` bytes.
 
 Null texts and roles count as empty; a null conv_id is a conversation of its own; null turns come
 first; repeated rows are turns of their own; an empty table gives no rows; other columns are
@@ -30,8 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import file_bytes, map_rows, tokenizer_path
+from inkloom.llm.common import file_bytes, map_rows, slices, tokenizer_path
+from inkloom.plans.spread import store
 
+#: Turns of a range, as a power of two.
+TURNS = 10
+SLICE = 4 << 20
 ESCAPE = "\x1b"
 # Control strings of common chat templates.
 CONTROL = [
@@ -119,15 +126,16 @@ def format_turns(
             return assemble([*head, (body, role in t.learned), ([end], False)])
 
         def work(batch: pa.RecordBatch):
-            got = [turn(r, x) for r, x in zip(
-                batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            offsets = np.cumsum([0, *(len(ids) for ids, _ in got)]).astype(np.int32)
-            lists = [
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts)))
-                for parts in ([i for i, _ in got], [m for _, m in got])]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("conv_id", "turn", "role", "text")), *lists],
-                names=["conv_id", "turn", "role", "text", "ids", "mask"])
+            for part in slices(batch, "text", SLICE):
+                got = [turn(r, x) for r, x in zip(
+                    part.column("role").to_pylist(), part.column("text").to_pylist(), strict=True)]
+                offsets = np.cumsum([0, *(len(ids) for ids, _ in got)]).astype(np.int32)
+                lists = [
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts)))
+                    for parts in ([i for i, _ in got], [m for _, m in got])]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("conv_id", "turn", "role", "text")), *lists],
+                    names=["conv_id", "turn", "role", "text", "ids", "mask"])
 
         return work
 
@@ -136,16 +144,28 @@ def format_turns(
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     schema = ("conv_id bigint, turn bigint, role string, text string, ids array<int>, "
               "mask array<boolean>")
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    n = F.size("ids") + F.when(F.col("seq") == 0, 1).otherwise(0)
+    # Keys without nulls, so that the windows and the join share one partitioning.
+    keys = ["_conv", "_none", "_range"]
+    encoded = store(map_rows(rows, schema, start)).select(
+        "*", F.coalesce("conv_id", F.lit(0)).alias("_conv"), F.isnull("conv_id").alias("_none"),
+        F.coalesce(F.shiftright("turn", TURNS), F.lit(-(1 << 63))).alias("_range"))
+    n = F.size("ids").cast("bigint")
+    ranges = Window.partitionBy("_conv", "_none").orderBy("_range")
+    before = encoded.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), F.sum(n).alias("_s")).select(
+        *keys, (F.sum("_c").over(ranges) - F.col("_c")).alias("_turns"),
+        (F.sum("_s").over(ranges) - F.col("_s")).alias("_tokens"))
+    order = Window.partitionBy(*keys).orderBy("turn", "role", "text")
+    so_far = F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)) - n
     first = F.col("seq") == 0
     return (
-        map_rows(rows, schema, start)
-        .withColumn("seq", (F.row_number().over(order) - 1).cast("bigint"))
-        .withColumn("start", F.sum(n.cast("bigint")).over(
-            order.rowsBetween(Window.unboundedPreceding, 0)) - n)
+        encoded.withColumn("_k", F.row_number().over(order) - 1)
+        .withColumn("_b", so_far)
+        .join(before, keys)
+        .withColumn("seq", F.col("_k") + F.col("_turns"))
         .select(
-            "conv_id", "seq", "start",
+            "conv_id", "seq",
+            # The conversation's own mark stands before the first turn.
+            F.when(first, 0).otherwise(F.col("_b") + F.col("_tokens") + 1).alias("start"),
             F.when(first, F.concat(F.array(F.lit(begin)), "ids")).otherwise(F.col("ids")).alias("ids"),
             F.when(first, F.concat(F.array(F.lit(False)), "mask")).otherwise(F.col("mask"))
             .alias("mask"))

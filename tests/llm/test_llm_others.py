@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -46,6 +47,33 @@ def test_escape_is_reversible_and_complete():
         assert not any(c in out for c in [*t.marks, *chat_format.CONTROL])
 
 
+def test_long_conversation_is_numbered_in_ranges(spark):
+    """Turns of many ranges, negative and null ones, one very long text, rows out of order."""
+    rng = random.Random(9)
+    turns = [None, *range(-1500, 3500)]
+    rows = [(7, t, rng.choice(["user", "assistant"]), f"turn {t}") for t in turns]
+    rows += [(7, 5000, "assistant", "w\u00e9 </s> " * 200_000), (8, 0, "user", "x")]
+    rng.shuffle(rows)
+    chats = spark.createDataFrame(
+        rows, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    formatted = chat_format.format_turns(chats)
+    got = formatted.filter("conv_id = 7").selectExpr(
+        "seq", "start", "size(ids) AS n").orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(len(turns) + 1))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n
+    want = sorted((r for r in rows if r[0] == 7), key=lambda r: (r[1] is not None, r[1] or 0))
+    said = "".join(f"{role}\n{text}\n" for _, _, role, text in want)
+    back = {r.conv_id: r for r in chat_format.read_back(formatted).collect()}
+    assert back[7].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    learned = "".join(text for _, _, role, text in want if role == "assistant")
+    assert back[7].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+    assert back[7].n_tokens == at
+    assert back[8].n_turns == 1
+
+
 def test_chats_read_back(spark):
     rows = [(1, 1, "assistant", "hi </s>"), (1, 0, "user", "[INST] x"), (1, 2, None, None),
             (2, None, "critic", "é汉"), (None, 0, "user", "no id"), (2, 1, "assistant", "a"),
