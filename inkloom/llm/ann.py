@@ -9,8 +9,11 @@ exact inner product in double precision, summed in the order of the components,
 vectors tie exactly and ties go to the smaller id.
 
 Scale: the model is sample-sized, whatever the table. A partition, even one that holds a third of
-all vectors, is dealt into blocks of about ``BLOCK`` rows; a query visits each block of its partitions and
-takes the best ``k`` from each, which a window then merges. No block is skipped.
+all vectors, is dealt into slices of ``BLOCK`` rows, into ``SLICES`` longer ones beyond that, and the queries
+that ask it into groups of ``QUERY_BYTES``. A unit of work is a group and a slice: the group's queries
+are held with their best ``k`` so far while the slice's vectors stream past, so memory is bounded. A query
+yields ``k`` candidates per slice, at most ``k * SLICES`` per partition however large the table; a window
+merges them. For a given query set vectors are moved once. No slice is skipped.
 
 Vectors that are null, zero, of another length than most of the sample, or hold null or
 non-finite components take no part, neither do rows with a null vec_id. Of rows that share a
@@ -35,6 +38,8 @@ K = 20
 SAMPLE = 8192
 PARTITIONS = 32
 BLOCK = 8192
+SLICES = 64
+QUERY_BYTES = 64 << 20
 TARGET = 0.95
 GRAPH_NEAR = 16
 HIDDEN = 128
@@ -187,24 +192,43 @@ def dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
-    """Query rows, candidate columns of the ``k`` best; ``ids`` ascend, so ties keep that order."""
-    rows, columns = [], []
-    for i, s in enumerate(score):
-        fit_ = np.flatnonzero(ids != own[i])
-        if len(fit_) > k:
-            s_ = s[fit_]
-            least = np.partition(s_, len(s_) - k)[len(s_) - k]
-            fit_ = fit_[s_ >= least]
-        fit_ = fit_[np.argsort(-s[fit_], kind="stable")][:k]
-        rows.append(np.full(len(fit_), i))
-        columns.append(fit_)
-    return np.concatenate(rows), np.concatenate(columns)
+class Best:
+    """The ``k`` best of what has passed by, for each of the queries ``q`` (with ids ``own``). Ids
+    ascend, so of equal scores the earlier stays."""
+
+    def __init__(self, own: np.ndarray, q: np.ndarray, k: int):
+        self.own, self.q, self.k = own, q, k
+        self.score = np.full((len(q), k), -np.inf)
+        self.near = np.zeros((len(q), k), np.int64)
+
+    def take(self, ids: np.ndarray, x: np.ndarray, chunk: int = 64) -> None:
+        for a in range(0, len(self.q), chunk):
+            s = dot(self.q[a:a + chunk], x)
+            own = self.own[a:a + chunk]
+            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            s[np.flatnonzero(ids[at] == own), at[ids[at] == own]] = -np.inf
+            better = s > self.score[a:a + chunk, -1:]
+            for i in np.flatnonzero(better.any(axis=1)):
+                new = np.flatnonzero(better[i])
+                if len(new) > self.k:
+                    least = np.partition(s[i, new], len(new) - self.k)[len(new) - self.k]
+                    new = new[s[i, new] >= least]
+                score = np.concatenate((self.score[a + i], s[i, new]))
+                order = np.argsort(-score, kind="stable")[:self.k]
+                self.near[a + i] = np.concatenate((self.near[a + i], ids[new]))[order]
+                self.score[a + i] = score[order]
+
+    def batches(self, rows: int = 1 << 14):
+        for a in range(0, len(self.q), rows):
+            i, j = np.nonzero(self.score[a:a + rows] > -np.inf)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (self.own[a + i], self.near[a + i, j], self.score[a + i, j])],
+                names=["query_id", "vec_id", "score"])
 
 
 def search(
     vectors: DataFrame, every: int, k: int = K, sample: int = SAMPLE, parts: int = PARTITIONS,
-    block: int = BLOCK, target: float = TARGET,
+    block: int = BLOCK, target: float = TARGET, slices: int = SLICES, query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: neighbours of the vectors whose id ``every`` divides."""
     rows = store(valid(vectors))
@@ -243,24 +267,29 @@ def search(
         rows, "vec_id bigint, v array<double>, part int, probes array<int>", start))
     # At most ``parts`` rows.
     held = {p: n for p, n in filed.groupBy("part").count().collect()}
-    blocks = {p: -(-n // block) for p, n in held.items()}
-    n_blocks = F.coalesce(*[F.when(F.col("part") == p, F.lit(n)) for p, n in blocks.items()]) \
-        if blocks else F.lit(1)
-    base = filed.select(
-        "part", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int").alias("block"),
-        F.lit(False).alias("asks"), "vec_id", "v")
+    cuts = {p: min(-(-n // block), slices) for p, n in held.items()}
+    group = max(1, query_bytes // (8 * dim + 16 * k))
     asked = filed.filter(F.col("vec_id") % every == 0)
 
-    def asking(queries: DataFrame, to: Column) -> DataFrame:
-        return (
-            queries.select("vec_id", "v", F.explode(to).alias("part"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-            .select("part", "block", F.lit(True).alias("asks"), "vec_id", "v"))
+    def by_part(numbers: dict[int, int]) -> Column:
+        return F.coalesce(*[F.when(F.col("part") == p, n) for p, n in numbers.items()], F.lit(0))
+
+    def each(n: Column) -> Column:
+        return F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
+
+    def dealt(n: Column, seed: int) -> Column:
+        return F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.greatest(n, F.lit(1))).cast("int")
 
     def run(batches):
-        unit, members, ids, x = None, [], None, None
+        unit, queries, members, n = None, [], [], 0
+
+        def passed():
+            t = pa.Table.from_batches(members).combine_chunks()
+            state.take(t.column("vec_id").to_numpy(), _matrix(t.column("v").chunk(0)))
+
+        state = None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("part", "block")])
+            keys = np.stack([batch.column(c).to_numpy() for c in ("part", "slice", "group")])
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
             new = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0) |
                                  (asks[1:] != asks[:-1])) + 1
@@ -269,30 +298,45 @@ def search(
                     continue
                 part = batch.slice(a, b - a)
                 if (key := tuple(keys[:, a])) != unit:
-                    unit, members, x = key, [], None
-                if not asks[a]:
-                    members.append(part)
-                    continue
-                if not members:
+                    if members:
+                        passed()
+                    if state:
+                        yield from state.batches()
+                    unit, queries, members, n, state = key, [], [], 0, None
+                if asks[a]:
+                    queries.append(part)
                     continue
-                if x is None:  # the unit's members are complete
-                    t = pa.Table.from_batches(members).combine_chunks()
-                    ids, x = t.column("vec_id").to_numpy(), _matrix(t.column("v").chunk(0))
-                own, q = part.column("vec_id").to_numpy(), _matrix(part.column("v"))
-                for c in range(0, len(q), 64):
-                    s = dot(q[c:c + 64], x)
-                    i, j = best(s, ids, own[c:c + 64], k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[c + i]), pa.array(ids[j]), pa.array(s[i, j])],
-                        names=["query_id", "vec_id", "score"])
-
-    def meet(queries: DataFrame) -> DataFrame:
+                if state is None:
+                    if not queries:
+                        continue
+                    t = pa.Table.from_batches(queries).combine_chunks()
+                    state = Best(t.column("vec_id").to_numpy(), _matrix(t.column("v").chunk(0)), k)
+                    queries = []
+                members.append(part)
+                n += b - a
+                if n >= block:
+                    passed()
+                    members, n = [], 0
+        if members:
+            passed()
+        if state:
+            yield from state.batches()
+
+    def meet(queries: DataFrame, to: Column) -> DataFrame:
+        asking = queries.select("vec_id", "v", F.explode(to).alias("part"))
+        # At most ``parts`` rows.
+        groups = by_part({p: -(-c // group) for p, c in asking.groupBy("part").count().collect()})
+        asking = asking.withColumn("slice", each(by_part(cuts))).withColumn("group", dealt(groups, 1))
+        base = (
+            filed.select("vec_id", "v", "part", dealt(by_part(cuts), 0).alias("slice"))
+            .withColumn("group", each(groups)))
         return (
-            base.unionByName(queries).repartition("part", "block")
-            .sortWithinPartitions("part", "block", "asks", "vec_id")
+            asking.withColumn("asks", F.lit(True)).unionByName(base.withColumn("asks", F.lit(False)))
+            .repartition("part", "slice", "group")
+            .sortWithinPartitions("part", "slice", "group", F.desc("asks"), "vec_id")
             .mapInArrow(run, "query_id bigint, vec_id bigint, score double"))
 
-    found = meet(asking(asked, F.col("probes")))
+    found = meet(asked, F.col("probes"))
     if router and router.probes < parts:
         # Probed partitions may hold too few: those queries go to all the others as well.
         found = store(found)
@@ -301,7 +345,7 @@ def search(
         short = store(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"))
         if short.limit(1).count():
             rest = F.array_except(F.lit(list(held)), F.col("probes"))
-            found = found.unionByName(meet(asking(short, rest)))
+            found = found.unionByName(meet(short, rest))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -187,7 +187,7 @@ def test_neighbours(spark):
            (9004, [float("nan")] + [1.0] * 15), (9005, [float("inf")] + [1.0] * 15), (9006, [1.0]),
            (9007, []), (0, [float(v) for v in x[0]])]
     frame = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>").selectExpr(
-        "*", "1 AS part", "2 AS v")
+        "*", "1 AS part", "2 AS v", "3 AS asks", "4 AS slice", "5 AS `group`", "6 AS probes", "7 AS block")
     y = x.astype(float)
     hit = n = 0
     got = {}
@@ -210,6 +210,43 @@ def test_neighbours(spark):
     assert ann.search(frame.limit(0), 20).count() == 0
 
 
+def test_slices_and_groups_change_no_row(spark):
+    """Few long slices, read in blocks, and many groups of queries, against one unit per partition."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, size=(1500, 6)).astype(float)  # many ties
+    frame = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+
+    def rows(**how):
+        found = ann.search(frame, 3, k=7, sample=600, parts=8, target=0.6, **how)
+        return sorted(map(tuple, found.collect()))
+
+    whole = rows()
+    assert len(whole) == 7 * len({q for q, *_ in whole})
+    assert whole == rows(block=40, slices=3, query_bytes=5 * (8 * 6 + 16 * 7))
+    assert whole == rows(block=40)
+
+
+def test_best_of_a_stream():
+    """Any cut of a stream gives the rows of a whole sort, the query itself left out."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, size=(200, 4)).astype(float)
+    ids = np.sort(rng.choice(1000, 200, replace=False))
+    own, q = ids[::7], x[::7]
+    for cut in (1, 13, 200):
+        held = ann.Best(own, q, 9)
+        for a in range(0, 200, cut):
+            held.take(ids[a:a + cut], x[a:a + cut], 5)
+        got = {}
+        for b in held.batches(11):
+            for i, v, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got.setdefault(i, []).append((v, s))
+        for i, v in zip(own.tolist(), q, strict=True):
+            s = x @ v
+            order = [j for j in np.argsort(-s, kind="stable") if ids[j] != i][:9]
+            assert got[i] == [(ids[j], s[j]) for j in order]
+
+
 def test_every_query_gets_its_neighbours(spark):
     """Clusters smaller than k, found with few probes: the other partitions fill the list."""
     rng = np.random.default_rng(3)
