@@ -505,25 +505,29 @@ def _by_letter(letter: Column, values: dict, default) -> Column:
 
 
 def _path_steps(paths: DataFrame, key: list[str]) -> DataFrame:
-    """One row per complete drawing step before the first malformed place of its path, with the
-    token block ``blk`` in which it begins.
+    """One row per drawing step with the token block ``blk`` in which it begins; ``bad`` is its place
+    where it is malformed (a path ends before the first such place).
 
-    Tokens are looked at in blocks; what a block needs from outside is the last command before it,
-    the first token behind it, and the first malformed place of the path, all from one row per block.
+    Tokens are looked at in blocks; what a block needs from outside is the last command before it
+    and the first token behind it, both from one row per block. A command is one number, its place
+    and letter, so that aggregates over it need no sorting.
     """
+    # Tokens are few bytes and much work: their tasks are not merged by size.
+    tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     is_cmd = F.col("tok").rlike("^[A-Za-z]$")
     tokens = (
         paths.select(*key, F.posexplode(F.regexp_extract_all(
             F.replace("d", F.lit(","), F.lit(" ")), F.lit(TOKEN), F.lit(1))).alias("pos", "tok"))
         .select(*key, _block("pos", TOKENS).alias("blk"), "pos", "tok", is_cmd.alias("is_cmd"))
-        .repartition(*key, "blk")
+        .repartition(tasks, *key, "blk")
     )
-    command = F.when(F.col("is_cmd"), F.struct("pos", "tok"))
+    place = F.col("pos").cast("bigint")
+    command = F.when(F.col("is_cmd"), place * 128 + F.ascii("tok"))
     along = Window.partitionBy(*key).orderBy("blk")
     outside = tokens.groupBy(*key, "blk").agg(
-        F.max(command).alias("last"), F.min_by("is_cmd", "pos").alias("first"),
+        F.max(command).alias("last"), F.min(place * 2 + F.col("is_cmd").cast("int")).alias("first"),
     ).select(
-        *key, "blk", F.lead("first").over(along).alias("behind"),
+        *key, "blk", (F.lead("first").over(along) % 2 == 1).alias("behind"),
         F.last("last", ignorenulls=True).over(
             along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     within = Window.partitionBy(*key, "blk").orderBy("pos")
@@ -536,8 +540,8 @@ def _path_steps(paths: DataFrame, key: list[str]) -> DataFrame:
         tokens.join(outside, [*key, "blk"])
         .withColumn("cmd", F.coalesce(F.max(command).over(within), "before"))
         .withColumn("next_cmd", F.coalesce(F.lead("is_cmd").over(within), "behind", F.lit(True)))
-        .withColumn("cmd_pos", F.coalesce("cmd.pos", F.lit(-1)))
-        .withColumn("raw", F.coalesce("cmd.tok", F.lit("M")))
+        .withColumn("cmd_pos", F.coalesce(int_div(F.col("cmd"), 128), F.lit(-1)))
+        .withColumn("raw", F.coalesce(F.chr(F.col("cmd") % 128), F.lit("M")))
         .withColumn("bad", F.when(wrong, F.col("pos")))
         .filter(~F.col("is_cmd") | (letter == "z") | F.col("bad").isNotNull())
         .withColumn("group", F.when(F.col("is_cmd"), -1).otherwise(int_div(k, arity)))
@@ -546,22 +550,17 @@ def _path_steps(paths: DataFrame, key: list[str]) -> DataFrame:
         # The block of a step's first token, which serves all that follows.
         .withColumn("blk", _block(F.when(F.col("is_cmd"), F.col("pos")).otherwise(
             F.col("cmd_pos") + 1 + F.col("group") * arity), TOKENS))
-        .repartition(*key, "blk")
+        .repartition(tasks, *key, "blk")
         .groupBy(*key, "blk", "cmd_pos", "group", "raw").agg(
             F.min("pos").alias("pos"), F.min("bad").alias("bad"), F.count("num").alias("cnt"),
             *(F.max(F.when(F.col("arg") == j, F.col("num"))).alias(f"a{j}") for j in range(7)))
         .withColumn("bad", F.when((F.col("group") >= 0) & (F.col("cnt") < arity), F.col("pos"))
                     .otherwise(F.col("bad")))
     )
-    stops = steps.groupBy(*key, "blk").agg(F.min("bad").alias("bad")).select(
-        *key, "blk", F.min("bad").over(Window.partitionBy(*key)).alias("stop"))
     cmd = F.when((letter == "m") & (F.col("group") > 0), "l").otherwise(letter)
-    return (
-        steps.drop("bad").join(stops, [*key, "blk"])
-        .filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
-        .select(*key, "blk", "pos", cmd.alias("cmd"),
-                (F.col("raw") == F.lower("raw")).alias("rel"), *(f"a{j}" for j in range(7)))
-    )
+    return steps.select(
+        *key, "blk", "pos", "bad", cmd.alias("cmd"),
+        (F.col("raw") == F.lower("raw")).alias("rel"), *(f"a{j}" for j in range(7)))
 
 
 #: What a moved point hangs on: nothing, the point at the block's entry, or the subpath's start there.
@@ -580,13 +579,17 @@ def _then(first: Column, second: Column) -> Column:
 
 
 def _entries(blocks: DataFrame, key: list[str]) -> DataFrame:
-    """State at the entry of each block: point, subpath start and ring number.
+    """State at the entry of each block: point, subpath start and ring number; and the path's first
+    malformed place, ``stop``.
 
-    ``blocks`` has one map per block (``mx``, ``my``, number of begun and closed ``rings``). Maps compose,
+    ``blocks`` has one map per block (``mx``, ``my``, number of begun and closed ``rings``) and its first
+    malformed place ``bad``. Maps compose,
     so those of all earlier blocks are joined by doubling, in the logarithm of the blocks' number.
     """
     along = Window.partitionBy(*key).orderBy("blk")
-    blocks = store(blocks.withColumn("at", F.row_number().over(along)))
+    blocks = store(
+        blocks.withColumn("at", F.row_number().over(along))
+        .withColumn("stop", F.min("bad").over(Window.partitionBy(*key))))
     most, reach = blocks.agg(F.max("at")).first()[0] or 0, 1
     upto = blocks.select(*key, "at", "mx", "my", "rings")
     while reach < most:
@@ -603,12 +606,13 @@ def _entries(blocks: DataFrame, key: list[str]) -> DataFrame:
         *key, (F.col("at") + 1).alias("at"), F.col("rings").alias("ring0"),
         *(F.col(f"m{c}")[part]["shift"].alias(f"{part}_{c}") for c in "xy" for part in ("point", "start")))
     names = ["ring0", *(f"{part}_{c}" for c in "xy" for part in ("point", "start"))]
-    return blocks.select(*key, "blk", "at").join(before, [*key, "at"], "left").select(
-        *key, "blk", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
+    return blocks.select(*key, "blk", "at", "stop").join(before, [*key, "at"], "left").select(
+        *key, "blk", "stop", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
 
 
 def _positions(steps: DataFrame, key: list[str]) -> DataFrame:
-    """Start ``px, py`` and end ``x, y`` of each step, and the ring it draws.
+    """Start ``px, py`` and end ``x, y`` of each step before its path's first malformed place, and the
+    ring it draws.
 
     A segmented prefix scan: within a block every step is a map of the point at the entry and of the
     subpath's start there (a constant, a shift, or back to the start); a fold composes them step by
@@ -649,11 +653,12 @@ def _positions(steps: DataFrame, key: list[str]) -> DataFrame:
     point, begin = at(F.lit(POINT), zero), at(F.lit(START), zero)
     entry = state(point, point, begin, begin, F.lit(0), F.array().cast(placed))
     folded = store(
-        steps.groupBy(*key, "blk").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+        steps.groupBy(*key, "blk").agg(
+            F.array_sort(F.collect_list(step)).alias("steps"), F.min("bad").alias("bad"))
         .withColumn("end", F.aggregate("steps", entry, advance)))
     end = F.col("end")
     entries = _entries(folded.select(
-        *key, "blk", end["ring"].cast("bigint").alias("rings"),
+        *key, "blk", "bad", end["ring"].cast("bigint").alias("rings"),
         *(F.struct(end[c].alias("point"), end[f"s{c}"].alias("start")).alias(f"m{c}") for c in "xy")), key)
 
     def value(name: str, c: str) -> Column:
@@ -663,8 +668,9 @@ def _positions(steps: DataFrame, key: list[str]) -> DataFrame:
         return (base + v["shift"]).alias(name)
 
     return (
-        folded.join(entries, [*key, "blk"])
+        folded.drop("bad").join(entries, [*key, "blk"])
         .withColumn("z", F.explode(F.arrays_zip("steps", F.col("end.out").alias("at"))))
+        .filter(F.col("stop").isNull() | (F.col("z.steps.pos") < F.col("stop")))
         .select(*key, "blk", *(F.col(f"z.steps.{c}").alias(c) for c in ("pos", "cmd", "rel", *args)),
                 *(value(f"{p}{c}", c) for c in "xy" for p in ("p", "")),
                 (F.col("ring0") + F.col("z.at.ring")).alias("ring"))
